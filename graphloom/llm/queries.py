@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import language, media, sharding
+from . import language, media, mixing, secrets, sharding
 
-MODULES = (sharding, media, language)
+MODULES = (sharding, media, language, secrets, mixing)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
