@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import binary_output, fingerprints, language, media, mixing, packing, secrets, sharding
+from . import binary_output, fingerprints, language, media, mixing, near_duplicates, packing, secrets, sharding
 
-MODULES = (fingerprints, sharding, packing, media, language, secrets, mixing, binary_output)
+MODULES = (fingerprints, sharding, packing, near_duplicates, media, language, secrets, mixing, binary_output)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
