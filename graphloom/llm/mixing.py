@@ -19,7 +19,7 @@ no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROW_BITS, WORD, column, documents, written
@@ -53,13 +53,17 @@ def targets_of(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     return per.select("_source", "source_size", "target", "tilt")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, carry: tuple[str, ...] = (), **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken, positions of every row, sorted by first position."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, key: Column | None = None, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken, positions of every row, sorted by first position.
+
+    positions has a time for each pass that takes some of the document, whole_positions for each
+    that takes half of it or more: a mix of whole documents. key, if given, is carried along as _key.
+    """
     source = column(docs, source_col)
-    key = F.struct(source.isNull().alias("missing"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
+    name = F.struct(source.isNull().alias("missing"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
     size = F.coalesce(F.regexp_count(column(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long")
     mix = F.xxhash64(column(docs, id_col), F.lit(seed))
-    rows = docs.select(column(docs, id_col).alias("doc_id"), key.alias("_source"), size.alias("size"), mix.alias("_mix"), *(column(docs, c).alias(f"_{c}") for c in carry))
+    rows = docs.select(column(docs, id_col).alias("doc_id"), name.alias("_source"), size.alias("size"), mix.alias("_mix"), (F.lit(None) if key is None else key).alias("_key"))
     order = (F.col("_source"), F.col("_mix"), F.col("doc_id"), F.col("size"))
     rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.withColumn("_part", F.shiftright("_at", ROW_BITS))
@@ -83,10 +87,26 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         return F.when(half == 0, x).otherwise((root - (1 - half)) / F.nullif(2 * half, F.lit(0.0)))
 
     due = F.filter(passes, lambda e: (F.col("size") > 0) & (e * F.col("source_size") + F.col("_start") < walked))
-    out = rows.withColumns({"taken": taken, "positions": F.transform(due, when)}).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    extra = [F.col(f"_{c}").alias(c) for c in carry]
+    whole = F.filter(due, lambda e: 2 * (walked - e * F.col("source_size") - F.col("_start")) >= F.col("size"))
+    out = rows.withColumns({"taken": taken, "positions": F.transform(due, when), "whole_positions": F.transform(whole, when)}).withColumn("position", F.try_element_at("positions", F.lit(1)))
     first = F.asc_nulls_last("position")
-    return out.select("doc_id", "size", "source_size", "target", "taken", "positions", "position", *extra).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "positions", "whole_positions", "position", *(["_key"] if key is not None else [])).repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs in training order: a whole row for each pass that takes half of it or more.
+
+    The plan is made on narrow rows; texts move once to meet it and once to be sorted by range.
+    """
+    mark = F.struct(column(docs, id_col).alias("id"), F.xxhash64(column(docs, text_col)).alias("text"))
+    plan = mixed(docs, id_col=id_col, text_col=text_col, key=mark, **how)
+    # Repeated rows share a key: their passes are told apart by number.
+    due = plan.select(F.col("_key.id").alias("_id"), F.col("_key.text").alias("_text"), F.explode("whole_positions").alias("_position"))
+    passes = due.groupBy("_id", "_text").agg(F.array_sort(F.collect_list("_position")).alias("_positions"))
+    rows = docs.withColumns({"_id": column(docs, id_col), "_text": F.xxhash64(column(docs, text_col))}).dropDuplicates(["_id", "_text"])
+    joined = rows.alias("r").join(passes.alias("p"), F.col("r._id").eqNullSafe(F.col("p._id")) & (F.col("r._text") == F.col("p._text")))
+    out = joined.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.explode("p._positions").alias("_position"))
+    return out.repartitionByRange("_position", F.col(f"`{id_col}`")).sortWithinPartitions("_position", F.col(f"`{id_col}`")).drop("_position")
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,8 +194,8 @@ def mixed_lists(lists: DataFrame, labels: DataFrame, keys: list[str]) -> DataFra
     return known.join(spread.filter("_min <> _max").drop("_min", "_max"), keys)
 
 
-def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; a row is linked with all rows of its component_id."""
+def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, same) and the classes of equal sets (same, least_id, component), by links at the threshold."""
     least = agreements(coordinates, percent)
     rows = written(signed(docs, size, coordinates, id_col, text_col))
     sets = rows.filter(F.col("same").isNotNull())
@@ -219,7 +219,13 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int
     more = written(confirmed(alike(pairs, classes, percent, least), texts, size, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more)).withColumnRenamed("node", "id")
-    named = classes.select("id", "same", "least_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = classes.select("id", "same", "least_id").join(labels, "id", "left")
+    return rows, named.select("same", "least_id", F.coalesce("component", "id").alias("component"))
+
+
+def grouped(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; a row is linked with all rows of its component_id."""
+    rows, named = linked(docs, **how)
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(smallest, "component").select("same", "component_id")
     out = rows.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
@@ -227,15 +233,31 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """id, text: a text of each wanted class (id, same)."""
+def deduplicated(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of docs of each group: of its least id, and one of these if that id repeats. Rows without words all stay."""
+    _, named = linked(docs, size=size, id_col=id_col, text_col=text_col, **how)
+    first = F.min(F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "same"))
+    keep = named.groupBy("component").agg(first.alias("first")).select(F.col("first.same").alias("_same"), F.col("first.least_id").alias("_least"))
+    marked = docs.withColumn("_same", F.arrow_udf(set_names(size), "binary")(column(docs, text_col)))
+    chosen = marked.join(keep, "_same").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("_least"))).dropDuplicates(["_same"])
+    return chosen.select(*[f"`{c}`" for c in docs.columns]).unionByName(marked.filter(F.col("_same").isNull()).drop("_same"))
 
-    def name(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(frames):
-            sets = [shingles(x.as_py(), size) for x in batch.column(0)]
-            yield pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["text", "same"])
 
-    named = docs.select(column(docs, text_col).alias("text")).mapInArrow(name, "text string, same binary")
+def set_names(size: int):
+    """The function on batches of texts that names their shingle sets (null without one)."""
+
+    def name(texts: pa.Array) -> pa.Array:
+        sets = [shingles(x.as_py(), size) for x in texts]
+        return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+
+    name.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return name
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
+    """id, text: a text of each wanted class (id, same)."""
+    text = column(docs, text_col)
+    named = docs.select(text.alias("text"), F.arrow_udf(set_names(size), "binary")(text).alias("same"))
     return named.join(wanted, "same").dropDuplicates(["id"]).select("id", "text")
 
 
