@@ -1,12 +1,55 @@
-"""The corpus pipeline over `documents`."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+language        documents whose language can't be told with confidence go
+near_duplicates one document of each group of near-duplicates (five-word shingles, 0.8) stays
+secrets         found secrets are replaced in the texts; no document goes
+mixing          whole documents are repeated or left out to meet the sources' target weights
+packing         token pieces of all documents with their places in sequences
+
+Every stage works on all rows of the one before, which are written to the shared folder first. Null
+and empty texts, repeated rows and empty tables are handled as each operator's module says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm import language, mixing, near_duplicates, packing, secrets
 from graphloom.llm.common import documents, written
 
-STAGES: list = []
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.learned(docs, language.held_out(docs["doc_id"], 5) != 0)
+    return language.identified(docs, model).filter(~F.col("_lang.rejected")).drop("_lang")
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.deduplicated(docs, size=5)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(docs)
+    text = secrets.redacted(F.col("text"), F.col("_found"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.pieces_of(docs))
+
+
+STAGES = [
+    ("language", languages),
+    ("near_duplicates", near_duplicate_groups),
+    ("secrets", secret_spans),
+    ("mixing", mix),
+    ("packing", sequences),
+]
+#: Trained models, signatures and tokens have no SQL form.
 ORACLE_SQL = None
 
 
