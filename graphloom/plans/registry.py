@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import file_queries, graph_queries, search_queries
+
+MODULES = (file_queries, graph_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
