@@ -190,7 +190,8 @@ def mock_embedding(text: Column, size: int = fixed.EMBEDDING_SIZE) -> Column:
         F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("at")),
         lambda s, c: F.struct((s["a"] + F.ascii(c) * s["at"]).alias("a"), (s["b"] + F.ascii(c)).alias("b"), (s["at"] + F.octet_length(c)).alias("at")),
     )
-    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: ((sums["a"] + i * sums["b"]) % 1000) / 1000.0)
+    # The sums are bound to a variable, so they are worked out once for a text.
+    return F.transform(F.array(sums), lambda s: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: ((s["a"] + i * s["b"]) % 1000) / 1000.0))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
