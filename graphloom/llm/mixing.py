@@ -62,7 +62,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     source = column(docs, source_col)
     name = F.struct(source.isNull().alias("missing"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
     size = F.coalesce(F.regexp_count(column(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    mix = F.xxhash64(column(docs, id_col), F.lit(seed))
+    mix = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit(""))), 256), 1, 16)
     rows = docs.select(column(docs, id_col).alias("doc_id"), name.alias("_source"), size.alias("size"), mix.alias("_mix"), (F.lit(None) if key is None else key).alias("_key"))
     order = (F.col("_source"), F.col("_mix"), F.col("doc_id"), F.col("size"))
     rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
@@ -84,7 +84,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     def when(e):
         x = F.least(F.lit(1.0), (e * F.col("source_size") + F.col("_start")) / F.col("target"))
         root = F.sqrt((1 - half) * (1 - half) + 4 * half * x)
-        return F.when(half == 0, x).otherwise((root - (1 - half)) / F.nullif(2 * half, F.lit(0.0)))
+        return F.when(half == 0, x).otherwise((root - (1 - half)) / F.nullif(2 * half, F.lit(0.0)) + F.lit(0.0))
 
     due = F.filter(passes, lambda e: (F.col("size") > 0) & (e * F.col("source_size") + F.col("_start") < walked))
     whole = F.filter(due, lambda e: 2 * (walked - e * F.col("source_size") - F.col("_start")) >= F.col("size"))
@@ -115,4 +115,15 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_curriculum_mix": op9_curriculum_mix}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_curriculum_mix": r"""with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, source is null as missing, coalesce(source, '') as name, substr(sha256('11:' || doc_id), 1, 16) as mix from documents),
+  s as (select missing, name, sum(size)::bigint as source_size, row_number() over (order by missing, name) - 1 as rank from d group by missing, name),
+  w as (select *, ([3, 1, 2]::double[])[rank % 3 + 1] as weight, ([0, 1, -1]::double[])[rank % 3 + 1] as tilt, source_size * 2::double as cap from s),
+  l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over earlier, 0)) / (sum(weight) over () - coalesce(sum(weight) over earlier, 0)) as level from w window earlier as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+  c as (select arg_min(level, (cap / weight, rank)) as common from l where cap > level * weight),
+  t as (select l.*, case when common is null then cap else least(cap, common * weight) end as target from l, c),
+  r as (select d.*, source_size, target, tilt / 2 as half, floor(target + 0.5::double)::bigint as walked, coalesce(sum(size) over (partition by d.missing, d.name order by mix, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d join t on d.missing = t.missing and d.name = t.name),
+  x as (select *, least(1::double, start / target) as x from r)
+select doc_id, size, source_size, target, (greatest(0, least(size, walked - start)) + greatest(0, least(size, walked - source_size - start)) + greatest(0, least(size, walked - 2 * source_size - start)))::bigint as taken,
+  case when size > 0 and start < walked then case when half = 0 then x else (sqrt((1 - half) * (1 - half) + 4 * half * x) - (1 - half)) / (2 * half) + 0::double end end as position from x""",
+}

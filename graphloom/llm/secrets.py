@@ -176,4 +176,20 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_secret_ledger": op8_secret_ledger}
-ORACLES: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The same for DuckDB: matches, the gaps between them, and running lengths."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    parts = [f"select doc_id, '{r.kind}' as kind, {i} as rank, {r.least} as least, {quoted(r.head or '^')} as head, regexp_extract_all(text, {quoted(r.pattern)}, 0) as found, string_split_regex(text, {quoted(r.pattern)}) as gaps from t" for i, r in enumerate(BASE + ADDED)]
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents), m as ({" union all ".join(parts)}),
+  i as (select *, unnest(generate_series(1, len(found))) as k from m),
+  p as (select doc_id, kind, rank, found[k] as f, (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda g: length(g))), 0))::bigint as start from i where length(regexp_replace(found[k], head, '')) >= least),
+  g as (select doc_id, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex, string_agg(kind || ':' || start || ':' || (start + length(f)), ',' order by start, rank) filter (rank < 3) as base, string_agg(kind || ':' || start || ':' || (start + length(f)), ',' order by start, rank) as spans from p group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join g using (doc_id)"""
+
+
+ORACLES = {"op8_secret_ledger": _sql()}
