@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, documents
+from .common import WORD, column, documents, written
 
 SAMPLES = 32
 #: Coordinates that one row of the exploded table works on.
@@ -92,8 +92,12 @@ def range_of(value: Column, bounds: list) -> Column:
         return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
     step = max(1, round(len(bounds) ** 0.5))
     coarse, fine = F.array(*[F.lit(x) for x in bounds[step - 1 :: step]]), F.array(*[F.lit(x) for x in bounds])
-    whole = F.size(F.filter(coarse, lambda b: b < value)) * step
-    return F.when(value.isNull(), F.lit(-1)).otherwise(whole + F.size(F.filter(F.slice(fine, whole + 1, F.lit(step)), lambda b: b < value)))
+
+    def under(some: Column) -> Column:  # no lambda: Spark shares one shuffle only between plans without any
+        return F.array_position(F.sort_array(F.array_append(some, value)), value) - 1
+
+    whole = under(coarse) * step
+    return F.when(value.isNull(), F.lit(-1)).otherwise((whole + under(F.slice(fine, (whole + 1).cast("int"), F.lit(step)))).cast("int"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -113,7 +117,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
     ids = ids.withColumn("_to", F.coalesce(F.lag("_range").over(falling), F.min("_range").over(Window.partitionBy())))
     heads = rows.alias("r").join(F.broadcast(ids.alias("h")), (F.col("r._range") == F.col("h._range")) & F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")))
     heads = heads.groupBy(F.col("h._to").alias("_range"), F.col("h._range").alias("_of"), F.col("h.doc_id").alias("doc_id")).agg(F.max("r.text").alias("text"))
-    both = rows.withColumn("_extra", F.lit(False)).unionByName(heads.withColumn("_extra", F.lit(True)).drop("_of"))
+    # At most `buckets` rows. Read back from a table, so that plans which share these rows share one shuffle of them.
+    heads = written(heads.withColumn("_extra", F.lit(True)).drop("_of"))
+    both = rows.withColumn("_extra", F.lit(False)).unionByName(heads)
+    # Never null, so no plan gets a filter of its own on it, which would keep it from that shuffle.
+    both = both.withColumn("_range", F.coalesce("_range", F.lit(-1)))
     inside = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), F.desc("text"))
     return both.withColumns({"_row": F.row_number().over(inside), "next_text": F.lead("text").over(inside)})
 
