@@ -221,3 +221,15 @@ def match_score(name: Column, sign: Column, doc: Column, path: Column, query: st
             out = out.when(part > 0.1, hit(part, "words"))
         out = out.when(F.lower(path).contains(query), hit(F.lit(0.4), "path"))
     return out.otherwise(hit(F.lit(0.0), ""))
+
+
+def function_json(name: Column, sign: Column, receiver: Column, exported: Column, line: Column) -> Column:
+    """A bare string if there is only a name, else an object; empty parts are left out."""
+    plain = (sign == "") & (receiver == "") & ~exported & (line == 0)
+    parts = F.struct(name.alias("name"), F.nullif(sign, F.lit("")).alias("signature"), F.nullif(receiver, F.lit("")).alias("receiver"), F.when(exported, True).alias("is_exported"), F.nullif(line, F.lit(0)).alias("line"))
+    return F.when(plain, F.concat(F.lit('"'), F.regexp_replace(name, r'(["\\\\])', r"\\$1"), F.lit('"'))).otherwise(F.to_json(parts))
+
+
+def function_name(json: Column) -> Column:
+    """The name in either form."""
+    return F.coalesce(F.get_json_object(json, "$.name"), F.from_json(F.concat(F.lit('{"name":'), json, F.lit("}")), "name string")["name"])

@@ -51,6 +51,13 @@ def skyline(files: DataFrame) -> DataFrame:
     return rows.withColumn("height", 2 + F.floor(F.sqrt((F.col("size") - low) / F.when(high == low, 1).otherwise(high - low)) * 10).cast("int"))
 
 
+def arranged(buildings: DataFrame) -> DataFrame:
+    """skyline() with seats from left to right: by falling height, in turn at the right and the left end of the row."""
+    rank = F.row_number().over(Window.orderBy(F.desc("height"), "label")) - 1
+    seat = F.when(rank % 2 == 0, F.floor(rank / 2)).otherwise(-F.floor((rank + 1) / 2))
+    return buildings.withColumn("seat", seat.cast("int"))
+
+
 def largest(files: DataFrame, n: int = 5) -> DataFrame:
     """The n largest files that aren't assets; ties by path."""
     return files.filter(~F.lower("ext").isin(*fixed.ASSET_EXTS)).orderBy(F.desc("size"), "path").limit(n)
@@ -133,3 +140,11 @@ def symbols(facts: DataFrame, name: str = "", kind: str = "all", file: str = "")
     if kind == "function":
         return out.filter(F.col("kind").isin(fixed.FUNCTION, fixed.METHOD))
     return out.filter(F.col("kind") == fixed.TYPE) if kind == "type" else out
+
+
+def methods(symbols: DataFrame) -> DataFrame:
+    """package, type, methods of exported types: methods(path, kind, receiver) join types(path, kind, name) in each directory."""
+    own = symbols.filter("exported").withColumn("package", t.dirname(F.col("path")))
+    types = own.filter(F.col("kind") == fixed.TYPE).select("package", F.col("name").alias("type")).distinct()
+    found = own.filter(F.col("kind") == fixed.METHOD).groupBy("package", t.receiver_type(F.col("receiver")).alias("type")).agg(F.count("*").alias("methods"))
+    return types.join(found, ["package", "type"], "left").withColumn("methods", F.coalesce("methods", F.lit(0)))

@@ -195,3 +195,22 @@ def module_source(files: DataFrame, module: str) -> DataFrame:
     own = (path == module) | ((t.dirname(path) == module) & F.lower(t.ext(path)).isin(*fixed.SOURCE_EXTS) & ~t.base(path).startswith("."))
     source = F.decode("content", "UTF-8")
     return files.filter(own).select("path", source.alias("source"), F.sha2(source, 256).alias("source_hash"))
+
+
+def file_header(content: Column) -> Column:
+    """The comment lines in front of a file's first declaration or code line, with the empty lines among them."""
+    state = F.struct(F.expr("cast(array() as array<string>)").alias("head"), F.lit(False).alias("inside"), F.lit(False).alias("ended"))
+
+    def step(s: Column, line: Column) -> Column:
+        bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+        declared = bare.rlike(r"^(package|import|from|use|require) ")
+        opens = bare.startswith("/*")
+        comment = bare.startswith("//") | bare.startswith("#") | opens | s["inside"]
+        keep = ~s["ended"] & ~declared & (comment | ((bare == "") & (F.size(s["head"]) > 0)))
+        ended = s["ended"] | declared | (~comment & (bare != ""))
+        # A block that opens a line is taken to go on past it.
+        inside = F.when(opens, True).when(s["inside"] & bare.contains("*/"), False).otherwise(s["inside"])
+        return F.struct(F.when(keep, F.array_append(s["head"], line)).otherwise(s["head"]).alias("head"), inside.alias("inside"), ended.alias("ended"))
+
+    joined = F.aggregate(F.split(content, "\n"), state, step, lambda s: F.array_join(s["head"], "\n"))
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")

@@ -75,3 +75,9 @@ def test_the_index_follows_changes(spark, tmp_path):
         spark.createDataFrame(rows, "path string, content string, t string").select("path", "content", time).write.mode("append").parquet(src)
         incremental.follow(spark, src, index, mark).awaitTermination()
     assert schema and {(r.path, r.content) for r in incremental.indexed(spark, index).collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_file_headers(spark):
+    texts = ["// a\n\n# b\npackage x\n// c", "/* a\n b */\ncode", "code\n// a", "", "import x"]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(code.file_header(F.col("t")).alias("x")).collect()]
+    assert got == ["// a\n\n# b", "/* a\n b */", "", "", ""]
