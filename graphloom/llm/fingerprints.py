@@ -25,6 +25,8 @@ from .common import WORD, column, documents, written
 SAMPLES = 32
 #: Coordinates that one row of the exploded table works on.
 GROUP = 8
+#: Ranges grow in number with the rows, up to what a plan can hold as literals; beyond that they grow in size.
+RANGE_ROWS, MOST_RANGES = 640, 8000
 SPACE = WORD.replace("[^", "[")
 
 
@@ -126,8 +128,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
     return both.withColumns({"_row": F.row_number().over(inside), "next_text": F.lead("text").over(inside)})
 
 
-def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, buckets: int = 400) -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and how near these and the next row's are."""
+def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, buckets: int | None = None) -> DataFrame:
+    """Each row's fingerprint, that of its edited text, and how near these and the next row's are.
+
+    Rows are dealt into ranges of about RANGE_ROWS, at most MOST_RANGES of them.
+    """
+    buckets = buckets or min(MOST_RANGES, max(16, docs.count() // RANGE_ROWS))
     rows = with_next(docs, id_col, text_col, buckets)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
