@@ -8,9 +8,10 @@ chance of one in a million, so of each class only the rarest coordinates - all b
 signatures. What agrees often enough is confirmed on full sets.
 
 A list of n classes is not expanded into pairs. Every member is first compared with the list's
-most central member; components of the links found so far are formed, and only lists whose members
-are in several components are looked at again: short ones pair by pair across components, long
-ones by an exact prefix filter on the full shingle sets of their members. A shingle prefix leaves
+most central member, those still apart with its next few; components of the links found so far are
+formed each time, and only lists whose members are in several components are looked at again: short
+ones pair by pair across components, long ones by an exact prefix filter on the full shingle sets
+of their members. A shingle prefix leaves
 out whatever differs from everything else in too many shingles to be linked, so large groups of
 edited copies end there, and no pair over the threshold is lost in this step.
 
@@ -28,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, column, documents, written
@@ -39,7 +40,7 @@ COORDINATES = 64
 SHORT = 24
 MEMO = 500_000
 #: The ratio of the size classes in which shingle prefixes are taken.
-CLASS = 1.05
+CLASS = 1.02
 
 
 class Words(dict):
@@ -92,25 +93,31 @@ def agreements(coordinates: int, percent: int, miss: float = 1e-6) -> int:
 
 
 def signed(docs: DataFrame, size: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, same (128 bits that name the set; null without one), signature of every row."""
+    """doc_id, mark (a digest of the text), n_shingles, same (128 bits that name the set; null without one), signature of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     keys = _keys(coordinates)
 
     def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
-            sets = [shingles(x.as_py(), size) for x in batch.column(1)]
+            sets = [shingles(x.as_py(), size) for x in batch.column(2)]
             yield pa.record_batch(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, keys) if len(s) else None for s in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "same", "signature"],
+                ["doc_id", "mark", "n_shingles", "same", "signature"],
             )
 
-    rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, n_shingles long, same binary, signature array<int>")
+    text = column(docs, text_col)
+    rows = docs.select(column(docs, id_col).alias("doc_id"), marks(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(sign, f"doc_id {kind}, mark binary, n_shingles long, same binary, signature array<int>")
+
+
+def marks(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
@@ -153,14 +160,14 @@ def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
     return lists.filter(F.col("rank") + (coordinates - F.col("shared")) <= coordinates - least + 1).select("token", "id", "central")
 
 
-def across(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct pairs (a, b) of members of a list that are in different components."""
-    a, b = (lists.select(*keys, F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return a.join(b, keys).filter("a < b and ca <> cb").select("a", "b").distinct()
+def across(lists: DataFrame, keys: list[str], where: str = "true", more: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs (a, b) of members of a list that are in different components; where may compare the columns `more` of both, x_a and x_b."""
+    a, b = (lists.select(*keys, F.col("id").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(m).alias(f"{m}_{x}") for m in more]) for x in "ab")
+    return a.join(b, keys).filter(f"a < b and c_a <> c_b and {where}").select("a", "b").distinct()
 
 
 def shingle_prefixes(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, component and list keys (shingle, low, high) under which every pair at the threshold meets.
+    """id, component, n, rank and list keys (shingle, low, high) under which every pair at the threshold meets.
 
     low and high are the size classes of the two: for each class its partner may be in, a set posts
     its rarest shingles up to where the overlap that sizes ask for could no longer be reached.
@@ -179,12 +186,12 @@ def shingle_prefixes(texts: DataFrame, members: DataFrame, size: int, percent: i
     each = each.join(common, "shingle").withColumn("rank", rank)
     cls = F.floor(F.log("n") / F.log(F.lit(CLASS)) + F.lit(1e-9)).cast("int")
     low, high = (F.floor(F.log(x) / F.log(F.lit(CLASS)) + F.lit(1e-9)).cast("int") for x in (F.ceil(F.col("n") * percent / 100).cast("double"), F.floor(F.col("n") * 100 / F.lit(percent)).cast("double")))
-    each = each.filter((F.col("rank") <= F.col("n")) & (F.col("freq") > 1)).withColumn("own", cls).withColumn("other", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), high + 1)))
+    each = each.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("freq") > 1)).withColumn("own", cls).withColumn("other", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), high + 1)))
     # The least partner in a class; one less guards the rounding of the class bounds.
     partner = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("other"))) - 1, F.ceil(F.col("n") * percent / 100), F.lit(1))
     overlap = F.ceil(F.lit(percent) * (F.col("n") + partner) / (100 + percent) - 1e-9)
     kept = each.filter(F.col("rank") <= F.col("n") - overlap + 1)
-    return kept.select("id", "component", "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return kept.select("id", "component", "n", "rank", "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def mixed_lists(lists: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,11 +206,12 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     least = agreements(coordinates, percent)
     rows = written(signed(docs, size, coordinates, id_col, text_col))
     sets = rows.filter(F.col("same").isNotNull())
-    classes = written(sets.groupBy("same").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id()))
+    classes = written(sets.groupBy("same").agg(F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id()))
     lists = written(postings(classes, coordinates, least))
-    # One text for each class that is in some list: by the set's name, as ids may be null or repeat.
-    wanted = lists.select("id").distinct().join(classes.select("id", "same"), "id")
-    texts = written(_texts(docs, wanted, size, text_col))
+    # One text for each class that is in some list: by the text's digest, as ids may be null or repeat.
+    wanted = lists.select("id").distinct().join(classes.select("id", "mark"), "id")
+    text = column(docs, text_col)
+    texts = written(docs.select(text.alias("text"), marks(text).alias("mark")).join(wanted, "mark").dropDuplicates(["id"]).select("id", "text"))
     centre = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"))
     stars = lists.join(centre.select("token", (-F.col("top.minus")).alias("b")), "token").filter("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     links = written(confirmed(alike(stars, classes, percent, least), texts, size, percent))
@@ -215,7 +223,9 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
         prefixes = shingle_prefixes(texts, long, size, percent)
         keys = ["shingle", "low", "high"]
         spread = prefixes.groupBy(*keys).agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select(*keys)
-        pairs = pairs.unionByName(across(written(prefixes.join(spread, keys)), keys)).distinct()
+        # The first shingle that two sets share bounds what they can share after it.
+        room = f"(least(n_a - rank_a, n_b - rank_b) + 1) * {100 + percent} >= {percent} * (n_a + n_b)"
+        pairs = pairs.unionByName(across(written(prefixes.join(spread, keys)), keys, room, ("n", "rank"))).distinct()
     more = written(confirmed(alike(pairs, classes, percent, least), texts, size, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more)).withColumnRenamed("node", "id")
@@ -237,10 +247,13 @@ def deduplicated(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_co
     """One row of docs of each group: of its least id, and one of these if that id repeats. Rows without words all stay."""
     _, named = linked(docs, size=size, id_col=id_col, text_col=text_col, **how)
     first = F.min(F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "same"))
-    keep = named.groupBy("component").agg(first.alias("first")).select(F.col("first.same").alias("_same"), F.col("first.least_id").alias("_least"))
+    keep = named.groupBy("component").agg(first.alias("first")).select(F.col("first.same").alias("_same"))
     marked = docs.withColumn("_same", F.arrow_udf(set_names(size), "binary")(column(docs, text_col)))
-    chosen = marked.join(keep, "_same").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("_least"))).dropDuplicates(["_same"])
-    return chosen.select(*[f"`{c}`" for c in docs.columns]).unionByName(marked.filter(F.col("_same").isNull()).drop("_same"))
+    # Equal sets meet as one row from each task, however many copies there are.
+    own, row = column(docs, id_col), F.struct(*[column(docs, c) for c in docs.columns])
+    one = marked.filter(F.col("_same").isNotNull()).groupBy("_same").agg(F.min_by(row, F.struct(own.isNull(), own)).alias("_row"))
+    chosen = one.join(keep, "_same", "left_semi").select("_row.*")
+    return chosen.unionByName(marked.filter(F.col("_same").isNull()).drop("_same"))
 
 
 def set_names(size: int):
@@ -254,16 +267,21 @@ def set_names(size: int):
     return name
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """id, text: a text of each wanted class (id, same)."""
-    text = column(docs, text_col)
-    named = docs.select(text.alias("text"), F.arrow_udf(set_names(size), "binary")(text).alias("same"))
-    return named.join(wanted, "same").dropDuplicates(["id"]).select("id", "text")
-
-
 def op5_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(documents(spark, sf_dir), size=2)
 
 
 QUERIES = {"op5_signature_join": op5_signature_join}
-ORACLES: dict[str, str] = {}
+#: Exact links by the rarest shingles of each set, and the least id that can be reached.
+ORACLES = {
+    "op5_signature_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+  sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) < 2 then w else list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w)),
+  n as (select doc_id, count(*) as n from sh group by doc_id),
+  f as (select s, count(*) as f from sh group by s),
+  pre as (select doc_id, s, n from (select doc_id, s, n, row_number() over (partition by doc_id order by f, s) as r from sh join n using (doc_id) join f using (s)) where r <= n - ceil(n * 4 / 5.0) + 1),
+  cand as (select distinct a.doc_id as a, b.doc_id as b, a.n + b.n as nn from pre a join pre b on a.s = b.s and a.doc_id < b.doc_id and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+  link as (select a, b from cand join sh x on x.doc_id = a join sh y on y.doc_id = b and x.s = y.s group by a, b, nn having 100 * count(*) >= 80 * (nn - count(*))),
+  e as (select a, b from link union all select b, a from link),
+  r as (select doc_id as x, doc_id as y from documents union select r.x, e.b from r join e on r.y = e.a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents left join n using (doc_id) join (select x as doc_id, min(y) as component_id from r group by x) using (doc_id)""",
+}
