@@ -38,7 +38,9 @@ from .components import components
 COORDINATES = 64
 #: Lists of up to so many classes are paired as they are; longer ones go through shingle prefixes.
 SHORT = 24
-MEMO = 500_000
+#: Central members that a second round compares with.
+CENTRES = 6
+MEMO = 150_000
 #: The ratio of the size classes in which shingle prefixes are taken.
 CLASS = 1.02
 
@@ -110,6 +112,7 @@ def signed(docs: DataFrame, size: int, coordinates: int, id_col: str, text_col:
                 ],
                 ["doc_id", "mark", "n_shingles", "same", "signature"],
             )
+        WORDS.clear()  # workers live on, and other operators need the room
 
     text = column(docs, text_col)
     rows = docs.select(column(docs, id_col).alias("doc_id"), marks(text).alias("mark"), text.alias("text"))
@@ -121,12 +124,12 @@ def marks(text: Column) -> Column:
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Of pairs(a, b), those whose set sizes allow the threshold and whose signatures agree often enough."""
+    """Of pairs(a, b, ...), those whose set sizes allow the threshold and whose signatures agree often enough."""
     side = classes.select("id", "n_shingles", "signature")
     a, b = (side.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= least).select("a", "b")
+    return both.filter(same >= least).select(*pairs.columns)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -144,6 +147,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 both = len(np.intersect1d(mine, found, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(found) - both))
             yield pa.record_batch([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        WORDS.clear()
 
     rows = pairs.join(a, "a").join(b, "b").select("a", "ta", "b", "tb")
     return rows.mapInArrow(check, "a long, b long")
@@ -166,6 +170,14 @@ def across(lists: DataFrame, keys: list[str], where: str = "true", more: tuple[s
     return a.join(b, keys).filter(f"a < b and c_a <> c_b and {where}").select("a", "b").distinct()
 
 
+def centred(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a list's members with its most central ones, where these are in other components."""
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("central"), "id"))
+    top = lists.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES).select("token", F.col("id").alias("top"), F.col("component").alias("_of"))
+    pairs = lists.join(top, "token").filter("component <> _of")
+    return pairs.select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
+
+
 def shingle_prefixes(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """id, component, n, rank and list keys (shingle, low, high) under which every pair at the threshold meets.
 
@@ -208,25 +220,39 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     sets = rows.filter(F.col("same").isNotNull())
     classes = written(sets.groupBy("same").agg(F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id()))
     lists = written(postings(classes, coordinates, least))
-    # One text for each class that is in some list: by the text's digest, as ids may be null or repeat.
-    wanted = lists.select("id").distinct().join(classes.select("id", "mark"), "id")
+    centre = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("members"))
+    sized = lists.join(centre.select("token", "members", (-F.col("top.minus")).alias("centre")), "token")
+    stars = sized.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.lit(True).alias("star"))
+    short = sized.filter(F.col("members") <= SHORT).select("token", "id")
+    one, other = short.withColumnRenamed("id", "a"), short.withColumnRenamed("id", "b")
+    pairs = stars.unionByName(one.join(other, "token").filter("a < b").select("a", "b", F.lit(False).alias("star")))
+    near = written(alike(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), classes, percent, least))
+    # One text for each class that is in such a pair or in a long list: by the text's digest, as ids may be null or repeat.
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(sized.filter(F.col("members") > SHORT).select("id")).distinct()
+    wanted = ids.join(classes.select("id", "mark"), "id")
     text = column(docs, text_col)
     texts = written(docs.select(text.alias("text"), marks(text).alias("mark")).join(wanted, "mark").dropDuplicates(["id"]).select("id", "text"))
-    centre = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"))
-    stars = lists.join(centre.select("token", (-F.col("top.minus")).alias("b")), "token").filter("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = written(confirmed(alike(stars, classes, percent, least), texts, size, percent))
+    links = written(confirmed(near.filter("star").select("a", "b"), texts, size, percent))
     labels = components(links).withColumnRenamed("node", "id")
-    left = written(mixed_lists(lists.drop("central"), labels, ["token"]))
-    pairs = across(left.filter(F.col("members") <= SHORT), ["token"])
-    long = written(left.filter(F.col("members") > SHORT).select("id", "component").distinct())
+    left = written(mixed_lists(sized.filter(F.col("members") > SHORT).select("token", "id", "central"), labels, ["token"]))
+    more = written(confirmed(alike(centred(left), classes, percent, least).select("a", "b"), texts, size, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links).withColumnRenamed("node", "id")
+        left = written(mixed_lists(left.select("token", "id", "central"), labels, ["token"]))
+    own = labels.select("id", "component")
+    side = [own.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+    pairs = near.filter("not star").select("a", "b").join(side[0], "a", "left").join(side[1], "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+    long = written(left.select("id", "component").distinct())
     if not long.isEmpty():
         prefixes = shingle_prefixes(texts, long, size, percent)
         keys = ["shingle", "low", "high"]
         spread = prefixes.groupBy(*keys).agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select(*keys)
         # The first shingle that two sets share bounds what they can share after it.
         room = f"(least(n_a - rank_a, n_b - rank_b) + 1) * {100 + percent} >= {percent} * (n_a + n_b)"
-        pairs = pairs.unionByName(across(written(prefixes.join(spread, keys)), keys, room, ("n", "rank"))).distinct()
-    more = written(confirmed(alike(pairs, classes, percent, least), texts, size, percent))
+        deep = across(written(prefixes.join(spread, keys)), keys, room, ("n", "rank"))
+        pairs = pairs.unionByName(alike(deep, classes, percent, least).select("a", "b")).distinct()
+    more = written(confirmed(pairs, texts, size, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more)).withColumnRenamed("node", "id")
     named = classes.select("id", "same", "least_id").join(labels, "id", "left")
