@@ -4,8 +4,9 @@ The index holds at most `positives` + `negatives` labelled texts, chosen by a ha
 that bound is a parameter, and so is what is sent to the tasks. Terms are words and word beginnings whose
 chi-square against the label is at least `least_chi`; weights are (1 + ln tf) ln(N / df), cosine-normalised.
 Postings are kept in blocks of examples with the largest weight of each term in each block. A
-query adds these up to bound every block, scores blocks from the highest bound on, and stops when
-no block left can reach the k-th best: the neighbours are exact, ties by example number.
+query adds these up to bound every block, scores the blocks with the highest bounds, and then only
+those that can still reach the k-th best (all at once if these are many): the neighbours are exact,
+ties by example number.
 
 Neighbours vote with their squared similarity, corrected for the share of each label that was
 sampled, and with the prior for what they leave open. A logistic curve fitted on leave-one-out
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ POSITIVES, NEGATIVES = 3000, 6000
 LEAST_CHI = 25.0
 LEAST_DOCUMENTS = 4
 NEIGHBOURS = 50
-BLOCK = 64
-FIRST_BLOCKS = 8
+BLOCK = 256
+FIRST_BLOCKS = 2
 OPEN = 1e-3
 #: Scores that a worker remembers by their terms.
 MEMO = 200_000
@@ -90,34 +92,41 @@ class Index:
 
     def neighbours(self, terms: tuple[tuple[str, int], ...], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine over 0, nearest first; `skip` is left out."""
-        q = np.array([(1 + np.log(n)) * self.idf[w] for w, n in terms])
+        q = np.array([(1 + log(n)) * self.idf[w] for w, n in terms])
         if not len(q) or not q.any():
             return np.zeros(0, np.int64), np.zeros(0)
-        q = q / np.sqrt((q * q).sum())
+        q = q / sqrt(float(q @ q))
         lists = [self.postings[w] for w, _ in terms]
-        bound = sum(x * p[3] for x, p in zip(q, lists, strict=True))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, floor, at = np.zeros(len(self.labels)), 0.0, 0
-        while at < len(order):
-            # The best blocks come first; then all that could still reach the k-th best.
-            part = order[at : at + FIRST_BLOCKS] if at == 0 else order[at:][bound[order[at:]] >= floor - 1e-9]
-            for x, (examples, values, starts, _) in zip(q, lists, strict=True):
-                for b in part if len(part) < len(starts) - 1 else ():
-                    scores[examples[starts[b] : starts[b + 1]]] += x * values[starts[b] : starts[b + 1]]
-                if len(part) == len(starts) - 1:
-                    scores[examples] += x * values
-            if skip >= 0:
-                scores[skip] = 0
-            if at:
-                break
-            at = len(part)
-            if len(scores) > k:
-                floor = float(np.partition(scores, -k)[-k])
+        scores, done = np.zeros(len(self.labels)), False
+        if sum(len(p[0]) for p in lists) > FIRST_BLOCKS * BLOCK * len(lists):
+            # The best blocks come first; then the few that could still reach the k-th best, if they are few.
+            bound = q @ np.stack([p[3] for p in lists])
+            first = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bound) > FIRST_BLOCKS else np.arange(len(bound))
+            self._add(scores, q, lists, first)
+            floor = float(np.partition(scores, -k - 1)[-k - 1]) if len(scores) > k + 1 else 0.0
+            rest = np.setdiff1d(np.flatnonzero((bound >= floor - 1e-9) & (bound > 0)), first)
+            if done := len(rest) <= FIRST_BLOCKS:
+                self._add(scores, q, lists, rest)
+            else:
+                scores[:] = 0
+        if not done:
+            for x, p in zip(q, lists, strict=True):
+                scores[p[0]] += x * p[1]
+        if skip >= 0:
+            scores[skip] = 0
         found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            last = np.partition(scores[found], -k)[-k]
+            found = found[scores[found] >= last - 1e-11]
         best = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
         return best, scores[best]
 
+    def _add(self, scores: np.ndarray, q: np.ndarray, lists: list, blocks: np.ndarray) -> None:
+        for x, (examples, values, starts, top) in zip(q, lists, strict=True):
+            for b in blocks[top[blocks] > 0]:
+                part = slice(starts[b], starts[b + 1])
+                scores[examples[part]] += x * values[part]
+
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         v = cosines**2 * self.weights[self.labels[near]]
         return float(((v * self.labels[near]).sum() + OPEN * self.prior) / (v.sum() + OPEN))
