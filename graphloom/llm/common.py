@@ -61,7 +61,7 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFra
     return made.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row")).drop("_id", "_part", "_row", "_offset")
 
 
-def batches(frames: Iterator, most: int = 32 << 20) -> Iterator:
+def batches(frames: Iterator, most: int = 8 << 20) -> Iterator:
     """The record batches of mapInArrow cut so that each holds few bytes, and one row at least."""
     for batch in frames:
         n = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))

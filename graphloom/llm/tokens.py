@@ -20,7 +20,7 @@ import tiktoken
 VOCABULARY = "byte_bpe_50k"
 END = 0
 #: Cuts that a worker remembers: a fixed bound on its memory, not on what is encoded.
-MEMO = 600_000
+MEMO = 250_000
 LONGEST_MEMO = 24
 #: White space besides space and newline, as any of the libraries sees it.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
