@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions import text as t
-from ..operators import files, providers, search
+from ..operators import files, folds, providers, search
 from ..sources import code
 from ..sources import views as v
 from ..sources.views import sql
@@ -45,11 +46,18 @@ def file_headers(spark, d):
 def manifest_deps(spark, d):
     """A go.mod for each host, with its pages as requirements."""
     url = F.regexp_replace("url", r"^https?://|[?#].*$", "")
-    pages = v.table(spark, d, "pages").select(F.split(url, "/")[0].alias("host"), url.alias("dep"))
-    body = pages.groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_set("dep")), lambda x: F.concat(F.lit("\t"), x, F.lit(" v1"))), "\n").alias("deps"))
-    text = F.concat(F.lit("module m\n\nrequire (\n\t// pages\n"), F.col("deps"), F.lit("\n)\nrequire other v1\n"))
-    rows = body.select(F.concat("host", F.lit("/go.mod")).alias("path"), F.lit("").alias("language"), F.encode(text, "UTF-8").alias("content"))
-    return code.manifests(code.lines_of(rows)).select("path", "language", "dep")
+    pages = v.table(spark, d, "pages").select(F.split(url, "/")[0].alias("host"), url.alias("dep")).distinct()
+
+    def line(at: int, dep: Column, text: Column) -> list[Column]:
+        """A line at its place: files are made of lines, as a host's file can be too long for one row."""
+        return [F.concat("host", F.lit("/go.mod")).alias("path"), F.lit("").alias("language"), F.struct(F.lit(at).alias("at"), dep.alias("dep")).alias("line"), text.alias("text")]
+
+    hosts = pages.select("host").distinct()
+    lines = pages.select(*line(4, F.col("dep"), F.concat(F.lit("\t"), F.col("dep"), F.lit(" v1"))))
+    for at, text in enumerate(("module m", "", "require (", "\t// pages", None, ")", "require other v1", "")):
+        if text is not None:
+            lines = lines.unionByName(hosts.select(*line(at, F.lit(""), F.lit(text))))
+    return code.manifests(lines).select("path", "language", "dep")
 
 
 def diff_numstat(spark, d):
@@ -75,8 +83,8 @@ def explain_prompts(spark, d):
 
 def summarize_prompts(spark, d):
     docs = v.table(spark, d, "documents")
-    modules = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("lang").alias("path"), F.col("text").alias("source")))).alias("files"))
-    return modules.select("source", F.sha2(prompts.summarize(F.col("source"), F.col("files")), 256).alias("prompt_hash"))
+    hashed = folds.joined_hash(docs, F.col("source"), F.col("doc_id"), prompts.section(F.col("lang"), F.col("text")), prompts.summary_head(F.col("key")), prompts.BETWEEN, "")
+    return hashed.select(F.col("key").alias("source"), F.col("hash").alias("prompt_hash"))
 
 
 def explain_answers(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import answers, files
+from ..operators import files, folds
 from ..sources import views as v
 from ..sources.views import sql
 
@@ -77,8 +77,8 @@ def content_hash(spark, d):
 
 
 def module_hashes(spark, d):
-    rows = v.table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("all"))
-    return rows.select("source", t.module_hash(F.transform("all", lambda x: x["h"])).alias("module_hash"))
+    hashed = folds.joined_hash(v.table(spark, d, "documents"), F.col("source"), F.col("doc_id"), F.sha2("text", 256), F.lit("["), " ", "]")
+    return hashed.select(F.col("key").alias("source"), F.col("hash").alias("module_hash"))
 
 
 def text_tokens(spark, d):
@@ -96,10 +96,7 @@ def truncate_text(spark, d):
 
 def token_budget(spark, d):
     """Messages of each conversation, in order, against a budget of 200 tokens."""
-    rows = v.table(spark, d, "conversations").select("conv_id", F.struct("turn", t.text_tokens(F.col("text")).cast("long").alias("n")).alias("m"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("all"))
-    got = answers.allocated(F.transform("all", lambda m: m["n"]), 200)
-    return turns.select("conv_id", F.posexplode(F.arrays_zip(F.col("all.turn").alias("turn"), got.alias("got"))).alias("at", "x")).select("conv_id", F.col("x.turn").alias("turn"), F.col("x.got").alias("allocated"))
+    return folds.allocated(v.table(spark, d, "conversations"), "conv_id", "turn", t.text_tokens(F.col("text")), 200)
 
 
 def changed_files(spark, d):

@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import prompts
 from graphloom.functions import text as t
-from graphloom.operators import answers, providers, search
+from graphloom.operators import answers, folds, providers, search
+from graphloom.plans import registry
+
+from .conftest import TINY
 
 
 def value(spark, column):
@@ -83,3 +87,23 @@ def test_answers_come_from_the_cache_or_the_provider(spark):
     cache = keyed.filter("content_hash = 'h1'").select("key", F.lit("old").alias("response"), F.lit("2024-01-30 00:00:00").cast("timestamp").alias("created_at"))
     got = sorted((r.from_cache, r.response) for r in providers.answered(requests, cache, now).collect())
     assert got == [(False, "A mock answer to 3 characters."), (True, "old")]
+
+
+def test_folds_of_one_long_group(spark):
+    """A group's hash and budget are those of the array functions, and no plan collects a group."""
+    rows = spark.createDataFrame([(None if i == 5 else "m" if i % 3 else "n", i, None if i == 7 else f"part {i}\nx" * 150) for i in range(400)], "k string, at int, x string").repartition(5)
+    hashed = folds.joined_hash(rows, F.col("k"), F.col("at"), prompts.section(F.col("k"), F.col("x")), prompts.summary_head(F.col("key")), prompts.BETWEEN, "")
+    whole = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", F.col("k").alias("path"), F.col("x").alias("source")))).alias("all"))
+    assert {tuple(r) for r in hashed.collect()} == {tuple(r) for r in whole.select("k", F.sha2(prompts.summarize(F.col("k"), F.col("all")), 256)).collect()}
+    turns = spark.range(20_000).select((F.col("id") % 2).alias("c"), F.col("id").alias("turn"), (F.col("id") % 7).alias("n")).repartition(5)
+    got, left = {}, {0: 40_000, 1: 100}
+    for i in range(20_000):
+        got[i] = i % 7 if i % 7 <= left[i % 2] else 0
+        left[i % 2] -= got[i]
+    assert {r.turn: r.allocated for r in folds.allocated(turns.filter("c = 1"), "c", "turn", F.col("n"), 100).collect()} == {i: n for i, n in got.items() if i % 2}
+
+
+@pytest.mark.parametrize("name", ["summarize_prompts", "module_hashes", "manifest_deps", "token_budget"])
+def test_no_row_holds_a_whole_group(spark, name):
+    plan = registry.queries()[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
