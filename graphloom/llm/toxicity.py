@@ -1,27 +1,31 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The index holds at most `positives` + `negatives` labelled texts, chosen by a hash of their ids:
-that bound is a parameter, and so is what is sent to the tasks. Terms are words and word beginnings whose
-chi-square against the label is at least `least_chi`; weights are (1 + ln tf) ln(N / df), cosine-normalised.
-Postings are kept in blocks of examples with the largest weight of each term in each block. A
-query adds these up to bound every block, scores the blocks with the highest bounds, and then only
-those that can still reach the k-th best (all at once if these are many): the neighbours are exact,
-ties by example number.
+that bound is a parameter, and so is what is sent to the tasks. Terms are all words and word beginnings
+of the examples; weights are (1 + ln tf) ln(N / df), cosine-normalised (words that no example has have no
+df and are left out of a query). Short postings are added up whole. For those longer than a block, the
+largest weight of each term in each block of examples bounds what a block can still gain, and the norms of
+the example and the query over long terms bound what an example can; only examples that can still reach
+the k-th best are scored (by all postings at once if these are many): the neighbours are exact, ties by
+example number.
 
 Neighbours vote with their squared similarity, corrected for the share of each label that was
-sampled, and with the prior for what they leave open. A logistic curve fitted on leave-one-out
-votes of the examples makes votes probabilities. Evidence names the nearest examples.
+sampled, and with the prior for what they leave open. A second vote is among the examples nearest by those
+terms alone whose chi-square against the label is at least `least_chi`. A logistic curve fitted on
+leave-one-out votes of the examples makes both votes a probability. Evidence names the nearest examples by
+all terms.
 
-Defined cases: null and empty texts, and those without any term, have no neighbours: their vote is
-the prior; equal texts have equal scores; with no labelled row every score is 0; no rows give no
+Defined cases: null and empty texts, and those without a word of any example, have no neighbours: their
+votes are the prior; equal texts have equal scores; with no labelled row every score is 0; no rows give no
 rows. An id with several labels counts as toxic if one of them says so.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from itertools import chain
 from math import log, sqrt
@@ -39,10 +43,11 @@ LEAST_CHI = 25.0
 LEAST_DOCUMENTS = 4
 NEIGHBOURS = 50
 BLOCK = 256
-FIRST_BLOCKS = 2
+#: Examples are scored one by one if at most this share of them can be among the nearest.
+FEW = 0.2
 OPEN = 1e-3
-#: Scores that a worker remembers by their terms.
-MEMO = 200_000
+#: Words whose terms a worker remembers, and texts whose scores it does.
+MEMO, SCORES = 200_000, 10_000
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are terms as well, written with a star.
 STEMS = (4, 5, 6, 7)
@@ -70,6 +75,69 @@ class Terms(dict):
         return found
 
 
+class Postings(Mapping):
+    """Of each term: examples, weights, and for those longer than a block block starts and block maxima; all in a few arrays."""
+
+    def __init__(self, terms: dict[str, int], n: int, at: np.ndarray, examples: np.ndarray, values: np.ndarray):
+        """terms: numbers of the terms. at, examples, values: a row for each term of an example, by term, then example."""
+        self.terms, self.n, self.examples, self.values = terms, n, examples.astype(np.int32), values
+        self.starts = np.searchsorted(at, np.arange(len(terms) + 1))
+        long = np.flatnonzero(np.diff(self.starts) > BLOCK)
+        self.long = np.full(len(terms), -1, np.int32)
+        self.long[long] = np.arange(len(long))
+        self.block = np.arange(n) // BLOCK
+        self.blocks = -(-n // BLOCK)
+        own = np.flatnonzero(self.long[at] >= 0) if len(terms) else np.zeros(0, np.int64)
+        self.top = np.zeros((len(long), self.blocks))
+        np.maximum.at(self.top, (self.long[at[own]], self.block[examples[own]]), values[own])
+        # The long terms of each example.
+        own = own[np.argsort(examples[own], kind="stable")]
+        self.of, self.of_values = self.long[at[own]], values[own]
+        self.of_starts = np.searchsorted(examples[own], np.arange(n + 1))
+        self.norms = np.sqrt(np.bincount(examples[own], self.of_values**2, n))
+
+    def __getitem__(self, term: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        t = self.terms[term]
+        part = slice(self.starts[t], self.starts[t + 1])
+        examples, values = self.examples[part], self.values[part]
+        top = np.zeros(self.blocks)
+        np.maximum.at(top, self.block[examples], values)
+        return examples, values, np.searchsorted(examples, np.arange(self.blocks + 1) * BLOCK), top
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.terms)
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def added(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What these terms give to each example."""
+        spans = [slice(a, b) for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), strict=True)]
+        if not spans:
+            return np.zeros(self.n)
+        values = np.concatenate([self.values[x] for x in spans])
+        values *= np.repeat(q, self.starts[at + 1] - self.starts[at])
+        return np.bincount(np.concatenate([self.examples[x] for x in spans], dtype=np.intp), values, self.n)
+
+    def gained(self, q: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """What the long terms give to these examples; q: by long term."""
+        sizes = self.of_starts[examples + 1] - self.of_starts[examples]
+        at = np.repeat(self.of_starts[examples] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(np.repeat(np.arange(len(examples)), sizes), q[self.of[at]] * self.of_values[at], len(examples))
+
+
+class Numbers(dict):
+    """Numbers of a word's terms, given as terms come up."""
+
+    def __init__(self):
+        super().__init__()
+        self.terms: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self[word] = found = tuple(self.terms.setdefault(t, len(self.terms)) for t in terms_of(word))
+        return found
+
+
 @dataclass
 class Index:
     """Block-max inverted index over labelled examples, and the curve from votes to scores."""
@@ -79,10 +147,12 @@ class Index:
     weights: np.ndarray  # of each label's votes
     prior: float
     idf: dict[str, float]
-    postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # examples, weights, block starts, block maxima
-    slope: float = 1.0
+    postings: Postings
+    lexicon: Index | None = None  # the same examples by the terms that tell the labels apart
+    slope: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0]))
     shift: float = 0.0
     memo: dict = field(default_factory=dict)
+    pruned: int = 0  # queries that needed no long posting as a whole
 
     def __post_init__(self) -> None:
         self.terms = Terms(self.idf)
@@ -96,22 +166,30 @@ class Index:
         if not len(q) or not q.any():
             return np.zeros(0, np.int64), np.zeros(0)
         q = q / sqrt(float(q @ q))
-        lists = [self.postings[w] for w, _ in terms]
-        scores, done = np.zeros(len(self.labels)), False
-        if sum(len(p[0]) for p in lists) > FIRST_BLOCKS * BLOCK * len(lists):
-            # The best blocks come first; then the few that could still reach the k-th best, if they are few.
-            bound = q @ np.stack([p[3] for p in lists])
-            first = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bound) > FIRST_BLOCKS else np.arange(len(bound))
-            self._add(scores, q, lists, first)
-            floor = float(np.partition(scores, -k - 1)[-k - 1]) if len(scores) > k + 1 else 0.0
-            rest = np.setdiff1d(np.flatnonzero((bound >= floor - 1e-9) & (bound > 0)), first)
-            if done := len(rest) <= FIRST_BLOCKS:
-                self._add(scores, q, lists, rest)
-            else:
+        lists = self.postings
+        at = np.array([lists.terms[w] for w, _ in terms])
+        long = lists.long[at]
+        scores = lists.added(q[long < 0], at[long < 0])
+        rest, long = q[long >= 0], long[long >= 0]
+        if len(long):
+            if skip >= 0:
+                scores[skip] = 0
+            bound = scores + np.minimum((rest @ lists.top[long])[lists.block], sqrt(float(rest @ rest)) * lists.norms)
+            by_long = np.zeros(len(lists.top))
+            by_long[long] = rest
+            # The examples that lead so far give a floor; then come the few that could still reach it, if they are few.
+            first = np.argpartition(-bound, k + 1)[: k + 1] if len(bound) > k + 1 else np.arange(len(bound))
+            first = first[first != skip]
+            sure = scores[first] + lists.gained(by_long, first)
+            floor = float(np.partition(sure, -k)[-k]) if len(sure) >= k else 0.0
+            left = np.flatnonzero((bound >= floor - 1e-9) & (bound > 0))
+            if len(left) <= FEW * len(bound):
+                self.pruned += 1
+                kept = scores[left] + lists.gained(by_long, left)
                 scores[:] = 0
-        if not done:
-            for x, p in zip(q, lists, strict=True):
-                scores[p[0]] += x * p[1]
+                scores[left] = kept
+            else:
+                scores += lists.added(rest, at[lists.long[at] >= 0])
         if skip >= 0:
             scores[skip] = 0
         found = np.flatnonzero(scores > 0)
@@ -121,87 +199,124 @@ class Index:
         best = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
         return best, scores[best]
 
-    def _add(self, scores: np.ndarray, q: np.ndarray, lists: list, blocks: np.ndarray) -> None:
-        for x, (examples, values, starts, top) in zip(q, lists, strict=True):
-            for b in blocks[top[blocks] > 0]:
-                part = slice(starts[b], starts[b + 1])
-                scores[examples[part]] += x * values[part]
-
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         v = cosines**2 * self.weights[self.labels[near]]
         return float(((v * self.labels[near]).sum() + OPEN * self.prior) / (v.sum() + OPEN))
 
-    def curve(self, vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
+    def votes(self, terms: tuple[tuple[str, int], ...], near: np.ndarray, cosines: np.ndarray, k: int, skip: int = -1) -> list[float]:
+        """By all terms, whose neighbours are given, and by the lexicon."""
+        telling = tuple((w, n) for w, n in terms if w in self.lexicon.idf)
+        return [self.vote(near, cosines), self.vote(*self.lexicon.neighbours(telling, k, skip))]
+
+    def curve(self, votes: list[float]) -> float:
+        v = np.clip(votes, 1e-6, 1 - 1e-6)
+        return float(1 / (1 + np.exp(-(self.slope @ np.log(v / (1 - v)) + self.shift))))
 
     def score(self, text: str | None) -> tuple[float, list]:
         if not len(self.labels):
             return 0.0, []
         terms = self.query(text)
-        if terms not in self.memo:
-            if len(self.memo) >= MEMO:
+        key = hashlib.blake2b(repr(terms).encode(), digest_size=16).digest()
+        if key not in self.memo:
+            if len(self.memo) >= SCORES:
                 self.memo.clear()
             near, cosines = self.neighbours(terms, NEIGHBOURS)
-            self.memo[terms] = self.curve(self.vote(near, cosines)), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:5], cosines[:5], strict=True)]
-        return self.memo[terms]
+            self.memo[key] = self.curve(self.votes(terms, near, cosines, NEIGHBOURS)), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:5], cosines[:5], strict=True)]
+        return self.memo[key]
 
 
-def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0, 1.0), least_chi: float = LEAST_CHI, neighbours: int = NEIGHBOURS) -> Index:
-    """An index of these examples. rates: the share of all rows of label 0 and of label 1 that they are."""
+def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0, 1.0), least_chi: float = LEAST_CHI, neighbours: int = NEIGHBOURS, spread: Callable | None = None) -> Index:
+    """An index of these examples. rates: the share of all rows of label 0 and of label 1 that they are. spread: how leave-one-out votes are taken."""
     y = np.array(labels, np.int64)
     n, weights = len(y), np.array([1 / max(r, 1e-9) for r in rates])
     total = weights[y].sum() if n else 1.0
     prior = float((weights[y] * y).sum() / total) if n else 0.0
-    with_term: Counter = Counter()
-    toxic_with: Counter = Counter()
-    for text, label in zip(texts, labels, strict=True):
-        terms = {t for w in set(words_of(text)) for t in terms_of(w)}
-        with_term.update(terms)
-        if label:
-            toxic_with.update(terms)
-    p = int(y.sum())
-    idf = {}
-    for w, m in with_term.items():
-        a, b = toxic_with[w], m - toxic_with[w]
-        c, d = p - a, n - p - b
-        if LEAST_DOCUMENTS <= m < n and n * (a * d - b * c) ** 2 >= least_chi * m * (n - m) * p * (n - p) > 0:
-            idf[w] = float(np.log(n / m))
-    own = Terms(idf)
-    vectors = [{w: (1 + np.log(k)) * idf[w] for w, k in Counter(chain.from_iterable(map(own.__getitem__, words_of(t)))).items()} for t in texts]
-    # Examples with the same heaviest term stand together, which keeps block maxima apart.
-    order = sorted(range(n), key=lambda i: (min(((-x, w) for w, x in vectors[i].items()), default=(0.0, ""))[::-1], str(ids[i])))
-    lists: dict[str, list] = {w: [] for w in idf}
-    for at, i in enumerate(order):
-        norm = np.sqrt(sum(x * x for x in vectors[i].values()))
-        for w, x in vectors[i].items():
-            lists[w].append((at, x / norm))
-    blocks, postings = -(-n // BLOCK), {}
-    for w, pairs in lists.items():
-        examples, values = np.array([i for i, _ in pairs], np.int64), np.array([x for _, x in pairs])
-        starts = np.searchsorted(examples, np.arange(blocks + 1) * BLOCK)
-        top = np.zeros(blocks)
-        np.maximum.at(top, examples // BLOCK, values)
-        postings[w] = examples, values, starts, top
-    out = Index([ids[i] for i in order], y[order] if n else y, weights, prior, idf, postings)
+    numbers, rows = Numbers(), []  # numbers and counts of each text's terms
+    for text in texts:
+        counts = Counter(chain.from_iterable(map(numbers.__getitem__, words_of(text))))
+        rows.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
+    numbers = numbers.terms
+    sizes = [len(a) for a, _ in rows]
+    of, at = np.repeat(np.arange(n, dtype=np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *(a for a, _ in rows)])
+    heights = 1 + np.log(np.concatenate([np.zeros(0, np.int32), *(k for _, k in rows)]))
+    del rows
+    m = np.bincount(at, minlength=len(numbers)).astype(float)
+    a, p = np.bincount(at, y[of], len(numbers)) if n else m, int(y.sum())
+    gap = a * (n - p - (m - a)) - (m - a) * (p - a)
+    all_terms = m < n
+    telling = all_terms & (m >= LEAST_DOCUMENTS) & (n * gap**2 >= least_chi * m * (n - m) * p * (n - p)) & (0 < p < n)
+    names = np.array(list(numbers), object)
+    log_idf = np.log(n / m)
+
+    def vectors(chosen: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Log weights of the chosen terms; term numbers, examples and normalised weights of their places."""
+        kept = chosen[at]
+        new = np.cumsum(chosen) - 1
+        where, who, x = new[at[kept]], of[kept], heights[kept] * log_idf[at[kept]]
+        norms = np.sqrt(np.bincount(who, x * x, n))
+        return dict(zip(names[chosen].tolist(), log_idf[chosen].tolist(), strict=True)), where, who, x / norms[who]
+
+    lexicon = vectors(telling)
+    # Examples with the same heaviest term of the lexicon stand together, which keeps block maxima apart.
+    words, heaviest = list(lexicon[0]), {}
+    for w, i, x in zip(lexicon[1].tolist(), lexicon[2].tolist(), lexicon[3].tolist(), strict=True):
+        heaviest[i] = min(heaviest.get(i, (0.0, "")), (-x, words[w]))
+    order = sorted(range(n), key=lambda i: (heaviest.get(i, (0.0, ""))[::-1], str(ids[i])))
+    place = np.argsort(order) if n else np.zeros(0, np.int64)
+
+    def made(idf: dict, where: np.ndarray, who: np.ndarray, x: np.ndarray, **more) -> Index:
+        by = np.argsort(where * n + place[who])
+        found = Postings({w: i for i, w in enumerate(idf)}, n, where[by], place[who[by]], x[by])
+        return Index([ids[i] for i in order], y[order] if n else y, weights, prior, idf, found, **more)
+
+    lexicon = made(*lexicon)
+    out = made(*vectors(all_terms), lexicon=lexicon)
     if n and 0 < p < n:
-        votes = np.array([out.vote(*out.neighbours(out.query(texts[i]), neighbours, skip=at)) for at, i in enumerate(order)])
+        votes = (spread or here)(out, [texts[i] for i in order], neighbours)
         out.slope, out.shift = logistic(np.clip(votes, 1e-6, 1 - 1e-6), out.labels, weights[out.labels])
+    out.terms.clear()  # not sent to the tasks
     return out
 
 
-def logistic(votes: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of the weighted logistic fit on log odds, by damped Newton steps; the slope stays positive."""
-    x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))], 1)
+def left_out(index: Index, rows: Iterable[tuple[int, str]], k: int) -> list[tuple[int, list[float]]]:
+    """The votes of examples on themselves, by example number."""
+    out = []
+    for i, text in rows:
+        terms = index.query(text)
+        out.append((i, index.votes(terms, *index.neighbours(terms, k, skip=i), k, skip=i)))
+    return out
+
+
+def here(index: Index, texts: list[str], k: int) -> list[list[float]]:
+    return [v for _, v in left_out(index, enumerate(texts), k)]
+
+
+def by_tasks(spark: SparkSession) -> Callable:
+    """The same as here(), in tasks."""
+
+    def spread(index: Index, texts: list[str], k: int) -> list[list[float]]:
+        sc = spark.sparkContext
+        shared = sc.broadcast(index)
+        rows = sc.parallelize(list(enumerate(texts)), 4 * sc.defaultParallelism)
+        found = dict(rows.mapPartitions(lambda part: left_out(shared.value, part, k)).collect())
+        shared.destroy()
+        return [found[i] for i in range(len(texts))]
+
+    return spread
+
+
+def logistic(votes: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Slopes and shift of the weighted logistic fit on log odds, by damped Newton steps; the slopes stay positive."""
+    x = np.concatenate([np.log(votes / (1 - votes)), np.ones((len(votes), 1))], 1)
     w = weights / weights.mean()
-    theta = np.array([1.0, 0.0])
+    theta = start = np.array([1.0] * votes.shape[1] + [0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ theta))
-        slope = x.T @ (w * (p - y)) + 1e-2 * (theta - [1.0, 0.0])
-        curve = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        slope = x.T @ (w * (p - y)) + 1e-2 * (theta - start)
+        curve = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(theta))
         theta = theta - np.clip(np.linalg.solve(curve, slope), -1, 1)
-        theta[0] = max(theta[0], 0.1)
-    return float(theta[0]), float(theta[1])
+        theta[:-1] = np.maximum(theta[:-1], 0.1)
+    return theta[:-1], float(theta[-1])
 
 
 def learned(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, **how) -> Index:
@@ -214,7 +329,7 @@ def learned(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "do
     # At most about positives + negatives ids: the bound of this broadcast.
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(F.broadcast(chosen), "id").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
-    return indexed([r["id"] for r in rows], [r["text"] or "" for r in rows], [int(r["label"] > 0) for r in rows], rates, **how)
+    return indexed([r["id"] for r in rows], [r["text"] or "" for r in rows], [int(r["label"] > 0) for r in rows], rates, spread=by_tasks(docs.sparkSession), **how)
 
 
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,6 +113,16 @@ def test_neighbours_are_exact(spark):
         assert list(near) == want and np.allclose(cosines, scores[want])
 
 
+def test_texts_without_telling_terms_have_their_neighbours():
+    """Every word counts: a text that shares only words of one or two examples finds them, a copy first."""
+    texts, labels = _examples()
+    texts, labels = [*texts, "zyxwv quartz obelisk", "zyxwv marimba"], [*labels, 1, 0]
+    index = toxicity.indexed(list(range(len(texts))), texts, labels)
+    near, cosines = index.neighbours(index.query(texts[-2]), 5)
+    assert index.ids[near[0]] == len(texts) - 2 and abs(cosines[0] - 1) < 1e-9 and index.ids[near[1]] == len(texts) - 1
+    assert [i for i, _, _ in index.score("obelisk")[1]] == [len(texts) - 2]
+
+
 def test_scores_are_calibrated_and_never_fail(spark, table):
     texts, labels = _examples()
     index = toxicity.indexed(list(range(len(texts))), texts, labels)
