@@ -3,11 +3,10 @@
 The index holds at most `positives` + `negatives` labelled texts, chosen by a hash of their ids:
 that bound is a parameter, and so is what is sent to the tasks. Terms are all words and word beginnings
 of the examples; weights are (1 + ln tf) ln(N / df), cosine-normalised (words that no example has have no
-df and are left out of a query). Short postings are added up whole. For those longer than a block, the
-largest weight of each term in each block of examples bounds what a block can still gain, and the norms of
-the example and the query over long terms bound what an example can; only examples that can still reach
-the k-th best are scored (by all postings at once if these are many): the neighbours are exact, ties by
-example number.
+df and are left out of a query). Examples that are alike stand together in blocks, and each posting list
+knows its largest weight in each block. These maxima bound what a block's examples can reach. The few most
+promising blocks are scored first; of the others only those whose bound reaches the k-th best so far, so the
+neighbours are exact, ties by example number.
 
 Neighbours vote with their squared similarity, corrected for the share of each label that was
 sampled, and with the prior for what they leave open. A second vote is among the examples nearest by those
@@ -17,7 +16,7 @@ all terms.
 
 Defined cases: null and empty texts, and those without a word of any example, have no neighbours: their
 votes are the prior; equal texts have equal scores; with no labelled row every score is 0; no rows give no
-rows. An id with several labels counts as toxic if one of them says so.
+rows. An id with several labels counts as toxic if one of them says so. Ids may be of any simple type.
 """
 
 from __future__ import annotations
@@ -25,32 +24,33 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
-from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batches, column, documents
 from .language import held_out
 
-POSITIVES, NEGATIVES = 3000, 6000
+POSITIVES, NEGATIVES = 1200, 1800
 LEAST_CHI = 25.0
 LEAST_DOCUMENTS = 4
 NEIGHBOURS = 50
-BLOCK = 256
-#: Examples are scored one by one if at most this share of them can be among the nearest.
-FEW = 0.2
+#: Examples in a block, and blocks that are scored before the others are looked at.
+BLOCK, AHEAD = 128, 2
+#: Terms by which examples are put into blocks.
+DIRECTIONS, FREQUENT = 6, 384
 OPEN = 1e-3
 #: Words whose terms a worker remembers, and texts whose scores it does.
-MEMO, SCORES = 200_000, 10_000
+MEMO, SCORES = 150_000, 10_000
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are terms as well, written with a star.
-STEMS = (4, 5, 6, 7)
+STEMS = (5,)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,83 +61,103 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """starts[0]..ends[0]-1, starts[1]..ends[1]-1 and so on."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Terms(dict):
-    """The index's terms in a word; what it remembers is bounded."""
+    """Numbers of the index's terms in a word; what it remembers is bounded."""
 
-    def __init__(self, idf: dict[str, float]):
+    def __init__(self, numbers: dict[str, int]):
         super().__init__()
-        self.idf = idf
+        self.numbers = numbers
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = found = tuple(t for t in terms_of(word) if t in self.idf)
+        self[word] = found = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
         return found
 
 
-class Postings(Mapping):
-    """Of each term: examples, weights, and for those longer than a block block starts and block maxima; all in a few arrays."""
-
-    def __init__(self, terms: dict[str, int], n: int, at: np.ndarray, examples: np.ndarray, values: np.ndarray):
-        """terms: numbers of the terms. at, examples, values: a row for each term of an example, by term, then example."""
-        self.terms, self.n, self.examples, self.values = terms, n, examples.astype(np.int32), values
-        self.starts = np.searchsorted(at, np.arange(len(terms) + 1))
-        long = np.flatnonzero(np.diff(self.starts) > BLOCK)
-        self.long = np.full(len(terms), -1, np.int32)
-        self.long[long] = np.arange(len(long))
-        self.block = np.arange(n) // BLOCK
-        self.blocks = -(-n // BLOCK)
-        own = np.flatnonzero(self.long[at] >= 0) if len(terms) else np.zeros(0, np.int64)
-        self.top = np.zeros((len(long), self.blocks))
-        np.maximum.at(self.top, (self.long[at[own]], self.block[examples[own]]), values[own])
-        # The long terms of each example.
-        own = own[np.argsort(examples[own], kind="stable")]
-        self.of, self.of_values = self.long[at[own]], values[own]
-        self.of_starts = np.searchsorted(examples[own], np.arange(n + 1))
-        self.norms = np.sqrt(np.bincount(examples[own], self.of_values**2, n))
-
-    def __getitem__(self, term: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        t = self.terms[term]
-        part = slice(self.starts[t], self.starts[t + 1])
-        examples, values = self.examples[part], self.values[part]
-        top = np.zeros(self.blocks)
-        np.maximum.at(top, self.block[examples], values)
-        return examples, values, np.searchsorted(examples, np.arange(self.blocks + 1) * BLOCK), top
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self.terms)
-
-    def __len__(self) -> int:
-        return len(self.terms)
-
-    def added(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """What these terms give to each example."""
-        spans = [slice(a, b) for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(self.n)
-        values = np.concatenate([self.values[x] for x in spans])
-        values *= np.repeat(q, self.starts[at + 1] - self.starts[at])
-        return np.bincount(np.concatenate([self.examples[x] for x in spans], dtype=np.intp), values, self.n)
-
-    def gained(self, q: np.ndarray, examples: np.ndarray) -> np.ndarray:
-        """What the long terms give to these examples; q: by long term."""
-        sizes = self.of_starts[examples + 1] - self.of_starts[examples]
-        at = np.repeat(self.of_starts[examples] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(np.repeat(np.arange(len(examples)), sizes), q[self.of[at]] * self.of_values[at], len(examples))
-
-
-class Numbers(dict):
-    """Numbers of a word's terms, given as terms come up."""
-
-    def __init__(self):
-        super().__init__()
-        self.terms: dict[str, int] = {}
+class NewTerms(Terms):
+    """The same, with numbers given as terms come up."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = found = tuple(self.terms.setdefault(t, len(self.terms)) for t in terms_of(word))
+        self[word] = found = tuple(self.numbers.setdefault(t, len(self.numbers)) for t in terms_of(word))
         return found
 
 
+class Postings:
+    """Posting lists cut at blocks of examples; each cut has the block's number and its largest weight."""
+
+    def __init__(self, idf: np.ndarray, n: int, terms: np.ndarray, examples: np.ndarray, values: np.ndarray):
+        """terms, examples, values: a row for each term of an example, by term, then example."""
+        self.idf, self.n, self.blocks = idf, n, -(-n // BLOCK)
+        self.examples, self.values = examples.astype(np.int32), values.astype(np.float32)
+        block = self.examples // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.cut_block, self.cut_start = block[at], np.append(at, len(terms)).astype(np.int32)
+        self.cut_top = np.maximum.reduceat(self.values, at) if len(at) else self.values
+        self.start = np.searchsorted(terms[at], np.arange(len(idf) + 1)).astype(np.int32)
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        q = (1 + np.log(counts)) * self.idf[terms]
+        return q / max(np.sqrt(q @ q), 1e-300)
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Examples and cosines of the k nearest with a cosine over 0, nearest first; blocks scored, and blocks with any of the terms."""
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0), 0, 0
+        starts, ends = self.start[terms], self.start[terms + 1]
+        cuts = ranges(starts, ends)
+        q = np.repeat(self.weights(terms, counts), ends - starts)
+        block = self.cut_block[cuts]
+        bound = np.bincount(block, q * self.cut_top[cuts], self.blocks)
+        scores = np.zeros(self.n)
+
+        def score(chosen: np.ndarray) -> None:
+            own = chosen[block]
+            some, w = cuts[own], q[own]
+            first, last = self.cut_start[some], self.cut_start[some + 1]
+            at = ranges(first, last)
+            scores[:] += np.bincount(self.examples[at], np.repeat(w, last - first) * self.values[at], self.n)
+            if skip >= 0:
+                scores[skip] = 0
+
+        ahead = bound > 0
+        if (some := int(ahead.sum())) > AHEAD:
+            ahead = ahead & (bound >= np.partition(bound, -AHEAD)[-AHEAD])
+        score(ahead)
+        floor = np.partition(scores, -k)[-k] if self.n >= k else 0.0
+        more = (bound >= floor - 1e-9) & (bound > 0) & ~ahead
+        if more.any():
+            score(more)
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            last = np.partition(scores[found], -k)[-k]
+            found = found[scores[found] >= last - 1e-11]
+        best = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
+        return best, scores[best], int(ahead.sum() + more.sum()), some
+
+
+def in_blocks(x: np.ndarray) -> np.ndarray:
+    """An order of the rows of x in which rows that are alike stand together: halves along the widest direction, down to a block."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BLOCK:
+            out.append(rows)
+            continue
+        by = rows[np.argsort(x[rows, x[rows].var(axis=0).argmax()], kind="stable")]
+        half = -(-len(rows) // BLOCK) // 2 * BLOCK
+        todo += [by[half:], by[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 @dataclass
 class Index:
     """Block-max inverted index over labelled examples, and the curve from votes to scores."""
@@ -146,67 +166,38 @@ class Index:
     labels: np.ndarray
     weights: np.ndarray  # of each label's votes
     prior: float
-    idf: dict[str, float]
+    numbers: dict[str, int]  # of the terms
     postings: Postings
-    lexicon: Index | None = None  # the same examples by the terms that tell the labels apart
+    lexicon: Postings  # the same examples by the terms that tell the labels apart
+    telling: np.ndarray  # the lexicon's numbers of the terms, or -1
     slope: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0]))
     shift: float = 0.0
-    memo: dict = field(default_factory=dict)
-    pruned: int = 0  # queries that needed no long posting as a whole
 
     def __post_init__(self) -> None:
-        self.terms = Terms(self.idf)
-
-    def query(self, text: str | None) -> tuple[tuple[str, int], ...]:
-        return tuple(sorted(Counter(chain.from_iterable(map(self.terms.__getitem__, words_of(text)))).items()))
-
-    def neighbours(self, terms: tuple[tuple[str, int], ...], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a cosine over 0, nearest first; `skip` is left out."""
-        q = np.array([(1 + log(n)) * self.idf[w] for w, n in terms])
-        if not len(q) or not q.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = q / sqrt(float(q @ q))
-        lists = self.postings
-        at = np.array([lists.terms[w] for w, _ in terms])
-        long = lists.long[at]
-        scores = lists.added(q[long < 0], at[long < 0])
-        rest, long = q[long >= 0], long[long >= 0]
-        if len(long):
-            if skip >= 0:
-                scores[skip] = 0
-            bound = scores + np.minimum((rest @ lists.top[long])[lists.block], sqrt(float(rest @ rest)) * lists.norms)
-            by_long = np.zeros(len(lists.top))
-            by_long[long] = rest
-            # The examples that lead so far give a floor; then come the few that could still reach it, if they are few.
-            first = np.argpartition(-bound, k + 1)[: k + 1] if len(bound) > k + 1 else np.arange(len(bound))
-            first = first[first != skip]
-            sure = scores[first] + lists.gained(by_long, first)
-            floor = float(np.partition(sure, -k)[-k]) if len(sure) >= k else 0.0
-            left = np.flatnonzero((bound >= floor - 1e-9) & (bound > 0))
-            if len(left) <= FEW * len(bound):
-                self.pruned += 1
-                kept = scores[left] + lists.gained(by_long, left)
-                scores[:] = 0
-                scores[left] = kept
-            else:
-                scores += lists.added(rest, at[lists.long[at] >= 0])
-        if skip >= 0:
-            scores[skip] = 0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            last = np.partition(scores[found], -k)[-k]
-            found = found[scores[found] >= last - 1e-11]
-        best = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
-        return best, scores[best]
+        self.terms, self.memo = Terms(self.numbers), {}
+        self.scored = self.met = 0  # blocks
+
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, rising, and counts of a text's terms."""
+        found = Counter(chain.from_iterable(map(self.terms.__getitem__, words_of(text))))
+        terms = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(found.values(), np.float64, len(found))[order]
+
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        near, cosines, scored, met = self.postings.nearest(terms, counts, k, skip)
+        self.scored += scored
+        self.met += met
+        return near, cosines
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         v = cosines**2 * self.weights[self.labels[near]]
         return float(((v * self.labels[near]).sum() + OPEN * self.prior) / (v.sum() + OPEN))
 
-    def votes(self, terms: tuple[tuple[str, int], ...], near: np.ndarray, cosines: np.ndarray, k: int, skip: int = -1) -> list[float]:
+    def votes(self, terms: np.ndarray, counts: np.ndarray, near: np.ndarray, cosines: np.ndarray, k: int, skip: int = -1) -> list[float]:
         """By all terms, whose neighbours are given, and by the lexicon."""
-        telling = tuple((w, n) for w, n in terms if w in self.lexicon.idf)
-        return [self.vote(near, cosines), self.vote(*self.lexicon.neighbours(telling, k, skip))]
+        own = self.telling[terms]
+        return [self.vote(near, cosines), self.vote(*self.lexicon.nearest(own[own >= 0], counts[own >= 0], k, skip)[:2])]
 
     def curve(self, votes: list[float]) -> float:
         v = np.clip(votes, 1e-6, 1 - 1e-6)
@@ -215,62 +206,59 @@ class Index:
     def score(self, text: str | None) -> tuple[float, list]:
         if not len(self.labels):
             return 0.0, []
-        terms = self.query(text)
-        key = hashlib.blake2b(repr(terms).encode(), digest_size=16).digest()
+        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
         if key not in self.memo:
             if len(self.memo) >= SCORES:
                 self.memo.clear()
-            near, cosines = self.neighbours(terms, NEIGHBOURS)
-            self.memo[key] = self.curve(self.votes(terms, near, cosines, NEIGHBOURS)), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:5], cosines[:5], strict=True)]
+            query = self.query(text)
+            near, cosines = self.neighbours(*query, NEIGHBOURS)
+            self.memo[key] = self.curve(self.votes(*query, near, cosines, NEIGHBOURS)), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:5], cosines[:5], strict=True)]
         return self.memo[key]
 
 
 def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0, 1.0), least_chi: float = LEAST_CHI, neighbours: int = NEIGHBOURS, spread: Callable | None = None) -> Index:
     """An index of these examples. rates: the share of all rows of label 0 and of label 1 that they are. spread: how leave-one-out votes are taken."""
     y = np.array(labels, np.int64)
-    n, weights = len(y), np.array([1 / max(r, 1e-9) for r in rates])
+    n, p, weights = len(y), int(sum(labels)), np.array([1 / max(r, 1e-9) for r in rates])
     total = weights[y].sum() if n else 1.0
     prior = float((weights[y] * y).sum() / total) if n else 0.0
-    numbers, rows = Numbers(), []  # numbers and counts of each text's terms
+    seen, rows = NewTerms({}), []  # numbers and counts of each text's terms
     for text in texts:
-        counts = Counter(chain.from_iterable(map(numbers.__getitem__, words_of(text))))
-        rows.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
-    numbers = numbers.terms
-    sizes = [len(a) for a, _ in rows]
-    of, at = np.repeat(np.arange(n, dtype=np.int32), sizes), np.concatenate([np.zeros(0, np.int32), *(a for a, _ in rows)])
-    heights = 1 + np.log(np.concatenate([np.zeros(0, np.int32), *(k for _, k in rows)]))
-    del rows
-    m = np.bincount(at, minlength=len(numbers)).astype(float)
-    a, p = np.bincount(at, y[of], len(numbers)) if n else m, int(y.sum())
+        counts = Counter(chain.from_iterable(map(seen.__getitem__, words_of(text))))
+        rows.append((np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))))
+    names = seen.numbers
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(a) for a, _ in rows])
+    at = np.concatenate([np.zeros(0, np.int32), *(a for a, _ in rows)])
+    heights = 1 + np.log(np.concatenate([np.zeros(0, np.float32), *(k for _, k in rows)]))
+    del rows, seen
+    m = np.bincount(at, minlength=len(names)).astype(float)
+    a = np.bincount(at, y[of], len(names)) if n else m
     gap = a * (n - p - (m - a)) - (m - a) * (p - a)
-    all_terms = m < n
-    telling = all_terms & (m >= LEAST_DOCUMENTS) & (n * gap**2 >= least_chi * m * (n - m) * p * (n - p)) & (0 < p < n)
-    names = np.array(list(numbers), object)
-    log_idf = np.log(n / m)
-
-    def vectors(chosen: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-        """Log weights of the chosen terms; term numbers, examples and normalised weights of their places."""
-        kept = chosen[at]
-        new = np.cumsum(chosen) - 1
-        where, who, x = new[at[kept]], of[kept], heights[kept] * log_idf[at[kept]]
-        norms = np.sqrt(np.bincount(who, x * x, n))
-        return dict(zip(names[chosen].tolist(), log_idf[chosen].tolist(), strict=True)), where, who, x / norms[who]
-
-    lexicon = vectors(telling)
-    # Examples with the same heaviest term of the lexicon stand together, which keeps block maxima apart.
-    words, heaviest = list(lexicon[0]), {}
-    for w, i, x in zip(lexicon[1].tolist(), lexicon[2].tolist(), lexicon[3].tolist(), strict=True):
-        heaviest[i] = min(heaviest.get(i, (0.0, "")), (-x, words[w]))
-    order = sorted(range(n), key=lambda i: (heaviest.get(i, (0.0, ""))[::-1], str(ids[i])))
-    place = np.argsort(order) if n else np.zeros(0, np.int64)
-
-    def made(idf: dict, where: np.ndarray, who: np.ndarray, x: np.ndarray, **more) -> Index:
-        by = np.argsort(where * n + place[who])
-        found = Postings({w: i for i, w in enumerate(idf)}, n, where[by], place[who[by]], x[by])
-        return Index([ids[i] for i in order], y[order] if n else y, weights, prior, idf, found, **more)
-
-    lexicon = made(*lexicon)
-    out = made(*vectors(all_terms), lexicon=lexicon)
+    told = (m >= LEAST_DOCUMENTS) & (m < n) & (n * gap**2 >= least_chi * m * (n - m) * p * (n - p)) & (0 < p < n)
+    idf = np.log(n / np.maximum(m, 1))  # 0 for what all examples have
+
+    # Blocks: by the leading directions of the examples in their frequent terms.
+    frequent = np.argsort(-m, kind="stable")[:FREQUENT]
+    place = np.full(len(names), -1)
+    place[frequent] = np.arange(len(frequent))
+    x = np.zeros((n, len(frequent)), np.float32)
+    own = place[at] >= 0
+    x[of[own], place[at[own]]] = heights[own] * idf[at[own]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    order = in_blocks(x @ np.linalg.eigh(x.T @ x)[1][:, -DIRECTIONS:]) if n and len(frequent) else np.arange(n)
+    del x
+    rank = np.argsort(order).astype(np.int32)
+
+    def postings(chosen: np.ndarray) -> Postings:
+        kept = np.flatnonzero(chosen[at])
+        terms, who = (np.cumsum(chosen, dtype=np.int32) - 1)[at[kept]], rank[of[kept]]
+        value = heights[kept] * idf[at[kept]]
+        value /= np.maximum(np.sqrt(np.bincount(who, value**2, n)), 1e-300)[who]
+        by = np.lexsort((who, terms))
+        return Postings(idf[chosen], n, terms[by], who[by], value[by])
+
+    telling = np.where(told, np.cumsum(told) - 1, -1)
+    out = Index([ids[i] for i in order], y[order], weights, prior, names, postings(np.ones(len(names), bool)), postings(told), telling)
     if n and 0 < p < n:
         votes = (spread or here)(out, [texts[i] for i in order], neighbours)
         out.slope, out.shift = logistic(np.clip(votes, 1e-6, 1 - 1e-6), out.labels, weights[out.labels])
@@ -282,8 +270,8 @@ def left_out(index: Index, rows: Iterable[tuple[int, str]], k: int) -> list[tupl
     """The votes of examples on themselves, by example number."""
     out = []
     for i, text in rows:
-        terms = index.query(text)
-        out.append((i, index.votes(terms, *index.neighbours(terms, k, skip=i), k, skip=i)))
+        query = index.query(text)
+        out.append((i, index.votes(*query, *index.neighbours(*query, k, skip=i), k, skip=i)))
     return out
 
 
@@ -295,10 +283,15 @@ def by_tasks(spark: SparkSession) -> Callable:
     """The same as here(), in tasks."""
 
     def spread(index: Index, texts: list[str], k: int) -> list[list[float]]:
-        sc = spark.sparkContext
-        shared = sc.broadcast(index)
-        rows = sc.parallelize(list(enumerate(texts)), 4 * sc.defaultParallelism)
-        found = dict(rows.mapPartitions(lambda part: left_out(shared.value, part, k)).collect())
+        shared = spark.sparkContext.broadcast(index)
+
+        def vote(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in frames:
+                found = left_out(shared.value, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), k)
+                yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["i", "votes"])
+
+        rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(4 * spark.sparkContext.defaultParallelism)
+        found = dict(tuple(r) for r in rows.mapInArrow(vote, "i long, votes array<double>").collect())
         shared.destroy()
         return [found[i] for i in range(len(texts))]
 
@@ -336,7 +329,8 @@ def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
     """doc_id, score and evidence (nearest examples with cosine and label) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[id_col].dataType.simpleString()
-    proof = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    example = to_arrow_type(docs.schema[id_col].dataType)
+    proof = pa.list_(pa.struct([("example", example), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -346,7 +340,7 @@ def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, proof)], ["doc_id", "score", "evidence"])
 
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
-    return rows.mapInArrow(score, f"doc_id {kind}, score double, evidence array<struct<example:long,cosine:double,label:int>>")
+    return rows.mapInArrow(score, f"doc_id {kind}, score double, evidence array<struct<example:{kind},cosine:double,label:int>>")
 
 
 def op3_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -87,7 +88,7 @@ def test_shards_are_even_and_gapless(spark, table):
 
 def _examples(n=400):
     rng = np.random.default_rng(2)
-    common, bad = [f"word{i}" for i in range(60)], ["vile", "nasty", "rude"]
+    common, bad = [f"word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60)], ["vile", "nasty", "rude"]
     texts, labels = [], []
     for _ in range(n):
         label = int(rng.random() < 0.3)
@@ -96,21 +97,30 @@ def _examples(n=400):
     return texts, labels
 
 
-def test_neighbours_are_exact(spark):
+@pytest.mark.parametrize("block", [8, 128])
+def test_neighbours_are_those_of_plain_cosines(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     texts, labels = _examples()
-    index = toxicity.indexed(list(range(len(texts))), texts, labels, least_chi=-1.0)
-    dense = np.zeros((len(texts), len(index.idf)))
-    at = {w: i for i, w in enumerate(index.postings)}
-    for w, (examples, values, _, _) in index.postings.items():
-        dense[examples, at[w]] = values
-    for text in [*texts[:30], "word1 vile nothing", ""]:
-        q = np.zeros(len(at))
-        for w, n in index.query(text):
-            q[at[w]] = (1 + np.log(n)) * index.idf[w]
-        near, cosines = index.neighbours(index.query(text), 10)
-        scores = dense @ q / (np.linalg.norm(q) or 1)
-        want = sorted((i for i in range(len(scores)) if scores[i] > 0), key=lambda i: (-round(scores[i], 12), i))[:10]
-        assert list(near) == want and np.allclose(cosines, scores[want])
+    texts += [f"{'abcdefg'[i % 7]}utre mot{'abcdefghijk'[i % 11]} bien{'abc'[i % 3]} " + "r" * (i + 1) for i in range(100)]  # alike among themselves: blocks that others can skip
+    labels += [0] * 100
+    counts = [collections.Counter(t for w in toxicity.words_of(x) for t in toxicity.terms_of(w)) for x in texts]
+    df = collections.Counter(t for c in counts for t in c)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * math.log(len(texts) / df[t]) for t, k in c.items() if t in df}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(c) for c in counts]
+    index = toxicity.indexed(list(range(len(texts))), texts, labels)
+    for text in [*texts[:20], *texts[-20:], "wordaa vile nothing", "rude", ""]:
+        q = vector(collections.Counter(t for w in toxicity.words_of(text) for t in toxicity.terms_of(w)))
+        plain = {i: sum(x * v.get(t, 0.0) for t, x in q.items()) for i, v in enumerate(vectors)}
+        near, cosines = index.neighbours(*index.query(text), 10)
+        want = sorted((c for c in plain.values() if c > 1e-12), reverse=True)[:10]
+        assert np.allclose(cosines, want, atol=1e-5)
+        assert all(abs(plain[index.ids[i]] - c) < 1e-5 for i, c in zip(near, cosines, strict=True))
+    assert 0 < index.scored < index.met or block == 128
 
 
 def test_texts_without_telling_terms_have_their_neighbours():
@@ -118,8 +128,8 @@ def test_texts_without_telling_terms_have_their_neighbours():
     texts, labels = _examples()
     texts, labels = [*texts, "zyxwv quartz obelisk", "zyxwv marimba"], [*labels, 1, 0]
     index = toxicity.indexed(list(range(len(texts))), texts, labels)
-    near, cosines = index.neighbours(index.query(texts[-2]), 5)
-    assert index.ids[near[0]] == len(texts) - 2 and abs(cosines[0] - 1) < 1e-9 and index.ids[near[1]] == len(texts) - 1
+    near, cosines = index.neighbours(*index.query(texts[-2]), 5)
+    assert index.ids[near[0]] == len(texts) - 2 and abs(cosines[0] - 1) < 1e-6 and index.ids[near[1]] == len(texts) - 1
     assert [i for i, _, _ in index.score("obelisk")[1]] == [len(texts) - 2]
 
 
@@ -142,6 +152,14 @@ def test_labels_are_learned_from_the_known_rows(spark, table):
     assert len(index.ids) >= 20
 
 
+def test_ids_may_be_strings(spark):
+    texts, labels = _examples(60)
+    some = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts)], "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{i}", y) for i, y in enumerate(labels)], "doc_id string, toxic int")
+    got = toxicity.scored(some, toxicity.learned(some, marks, F.lit(True))).collect()
+    assert all(r.evidence[0].example == r.doc_id or r.evidence[0].cosine > 0.999 for r in got) and len(got) == 60
+
+
 # -- 4 and 10 -----------------------------------------------------------------------------------
 
 
