@@ -4,12 +4,14 @@ The vocabulary is a byte-level BPE file of the public tokenizers; both its forms
 give the same ids. White space only ever starts a token in such a vocabulary, so a text can be cut
 before each space or newline that follows another character, and each distinct cut is encoded once
 for a worker and remembered, up to a fixed number of cuts. Texts with other white space, or runs of
-it, are encoded as they are.
+it, are encoded as they are. A text is first split at the vocabulary's added tokens, which have ids
+of their own, as the tokenizers library does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -32,11 +34,25 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.memo = Memo(self)
+        with open(public_tokenizers.path(f"{vocabulary}.json")) as f:
+            self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in json.load(f)["added_tokens"]}
+        # The longest of several that begin at one place.
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def plain(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.marks is None or not (found := list(self.marks.finditer(text))):
+            return self.between(text)
+        out, at = [], 0
+        for m in found:
+            out += [self.between(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.between(text[at:])])
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n", "") or text[-1:] in (" ", "\n") or OTHER_SPACE.search(text):
             return self.plain(text)
         first, *rest = text.replace("\n", " \n").split(" ")
