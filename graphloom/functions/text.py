@@ -165,15 +165,20 @@ def system_name(path: Column) -> Column:
     return F.array_join(F.transform(F.split(picked, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
 
 
+def one_decimal(x: Column) -> Column:
+    """x with one decimal; exact ties go to the even digit."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def human_size(size: Column) -> Column:
-    out = F.format_string("%.1fTB", size / 1024.0**4)
+    out = F.concat(one_decimal(size / 1024.0**4), F.lit("TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.1f{unit}", size / 1024.0**power)).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), F.concat(one_decimal(size / 1024.0**power), F.lit(unit))).otherwise(out)
     return out
 
 
 def human_tokens(tokens: Column) -> Column:
-    return F.when(tokens < 1000, tokens.cast("string")).otherwise(F.format_string("%.1fk", tokens / 1000.0))
+    return F.when(tokens < 1000, tokens.cast("string")).otherwise(F.concat(one_decimal(tokens / 1000.0), F.lit("k")))
 
 
 def node_text(kind: Column, name: Column, sign: Column, doc: Column, path: Column) -> Column:

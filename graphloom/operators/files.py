@@ -59,8 +59,8 @@ def arranged(buildings: DataFrame) -> DataFrame:
 
 
 def largest(files: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest files that aren't assets; ties by path."""
-    return files.filter(~F.lower("ext").isin(*fixed.ASSET_EXTS)).orderBy(F.desc("size"), "path").limit(n)
+    """The n largest files that have an extension and aren't assets; ties by path."""
+    return files.filter((F.col("ext") != "") & ~F.lower("ext").isin(*fixed.ASSET_EXTS)).orderBy(F.desc("size"), "path").limit(n)
 
 
 def changed(files: DataFrame, diff: DataFrame) -> DataFrame:
@@ -87,9 +87,9 @@ def impact(imports: DataFrame, diff: DataFrame) -> DataFrame:
 
 def importers(imports: DataFrame, target: str) -> DataFrame:
     """Files with an import that names the target: by base name, with or without extension, or by a path that ends in it."""
-    folder = target.rpartition("/")[0]
+    folder, _, name = target.rpartition("/")
     imp = F.col("imp")
-    hit = (t.base(imp) == target.rpartition("/")[2]) | (t.stem(imp) == target.rpartition("/")[2].rpartition(".")[0]) | imp.endswith(target)
+    hit = (t.base(imp) == name) | (t.stem(imp) == (name.rpartition(".")[0] if "." in name else name)) | imp.endswith(target)
     hit = hit | ((imp == folder) if folder else F.lit(False))
     return imports.filter(hit & (F.col("path") != target)).select("path").distinct()
 

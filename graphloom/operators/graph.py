@@ -80,9 +80,7 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Names are counted and, for callers' paths and packages, reduced to one candidate before the join, so a
     name that is defined very often meets each call once.
     """
-    e = edges.withColumn("_row", F.monotonically_increasing_id())
-    ids = nodes.select(F.col("id").alias("dst"))
-    loose = e.filter(F.col("kind") == CALLS).join(ids, "dst", "left_anti")
+    known = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("_known"))
     place = nodes.select("id", "name", "kind", "path", t.package_of(F.col("path")).alias("package"))
     callee = place.filter(F.col("kind").isin(FUNCTION, METHOD))
     first = F.min(F.struct("path", "id"))["id"]
@@ -90,9 +88,11 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     by_path = callee.groupBy(F.col("name").alias("callsite"), "path").agg(first.alias("same_path"))
     by_package = callee.groupBy(F.col("name").alias("callsite"), "package").agg(first.alias("same_package"))
     caller = place.select(F.col("id").alias("src"), "path", "package")
-    found = loose.join(caller, "src", "left").join(one, "callsite").join(by_path, ["callsite", "path"], "left").join(by_package, ["callsite", "package"], "left")
-    chosen = found.select("_row", F.when(F.col("n") == 1, F.col("any")).otherwise(F.coalesce("same_path", "same_package")).alias("_dst"))
-    return e.join(chosen, "_row", "left").withColumn("dst", F.coalesce("_dst", "dst")).drop("_row", "_dst")
+    calls = edges.filter(F.col("kind") == CALLS).join(known, "dst", "left").join(caller, "src", "left")
+    found = calls.join(one, "callsite", "left").join(by_path, ["callsite", "path"], "left").join(by_package, ["callsite", "package"], "left")
+    chosen = F.when(F.col("n") == 1, F.col("any")).otherwise(F.coalesce("same_path", "same_package"))
+    resolved = found.withColumn("dst", F.when(F.col("_known"), F.col("dst")).otherwise(F.coalesce(chosen, "dst")))
+    return edges.filter(F.col("kind") != CALLS).unionByName(resolved.select(*edges.columns))
 
 
 def filter_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def levels(edges: DataFrame, seeds: DataFrame, max_hops: int = 5, reverse: bool
     edges(src, dst), seeds(root). Each level joins the frontier with the edges and leaves out what was seen.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    links = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    links = kept(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     seen = frontier = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     for depth in range(1, max_hops + 1):
         step = frontier.join(links, "node").select("root", F.col("next").alias("node")).distinct()
@@ -168,7 +168,7 @@ def shortest_path(edges: DataFrame, source, target, max_nodes: int = 10) -> Data
     Ties go to the least path in the order of node ids. Only the first path to a node is kept at each level.
     """
     max_nodes = max_nodes if max_nodes > 0 else 10
-    links = edges.select("src", "dst").distinct()
+    links = kept(edges.select("src", "dst").distinct())
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(source, [source])], "node long, path array<long>" if isinstance(source, int) else "node string, path array<string>")
     seen = frontier.select("node")
@@ -191,14 +191,14 @@ def all_paths(edges: DataFrame, source, target=None, max_nodes: int = 5) -> Data
     spark = edges.sparkSession
     kind = "long" if isinstance(source, int) else "string"
     paths = spark.createDataFrame([([source],)], f"path array<{kind}>")
-    links = edges.select("src", "dst")
+    links = kept(edges.select("src", "dst"))
     done = None
     for _ in range(max_nodes):
         ends = paths if target is None else paths.filter(F.element_at("path", -1) == target)
         done = ends if done is None else done.unionByName(ends)
         open_ = paths if target is None else paths.filter(F.element_at("path", -1) != target)
         step = open_.join(links, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        paths = step.select(F.concat("path", F.array("dst")).alias("path"))
+        paths = kept(step.select(F.concat("path", F.array("dst")).alias("path")))
     return done.select("path", (F.size("path") - 1).alias("length"))
 
 

@@ -11,7 +11,7 @@ from ..operators import files, folds, providers, search
 from ..sources import code
 from ..sources import views as v
 from ..sources.views import sql
-from .search_queries import COSINE, _part_vectors, _query
+from .search_queries import COSINE, EXACT, _part_vectors, _query
 
 
 def _orders_as_code(spark, d):
@@ -137,7 +137,7 @@ ALL = {
     "methods_by_type": (methods_by_type, "select p_brand as package, p_type as type, count_if(p_size > 10) as methods from part where (p_brand, p_type) in (select (p_brand, p_type) from part where p_size > 45) group by all"),
     "function_json": (function_json, """select p_partkey, case when p_size <= 25 then '"' || p_name || '"' else '{"name":"' || p_name || '","signature":"func ' || p_name || '"' || case when p_size > 40 then ',"is_exported":true' else '' end || '}' end as json, p_name as name from part"""),
     "semantic_search": (semantic_search, f"select node_id, round(0.6::double / (59 + row_number() over (order by score desc, node_id)), 9) as score, 'semantic match' as reason from (select id as node_id, round({COSINE}, 6) as score from vectors_v join part on p_partkey = node_id join nodes_v n on n.path = p_brand || '/part_' || p_partkey order by score desc, id limit 10)"),
-    "name_only_search": (name_only_search, "select node_id, round(0.4::double / (59 + row_number() over (order by node_id)), 9) as score, 'exact name match' as reason from (select id as node_id from nodes_v where kind = 2 and name = 'red widget' order by id limit 10)"),
+    "name_only_search": (name_only_search, f"select node_id, round(0.4::double / (59 + row_number() over (order by score desc, node_id)), 9) as score, reason || ' name match' as reason from ({EXACT.format(fuzzy='true')}) where score > 0 order by score desc, node_id limit 10"),
 }
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: sql(s) for name, (_, s) in ALL.items()}
