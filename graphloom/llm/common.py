@@ -42,6 +42,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got, also where names are compared without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
     """df with a gapless global row number from 0 in the given order.
 
@@ -61,6 +69,26 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFra
     return made.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row")).drop("_id", "_part", "_row", "_offset")
 
 
+#: Rows of one key that a join leaves together, and keys with more that are looked up by broadcast.
+MOST_OF_A_KEY, MOST_HOT_KEYS = 512, 50_000
+
+
+def met(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with groups, which has one row for each key and its number of rows, `members`.
+
+    Rows of a key with more than MOST_OF_A_KEY are spread over parts by a hash of their column `by`, and
+    the key's group row is repeated for each part. Only such keys are broadcast, and only if they are few;
+    else the join is left to the engine's own handling of skew.
+    """
+    parts = F.ceil(F.col("members") / F.lit(MOST_OF_A_KEY)).cast("int")
+    hot = groups.filter(F.col("members") > MOST_OF_A_KEY).select(key, parts.alias("_parts"))
+    if not 0 < hot.count() <= MOST_HOT_KEYS:
+        return rows.join(groups, key)
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    repeated = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(repeated, [key, "_part"]).drop("_part")
+
+
 def batches(frames: Iterator, most: int = 8 << 20) -> Iterator:
     """The record batches of mapInArrow cut so that each holds few bytes, and one row at least."""
     for batch in frames:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, column, documents, written
+from .common import batches, column, documents, free, met, written
 from .components import components
 
 COORDINATES = 64
@@ -154,14 +154,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """token, id, central of the rarest coordinates of each class, without those that it alone has."""
-    each = classes.select("id", F.posexplode("signature").alias("at", "value"))
+    """token, id, size, central of the rarest coordinates of each class, without those that it alone has."""
+    each = classes.select("id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("signature").alias("at", "value"))
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
-    lists = each.select("id", token.alias("token")).withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1")
+    each = each.select("id", "size", token.alias("token"))
+    counts = written(each.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"))
+    lists = met(each, counts, "token", "id").withColumnRenamed("members", "n")
     mine = Window.partitionBy("id")
     lists = lists.withColumns({"shared": F.count("*").over(mine), "central": F.sum("n").over(mine), "rank": F.row_number().over(mine.orderBy("n", "token"))})
     # Coordinates of its own count as its rarest.
-    return lists.filter(F.col("rank") + (coordinates - F.col("shared")) <= coordinates - least + 1).select("token", "id", "central")
+    return lists.filter(F.col("rank") + (coordinates - F.col("shared")) <= coordinates - least + 1).select("token", "id", "size", "central")
 
 
 def across(lists: DataFrame, keys: list[str], where: str = "true", more: tuple[str, ...] = ()) -> DataFrame:
@@ -170,14 +172,25 @@ def across(lists: DataFrame, keys: list[str], where: str = "true", more: tuple[s
     return a.join(b, keys).filter(f"a < b and c_a <> c_b and {where}").select("a", "b").distinct()
 
 
-def centred(lists: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a list's members with its most central ones, where these are in other components."""
+def centred(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a list's members with its most central ones, where these are in other components.
+
+    The window sees at most CENTRES rows of a list from each task.
+    """
     rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("central"), "id"))
-    top = lists.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES).select("token", F.col("id").alias("top"), F.col("component").alias("_of"))
-    pairs = lists.join(top, "token").filter("component <> _of")
+    top = lists.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES)
+    # Few rows for each list, so they are gathered in one.
+    top = written(top.groupBy("token").agg(F.first("members").alias("members"), F.collect_list(F.struct(F.col("id").alias("top"), F.col("component").alias("of"), F.col("size").alias("top_size"))).alias("tops")))
+    pairs = met(lists.drop("members"), top, "token", "id").select("id", "component", "size", F.explode("tops").alias("t")).select("id", "component", "size", "t.*")
+    pairs = pairs.filter("component <> of").filter(sizes_allow("size", "top_size", percent))
     return pairs.select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
 
 
+def sizes_allow(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
+
+
 def shingle_prefixes(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """id, component, n, rank and list keys (shingle, low, high) under which every pair at the threshold meets.
 
@@ -206,40 +219,42 @@ def shingle_prefixes(texts: DataFrame, members: DataFrame, size: int, percent: i
     return kept.select("id", "component", "n", "rank", "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
-def mixed_lists(lists: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """lists with component and members, without the lists whose members are all in one component."""
     known = lists.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = known.groupBy(*keys).agg(F.count("*").alias("members"), F.min("component").alias("_min"), F.max("component").alias("_max"))
-    return known.join(spread.filter("_min <> _max").drop("_min", "_max"), keys)
+    spread = known.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("_min"), F.max("component").alias("_max"))
+    return met(known, written(spread.filter("_min <> _max").drop("_min", "_max")), "token", "id")
 
 
 def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n_shingles, same) and the classes of equal sets (same, least_id, component), by links at the threshold."""
+    """The rows (doc_id, mark, n_shingles, same) and the classes of equal sets (same, members, least_id, component), by links at the threshold."""
     least = agreements(coordinates, percent)
     rows = written(signed(docs, size, coordinates, id_col, text_col))
     sets = rows.filter(F.col("same").isNotNull())
-    classes = written(sets.groupBy("same").agg(F.first("n_shingles").alias("n_shingles"), F.first("mark").alias("mark"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id()))
+    first = F.min(F.struct("doc_id", "mark"))  # of the class, the row whose text stands for it
+    classes = written(sets.groupBy("same").agg(F.first("n_shingles").alias("n_shingles"), first.alias("row"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id"), F.count("*").alias("members")).withColumn("id", F.monotonically_increasing_id()))
     lists = written(postings(classes, coordinates, least))
-    centre = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("members"))
-    sized = lists.join(centre.select("token", "members", (-F.col("top.minus")).alias("centre")), "token")
-    stars = sized.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.lit(True).alias("star"))
-    short = sized.filter(F.col("members") <= SHORT).select("token", "id")
-    one, other = short.withColumnRenamed("id", "a"), short.withColumnRenamed("id", "b")
-    pairs = stars.unionByName(one.join(other, "token").filter("a < b").select("a", "b", F.lit(False).alias("star")))
+    centre = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "size")).alias("top"), F.count("*").alias("members")).filter("members > 1")
+    sized = written(met(lists, written(centre.select("token", "members", (-F.col("top.minus")).alias("centre"), F.col("top.size").alias("centre_size"))), "token", "id"))
+    stars = sized.filter("id <> centre").filter(sizes_allow("size", "centre_size", percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.lit(True).alias("star"))
+    short = sized.filter(F.col("members") <= SHORT)
+    one, other = (short.select("token", F.col("id").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+    pairs = stars.unionByName(one.join(other, "token").filter("a < b").filter(sizes_allow("na", "nb", percent)).select("a", "b", F.lit(False).alias("star")))
     near = written(alike(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), classes, percent, least))
-    # One text for each class that is in such a pair or in a long list: by the text's digest, as ids may be null or repeat.
+    # One text for each class that is in such a pair or in a long list: by id and the text's digest, as ids may be null or repeat.
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(sized.filter(F.col("members") > SHORT).select("id")).distinct()
-    wanted = ids.join(classes.select("id", "mark"), "id")
+    wanted = ids.join(classes.select("id", "row"), "id")
     text = column(docs, text_col)
-    texts = written(docs.select(text.alias("text"), marks(text).alias("mark")).join(wanted, "mark").dropDuplicates(["id"]).select("id", "text"))
+    named = docs.select(text.alias("text"), column(docs, id_col).alias("_id"), marks(text).alias("_mark")).filter(text.isNotNull())
+    texts = written(named.join(wanted, F.col("_id").eqNullSafe(F.col("row.doc_id")) & (F.col("_mark") == F.col("row.mark"))).dropDuplicates(["id"]).select("id", "text"))
     links = written(confirmed(near.filter("star").select("a", "b"), texts, size, percent))
     labels = components(links).withColumnRenamed("node", "id")
-    left = written(mixed_lists(sized.filter(F.col("members") > SHORT).select("token", "id", "central"), labels, ["token"]))
-    more = written(confirmed(alike(centred(left), classes, percent, least).select("a", "b"), texts, size, percent))
+    left = written(mixed_lists(sized.filter(F.col("members") > SHORT).select("token", "id", "size", "central"), labels))
+    more = written(confirmed(alike(centred(left, percent), classes, percent, least).select("a", "b"), texts, size, percent))
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links).withColumnRenamed("node", "id")
-        left = written(mixed_lists(left.select("token", "id", "central"), labels, ["token"]))
+        left = written(mixed_lists(left.select("token", "id", "size", "central"), labels))
     own = labels.select("id", "component")
     side = [own.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
     pairs = near.filter("not star").select("a", "b").join(side[0], "a", "left").join(side[1], "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
@@ -255,42 +270,43 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     more = written(confirmed(pairs, texts, size, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more)).withColumnRenamed("node", "id")
-    named = classes.select("id", "same", "least_id").join(labels, "id", "left")
-    return rows, named.select("same", "least_id", F.coalesce("component", "id").alias("component"))
+    named = classes.select("id", "same", "members", "least_id").join(labels, "id", "left")
+    return rows, named.select("same", "members", "least_id", F.coalesce("component", "id").alias("component"))
 
 
 def grouped(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; a row is linked with all rows of its component_id."""
     rows, named = linked(docs, **how)
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(smallest, "component").select("same", "component_id")
-    out = rows.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
-    component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = written(named.join(smallest, "component").select("same", "members", "component_id"))
+    rows = rows.select("doc_id", "n_shingles", "same")
+    out = met(rows.filter(F.col("same").isNotNull()), of_class, "same", "doc_id").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.filter(F.col("same").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of docs of each group: of its least id, and one of these if that id repeats. Rows without words all stay."""
-    _, named = linked(docs, size=size, id_col=id_col, text_col=text_col, **how)
-    first = F.min(F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "same"))
-    keep = named.groupBy("component").agg(first.alias("first")).select(F.col("first.same").alias("_same"))
-    marked = docs.withColumn("_same", F.arrow_udf(set_names(size), "binary")(column(docs, text_col)))
-    # Equal sets meet as one row from each task, however many copies there are.
-    own, row = column(docs, id_col), F.struct(*[column(docs, c) for c in docs.columns])
-    one = marked.filter(F.col("_same").isNotNull()).groupBy("_same").agg(F.min_by(row, F.struct(own.isNull(), own)).alias("_row"))
-    chosen = one.join(keep, "_same", "left_semi").select("_row.*")
-    return chosen.unionByName(marked.filter(F.col("_same").isNull()).drop("_same"))
+    """One row of docs of each group: of its least id, and one of these if that id repeats. Rows without words all stay.
 
-
-def set_names(size: int):
-    """The function on batches of texts that names their shingle sets (null without one)."""
-
-    def name(texts: pa.Array) -> pa.Array:
-        sets = [shingles(x.as_py(), size) for x in texts]
-        return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-
-    name.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return name
+    Rows are chosen by id and text digest among the narrow rows of the signatures; texts move once to meet them.
+    """
+    rows, named = linked(docs, size=size, id_col=id_col, text_col=text_col, **how)
+    first = F.min(F.struct(F.col("least_id").isNull().alias("missing"), "least_id", "same"))
+    keep = named.groupBy("component").agg(first.alias("first")).select("first.same", "first.least_id")
+    of_keep = rows.alias("r").join(keep.alias("k"), (F.col("r.same") == F.col("k.same")) & F.col("r.doc_id").eqNullSafe(F.col("k.least_id"))).select("r.*")
+    # How often each row of id and text comes, and of several texts with one id and set the least digest.
+    marked = of_keep.groupBy("same", "doc_id", "mark").agg(F.count("*").alias("times"))
+    chosen = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "mark", "times")).alias("row")).select("row.*"))
+    own, text = column(docs, id_col), column(docs, text_col)
+    some = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+    def picked(keys: DataFrame) -> DataFrame:
+        return docs.filter(some).join(keys, own.eqNullSafe(keys["doc_id"]) & (marks(text) == keys["mark"]), "left_semi")
+
+    out = docs.filter(~some).unionByName(picked(chosen.filter("times = 1")))
+    if not (repeated := chosen.filter("times > 1")).isEmpty():
+        row = free(docs, "_row")
+        out = out.unionByName(picked(repeated).withColumn(row, F.struct(own, marks(text))).dropDuplicates([row]).drop(row))
+    return out
 
 
 def op5_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import binary_output, components, fingerprints, language, media, mixing, near_duplicates, packing, secrets, sharding, tokens, toxicity
+from graphloom.llm import binary_output, common, components, fingerprints, language, media, mixing, near_duplicates, packing, secrets, sharding, tokens, toxicity
 from graphloom.llm.common import numbered
 
 from .tables import docs, rows
@@ -283,6 +283,7 @@ def test_groups_are_those_of_all_pairs(spark, table, size):
 
 def test_a_large_group_of_edited_copies(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "SHORT", 4)
+    monkeypatch.setattr(common, "MOST_OF_A_KEY", 8)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
     some = []
