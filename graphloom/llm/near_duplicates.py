@@ -277,8 +277,9 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
 def grouped(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; a row is linked with all rows of its component_id."""
     rows, named = linked(docs, **how)
-    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = written(named.join(smallest, "component").select("same", "members", "component_id"))
+    named = written(named.withColumnRenamed("members", "rows"))
+    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    of_class = written(met(named, smallest, "component", "same").select("same", F.col("rows").alias("members"), "component_id"))
     rows = rows.select("doc_id", "n_shingles", "same")
     out = met(rows.filter(F.col("same").isNotNull()), of_class, "same", "doc_id").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(rows.filter(F.col("same").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

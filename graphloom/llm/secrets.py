@@ -7,7 +7,8 @@ them, and findings are then joined back to all paths that hold the blob. A new r
 therefore scanned over all blobs, and a new blob with all rules, but no pair twice.
 
 Spans are half-open ranges of code points. All of it is DataFrame functions: a rule's matches come
-from regexp_extract_all and the gaps between them from split, so running lengths give the places.
+from regexp_extract_all and the gaps between them from split; the ledger holds the lengths of both, and
+sums of these over the matches of a text, taken where findings are asked for, give the places.
 
 Defined cases: a null text is the empty text; empty texts hold no secrets; repeated rows and paths
 get the findings of their text; no rows give no rows.
@@ -18,10 +19,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, documents, shared_folder
+from .common import column, documents, free, shared_folder
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,34 +56,25 @@ BASE = (
 )
 #: What the ledger scans for besides the base kinds.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="-----BEGIN "),
+    # the whole key: its base64 and header lines, and the end line where there is one
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9-]+: [^\n]*|[A-Za-z0-9+/]*={1,2}))*(?:\s*[A-Za-z0-9+/=]*\s*-----END [A-Z ]*PRIVATE KEY-----)?", version=2, hint="-----BEGIN "),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hint="eyJ"),
 )
-SPANS = "array<struct<start:int,end:int>>"
+STEPS = "array<struct<gap:int,size:int,good:boolean>>"
+FOUND = "array<struct<start:int,rank:int,kind:string,end:int,covered:int>>"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Places of a rule's matches, in order."""
+def steps_of(text: Column, rule: Rule) -> Column:
+    """Of each match of a rule, in order, the code points since the one before, its own, and whether it counts. One more, null, closes the text."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.expr(f"cast(array() as {SPANS})"),
-        lambda done, i: F.concat(
-            done,
-            F.array(
-                F.struct(
-                    (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(F.element_at(gaps, i))).alias("start"),
-                    (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("end"),
-                )
-            ),
-        ),
-    )
-    good = F.transform(found, lambda m: F.length(F.regexp_replace(m, F.lit(rule.head), F.lit("")) if rule.head else m) >= rule.least)
-    kept = F.filter(ends, lambda s, i: F.element_at(good, i + 1))
-    none = F.expr(f"cast(array() as {SPANS})")
+
+    def step(gap: Column, match: Column) -> Column:
+        part = F.regexp_replace(match, F.lit(rule.head), F.lit("")) if rule.head else match
+        return F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), (F.length(part) >= rule.least).alias("good"))
+
     likely = text.contains(rule.hint) if rule.hint else F.rlike(text, F.lit(rule.pattern))
-    return F.when(likely, F.when(F.size(found) > 0, kept).otherwise(none)).otherwise(none)
+    return F.when(likely, F.zip_with(gaps, found, step)).otherwise(F.expr(f"cast(array() as {STEPS})"))
 
 
 class Ledger:
@@ -92,7 +84,7 @@ class Ledger:
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
         self.batches = 0
 
-    SCHEMA = f"blob string, rule string, kind string, spans {SPANS}"
+    SCHEMA = f"blob string, rule string, kind string, steps {STEPS}"
 
     def scanned(self) -> DataFrame | None:
         """All rows of the ledger; None before the first scan."""
@@ -102,41 +94,48 @@ class Ledger:
         return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
 
     def scan(self, texts: DataFrame, rules: tuple[Rule, ...]) -> int:
-        """Scans the pairs of texts(blob, text) and rules that aren't in the ledger, and returns how many rules had some.
+        """Scans the pairs of texts(blob, text) and rules that aren't in the ledger, and returns how many batches it has now.
 
-        Pairs are found from blob names; texts move only for blobs with something to scan.
+        Each blob moves once however many rows hold it; what is left to scan is found from names.
         """
-        known = self.scanned()
+        known, keys = self.scanned(), F.array(*[F.lit(r.key) for r in rules])
+        todo = texts.dropDuplicates(["blob"])
         if known is None:
-            todo = texts.dropDuplicates(["blob"]).withColumn("missing", F.array(*[F.lit(r.key) for r in rules]))
+            todo = todo.withColumn("missing", keys)
         else:
             have = known.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("have"))
-            missing = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("have", F.array().cast("array<string>")))
-            names = texts.select("blob").distinct().join(have, "blob", "left").select("blob", missing.alias("missing")).filter(F.size("missing") > 0)
-            todo = texts.join(names, "blob").dropDuplicates(["blob"])
-        each = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.when(F.array_contains("missing", r.key), spans_of(F.col("text"), r)).alias("spans")) for r in rules])
-        pairs = todo.select("blob", F.explode(each).alias("x")).select("blob", "x.rule", "x.kind", "x.spans").filter(F.col("spans").isNotNull())
+            missing = F.array_except(keys, F.coalesce("have", F.array().cast("array<string>")))
+            todo = todo.join(have, "blob", "left").withColumn("missing", missing).filter(F.size("missing") > 0)
+        each = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.when(F.array_contains("missing", r.key), steps_of(F.col("text"), r)).alias("steps")) for r in rules])
+        pairs = todo.select("blob", F.explode(each).alias("x")).select("blob", "x.rule", "x.kind", "x.steps").filter(F.col("steps").isNotNull())
         pairs.write.mode("append").option("compression", "zstd").parquet(self.folder)
         self.batches += 1
         return self.batches
 
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
-        """blob, found: an array of (kind, start, end) by start, then kind as listed. Only blobs with findings."""
+        """blob, found: an array of (start, rank, kind, end, covered) by start, then kind as listed. Only blobs with findings.
+
+        covered is where the spans before one end. Windows here see the matches of one text.
+        """
         rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-        hits = self.scanned().filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
-        return hits.select("blob", each.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+        hits = self.scanned().filter(F.col("rule").isin([r.key for r in rules]) & (F.size("steps") > 0))
+        each = hits.select("blob", "kind", F.posexplode("steps").alias("at", "step")).select("blob", "kind", "at", "step.*").filter("size is not null")
+        end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind").orderBy("at")).cast("int")
+        spans = each.withColumn("end", end).filter("good").select("blob", (F.col("end") - F.col("size")).alias("start"), rank[F.col("kind")].alias("rank"), "kind", "end")
+        before = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
+        return spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "covered"))).alias("found"))
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, ledger: Ledger | None = None, text_col: str = "text") -> DataFrame:
-    """docs with _found: the findings in each row's text (an empty array where there are none)."""
+    """docs with a last column _found (more underscores if docs has one): the findings in each row's text, an empty array where there are none."""
     ledger = ledger or Ledger(docs.sparkSession)
+    name, blob = free(docs, "_found"), free(docs, "_blob")
     text = F.coalesce(column(docs, text_col), F.lit(""))
-    named = docs.withColumn("_blob", F.sha2(text, 256))
     ledger.scan(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), rules)
-    found = ledger.findings(rules).withColumnRenamed("blob", "_blob").withColumnRenamed("found", "_found")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    return named.join(found, "_blob", "left").withColumn("_found", F.coalesce("_found", none)).drop("_blob")
+    found = ledger.findings(rules).select(F.col("blob").alias(blob), F.col("found").alias(name))
+    # Most blobs have no findings, and their rows need not meet any: the others are spread by the name alone.
+    return docs.withColumn(blob, F.sha2(text, 256)).join(found, blob, "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {FOUND})"))).drop(blob)
 
 
 def listed(found: Column) -> Column:
@@ -145,28 +144,22 @@ def listed(found: Column) -> Column:
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every found span, or run of spans that touch, replaced by a mark."""
-    state = F.aggregate(
-        found,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(found) > 0, state).otherwise(text)
+    parts = F.transform(found, lambda s: F.when(s["start"] < s["covered"], "").otherwise(F.concat(F.substring(text, s["covered"] + 1, s["start"] - s["covered"]), F.lit(mark))))
+    last = F.element_at(found, -1)
+    rest = F.substring(text, F.greatest(last["covered"], last["end"]) + 1, F.length(text))
+    return F.when(F.size(found) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    # Findings meet the rows by blob name, so the text column is left behind before that join.
-    ledger = Ledger(spark)
-    text = F.coalesce(docs["text"], F.lit(""))
-    rules = BASE + ADDED
-    ledger.scan(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), rules)
+    ledger, rules, text = Ledger(spark), BASE + ADDED, F.coalesce(docs["text"], F.lit(""))
+    versions = docs.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text"))
+    # Two states of the collection: rows of even ids came first, then all of them; the second scan leaves out what the first has seen.
+    ledger.scan(versions.filter("doc_id % 2 = 0").drop("doc_id"), rules)
+    ledger.scan(versions.drop("doc_id"), rules)
+    # Findings meet the rows by blob name; texts stay behind.
     rows = docs.select("doc_id", F.sha2(text, 256).alias("blob")).join(ledger.findings(rules), "blob", "left")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    found = F.coalesce("found", none)
+    found = F.coalesce("found", F.expr(f"cast(array() as {FOUND})"))
     base = F.filter(found, lambda s: s["kind"].isin([r.kind for r in BASE]))
 
     def n(kind: str) -> Column:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -399,6 +400,22 @@ def test_secrets_and_redaction(spark, table):
             assert (r.red or "") == out + (r.text or "")[at:]
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join("0123456789abcdef01234567" for _ in range(20_000))
+    began = time.time()
+    r = secrets.scanned(docs(spark, [(1, text, *rows()[0][2:])])).withColumn("red", secrets.redacted(F.col("text"), F.col("_found"))).first()
+    assert [(s.start, s.end) for s in r._found] == [(25 * k, 25 * k + 24) for k in range(20_000)]
+    assert r.red == " ".join(["[SECRET]"] * 20_000) and time.time() - began < 60
+
+
+def test_private_keys_go_whole(spark):
+    body = "MIIEpAIBAAKCAQEA7bq3\nAbCdEfGh+/0123456789\nshort=="
+    cases = [f"a -----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY----- b", f"a -----BEGIN PRIVATE KEY-----\n{body}", "a -----BEGIN PRIVATE KEY----- b"]
+    got = secrets.scanned(docs(spark, [(i, x, *rows()[0][2:]) for i, x in enumerate(cases)]))
+    red = {r.doc_id: r.red for r in got.withColumn("red", secrets.redacted(F.col("text"), F.col("_found"))).collect()}
+    assert red == {0: "a [SECRET] b", 1: "a [SECRET]", 2: "a [SECRET] b"}
+
+
 def test_the_ledger_scans_each_pair_once(spark, tmp_path):
     ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
     first = docs(spark, [(1, SECRETS[0], *rows()[0][2:]), (2, SECRETS[0], *rows()[0][2:])])
