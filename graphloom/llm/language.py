@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, column, documents
+from .common import column, documents, free
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -152,13 +152,17 @@ def learned(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: st
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs with _lang struct<lang, score, rejected>. The model is a fixed-size table: it does not grow with the data."""
+    """docs with a last column _lang (more underscores if docs has one), a struct<lang, score, rejected>.
+
+    The model is a fixed-size table: it does not grow with the data.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(frames: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in frames:
             found = [m.predict(x.as_py()) for x in texts]
+            pa.default_memory_pool().release_unused()  # workers live on
             yield pa.StructArray.from_arrays(
                 [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < least for x, s in found], pa.bool_())],
                 ["lang", "score", "rejected"],
@@ -166,7 +170,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", least: flo
 
     predict.__annotations__ = {"frames": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(predict, "struct<lang:string,score:double,rejected:boolean>")
-    return docs.withColumn("_lang", udf(column(docs, text_col)))
+    return docs.withColumn(free(docs, "_lang"), udf(column(docs, text_col)))
 
 
 def held_out(id_col: Column, parts: int) -> Column:

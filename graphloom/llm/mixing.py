@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, WORD, column, documents, written
+from .common import ROW_BITS, WORD, column, documents, free, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -98,15 +98,17 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The plan is made on narrow rows; texts move once to meet it and once to be sorted by range.
     """
-    mark = F.struct(column(docs, id_col).alias("id"), F.xxhash64(column(docs, text_col)).alias("text"))
+    own = column(docs, id_col)
+    mark = F.struct(own.isNull().alias("missing"), F.coalesce(own.cast("string"), F.lit("")).alias("id"), F.xxhash64(column(docs, text_col)).alias("text"))
     plan = mixed(docs, id_col=id_col, text_col=text_col, key=mark, **how)
     # Repeated rows share a key: their passes are told apart by number.
-    due = plan.select(F.col("_key.id").alias("_id"), F.col("_key.text").alias("_text"), F.explode("whole_positions").alias("_position"))
-    passes = due.groupBy("_id", "_text").agg(F.array_sort(F.collect_list("_position")).alias("_positions"))
-    rows = docs.withColumns({"_id": column(docs, id_col), "_text": F.xxhash64(column(docs, text_col))}).dropDuplicates(["_id", "_text"])
-    joined = rows.alias("r").join(passes.alias("p"), F.col("r._id").eqNullSafe(F.col("p._id")) & (F.col("r._text") == F.col("p._text")))
-    out = joined.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.explode("p._positions").alias("_position"))
-    return out.repartitionByRange("_position", F.col(f"`{id_col}`")).sortWithinPartitions("_position", F.col(f"`{id_col}`")).drop("_position")
+    due = plan.select("_key", F.explode("whole_positions").alias("position"))
+    key, place = free(docs, "_key"), free(docs, "_position")
+    passes = due.groupBy("_key").agg(F.array_sort(F.collect_list("position")).alias(place)).withColumnRenamed("_key", free(docs, "_key") + "p")
+    rows = docs.withColumn(key, mark).dropDuplicates([key])
+    out = rows.join(passes, rows[key] == passes[f"{key}p"]).select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(place).alias(place))
+    order = F.col(place), F.col(f"`{id_col}`")
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

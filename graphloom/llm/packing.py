@@ -4,7 +4,9 @@ All that the program needs of the documents is how many pieces have each length,
 `capacity` rows however many documents there are, and is solved on the driver. Its variables are
 configurations: multisets of lengths that fit one sequence. Multiplicative weights price the
 lengths; each round a knapsack dynamic program finds the dearest configurations at these prices,
-which are taken in small amounts while the prices of what they cover fall. The fractional solution
+which are taken in small amounts while the prices of what they cover fall, until every length is
+covered. Each round's prices also give a lower bound on any packing (they are a dual solution once divided by
+the dearest configuration's value), so the gap of the result is known. The fractional solution
 is rounded down to whole sequences within the counts, and the rest is packed best-fit decreasing,
 again by counts. Pieces then get their places by rank within their length.
 
@@ -21,20 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, column, documents, numbered, written
 from .tokens import VOCABULARY, cuts, document_ids
 
 CAPACITY = 2048
-ROUNDS = 120
+#: Rounds end when all is covered; what is left after so many goes to the best fit that follows.
+ROUNDS = 400
 EPSILON = 0.1
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, position: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row, and the row's position if one is given (a long)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    place = F.lit(0).cast("long") if position is None else position
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
@@ -44,10 +48,13 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     at.append(row)
                     out.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+            rows = pa.array(at, pa.int64())
             piece, start, length, crc = np.array(out, np.int64).reshape(-1, 4).T
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), batch.column(2).take(rows)], ["doc_id", "piece", "start", "length", "ids_crc32", "position"])
+        pa.default_memory_pool().release_unused()  # workers live on
 
-    return docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    out = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), place.alias("position")).mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, position long")
+    return out.drop("position") if position is None else out
 
 
 def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +71,12 @@ def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.
     return value, last
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, eps: float = EPSILON) -> dict[tuple[int, ...], float]:
-    """Amounts of configurations that about cover the counts: multiplicative weights with knapsack pricing."""
+def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, eps: float = EPSILON) -> tuple[dict[tuple[int, ...], float], float]:
+    """Amounts of configurations that cover the counts, by multiplicative weights with knapsack pricing, and a lower bound on their sum."""
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(x)] for x in lengths], float)
     where = {int(x): i for i, x in enumerate(lengths)}
-    covered, out = np.zeros(len(lengths)), {}
+    covered, out, bound = np.zeros(len(lengths)), {}, 0.0
     for _ in range(rounds):
         # A length's price falls with its covered share; a unit of length starts at the same price everywhere.
         open_ = covered < need
@@ -77,6 +84,7 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, eps:
             break
         prices = lengths / capacity * np.exp(-covered / need / eps * np.log1p(eps)) * open_
         value, last = dearest(prices, lengths, capacity)
+        bound = max(bound, float(prices @ need) / value[capacity])
         worth = prices + value[capacity - lengths]
         for first in np.argsort(-worth, kind="stable"):
             if worth[first] < (1 - eps) * value[capacity]:
@@ -98,7 +106,13 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, eps:
                 out[config] = out.get(config, 0.0) + amount
                 for x, n in used.items():
                     covered[where[x]] += n * amount
-    return out
+    return out, bound
+
+
+def gap(counts: dict[int, int], plan: list[tuple[tuple[int, ...], int]], bound: float, capacity: int) -> float:
+    """By how much of the least possible number of sequences a plan may be above it."""
+    least = max(1.0, np.ceil(bound - 1e-6), np.ceil(sum(k * n for k, n in counts.items()) / capacity))
+    return sum(n for _, n in plan) / least - 1
 
 
 def rounded(counts: dict[int, int], amounts: dict[tuple[int, ...], float], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -162,21 +176,22 @@ def runs_of(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset.
+def packed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset; pieces of one length fill their places in the given order.
 
     The runs that are sent to the tasks number at most a few for each configuration, and
     configurations at most ROUNDS + 2 for each length up to the capacity, whatever the data's size.
     """
     pieces = written(pieces)
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    runs = runs_of(rounded(counts, fractional(counts, capacity), capacity))
+    amounts, _ = fractional(counts, capacity)
+    runs = runs_of(rounded(counts, amounts, capacity))
     before, total = {}, 0
     for length in sorted(counts):
         before[length] = total
         total += counts[length]
     shared = pieces.sparkSession.sparkContext.broadcast((runs, np.array([before.get(x, 0) for x in range(capacity + 1)], np.int64)))
-    ranked = numbered(pieces, F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"))
+    ranked = numbered(pieces, F.col("length"), *map(F.col, order))
     kind = "sequence_id long, offset long"
 
     @F.pandas_udf(kind)

@@ -183,7 +183,9 @@ def test_cut_texts_have_the_ids_of_whole_ones(text):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=20))
 def test_plans_hold_exactly_the_counts(counts):
-    plan = packing.rounded(counts, packing.fractional(counts, 64, 20), 64)
+    amounts, bound = packing.fractional(counts, 64, 20)
+    plan = packing.rounded(counts, amounts, 64)
+    assert packing.gap(counts, plan, bound, 64) >= 0
     held = collections.Counter()
     for config, n in plan:
         assert sum(config) <= 64
@@ -194,6 +196,18 @@ def test_plans_hold_exactly_the_counts(counts):
     assert lower <= sum(n for _, n in plan) <= 2 * lower + 1
 
 
+def test_the_program_covers_its_rows_to_a_known_gap():
+    rng = np.random.default_rng(8)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(rng.geometric(0.03, 3000).clip(1, 256), return_counts=True), strict=True)}
+    amounts, bound = packing.fractional(counts, 256)
+    covered = collections.Counter()
+    for config, x in amounts.items():
+        for length in config:
+            covered[length] += x
+    assert all(covered[k] >= n - 1e-6 for k, n in counts.items()) and sum(amounts.values()) <= 1.01 * bound
+    assert packing.gap(counts, packing.rounded(counts, amounts, 256), bound, 256) <= 0.01
+
+
 def test_knapsack_is_the_best(spark):
     lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.6, 7.1])
     value, _ = packing.dearest(prices, lengths, 20)
