@@ -5,8 +5,9 @@ hashed to a row of an embedding table; a text is the average of its rows, a line
 the languages. Table and softmax are trained in numpy by stochastic gradient descent with
 adaptive steps, on the driver, from a sample of at most `per_language` labelled rows of each
 language, chosen by a hash of the id; the softmax temperature is then fitted on a part of the
-sample that took no part in training. A text is rejected if it has no letter or if its calibrated
-probability is under `least`.
+sample that took no part in training, and so is the threshold: the probability that all but one in a
+thousand of the rightly told texts of that part reach, one half at least. A text is rejected if it has no
+letter or if its calibrated probability is under the threshold.
 
 Defined cases: null or letterless texts are `und` with score 0; so are all texts where there is no
 labelled row to learn from; equal texts get equal results; no rows give no rows.
@@ -29,10 +30,10 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIMENSION = 16
 GRAMS = (1, 2, 3, 4)
-#: Labelled rows of each language that training may see, and languages that may be learned.
-PER_LANGUAGE = 500
-MOST_LANGUAGES = 400
-LEAST = 0.5
+#: Labelled rows that training may see of each language, and of all together: with very many languages each gets fewer.
+PER_LANGUAGE, ALL_ROWS = 500, 100_000
+#: A text is rejected below this probability, or below the one that all but this share of rightly told held-back texts reach.
+LEAST, ERROR = 0.5, 0.001
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -63,6 +64,7 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    least: float = LEAST
 
     def scores(self, text: str) -> np.ndarray:
         rows = subwords(text)
@@ -129,18 +131,24 @@ def trained(texts: list[str], labels: list[str], epochs: int = 6, rate: float =
             return float((np.log(np.exp(s - m[:, None]).sum(axis=1)) + m - s[np.arange(len(held)), y[held]]).mean())
 
         model.temperature = float(min(np.geomspace(0.2, 10, 60), key=loss))
+        s = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
+        s /= s.sum(axis=1, keepdims=True)
+        right = s.max(axis=1)[s.argmax(axis=1) == y[held]]
+        if len(right):
+            model.least = max(LEAST, float(np.quantile(right, ERROR)) - 1e-9)
     return model
 
 
 def sample(docs: DataFrame, label_col: str, id_col: str, most: int) -> DataFrame:
     """About `most` rows of each label, chosen by a hash of the id: whole rows, the same ones on every run."""
     label = column(docs, label_col)
-    counts = docs.groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    share, name = free(docs, "_share"), free(docs, "_label")
+    counts = docs.groupBy(label.alias(name)).count()
+    labels = counts.count()
+    counts = counts.select(name, (F.lit(float(min(most, max(1, ALL_ROWS // max(1, labels))))) / F.col("count")).alias(share))
     part = F.pmod(F.xxhash64(column(docs, id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((label == value) & (part < F.lit(most / n)))
-    return docs.filter(keep)
+    near = F.broadcast(counts) if labels <= ALL_ROWS else counts
+    return docs.join(near, label == F.col(name)).filter(part < F.col(share)).drop(name, share)
 
 
 def learned(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -151,12 +159,13 @@ def learned(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: st
     return trained([r[1] for r in rows], [str(r[2]) for r in rows])
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
+def identified(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with a last column _lang (more underscores if docs has one), a struct<lang, score, rejected>.
 
     The model is a fixed-size table: it does not grow with the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    least = model.least if least is None else least
 
     def predict(frames: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value

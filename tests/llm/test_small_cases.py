@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import binary_output, common, components, fingerprints, language, media, mixing, near_duplicates, packing, secrets, sharding, tokens, toxicity
 from graphloom.llm.common import numbered
 
+from ..conftest import TINY
 from .tables import docs, rows
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -372,6 +373,21 @@ def test_languages(spark, table):
         assert (r._lang.lang == "und") == (not any(map(str.isalpha, r.text or ""))) and 0 <= r._lang.score <= 1
 
 
+def test_texts_below_the_fitted_threshold_are_rejected(spark, table):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["zorba", "zatra", "zilmo"] if i % 2 else ["quell", "quist", "quam"], 9)) for i in range(200)]
+    model = language.trained(texts, ["ab"[i % 2] for i in range(200)])
+    assert language.LEAST <= model.least < 1 and model.predict("zatra zilmo")[1] >= model.least
+    for r in language.identified(table, model).collect():
+        assert r._lang.rejected == (r._lang.lang == "und" or r._lang.score < model.least)
+    assert all(not r._lang.rejected or r._lang.lang == "und" for r in language.identified(table, model, least=0.0).collect())
+
+
+def test_held_out_rows_are_told_right(spark):
+    got = language.op7_language_id(spark, TINY).join(spark.read.parquet(f"{TINY}/documents.parquet"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 20 and np.mean([r.lang == r.lang_pred for r in got]) >= 0.95
+
+
 def test_models_are_learned_from_the_known_rows(spark, table):
     model = language.learned(table, language.held_out(F.col("doc_id"), 5) != 0)
     assert model.languages == ["en", "fr"]
