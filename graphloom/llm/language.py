@@ -6,7 +6,7 @@ the languages. Table and softmax are trained in numpy by stochastic gradient des
 adaptive steps, on the driver, from a sample of at most `per_language` labelled rows of each
 language, chosen by a hash of the id; the softmax temperature is then fitted on a part of the
 sample that took no part in training, and so is the threshold: a tenth of the odds that all but one in a
-thousand of the rightly told texts of that part reach, even odds at least. A text is rejected if it has no
+thousand of the rightly told texts of that part reach, between 0.5 and 0.9. A text is rejected if it has no
 letter or if its calibrated probability is under the threshold.
 
 Defined cases: null or letterless texts are `und` with score 0; so are all texts where there is no
@@ -32,8 +32,8 @@ DIMENSION = 16
 GRAMS = (1, 2, 3, 4)
 #: Labelled rows that training may see of each language, and of all together: with very many languages each gets fewer.
 PER_LANGUAGE, ALL_ROWS = 500, 100_000
-#: A text is rejected below this probability, or at odds so many times below those that all but this share of rightly told held-back texts reach.
-LEAST, MARGIN, ERROR = 0.5, 10.0, 0.001
+#: A text is rejected below this probability, or at odds so many times below those that all but this share of rightly told held-back texts reach; never above HIGHEST.
+LEAST, HIGHEST, MARGIN, ERROR = 0.5, 0.9, 10.0, 0.001
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -136,7 +136,7 @@ def trained(texts: list[str], labels: list[str], epochs: int = 6, rate: float =
         right = s.max(axis=1)[s.argmax(axis=1) == y[held]]
         if len(right):
             low = float(np.quantile(right, ERROR))
-            model.least = max(LEAST, low / (low + MARGIN * (1 - low)))
+            model.least = min(HIGHEST, max(LEAST, low / (low + MARGIN * (1 - low))))
     return model
 
 

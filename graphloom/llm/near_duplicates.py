@@ -181,12 +181,12 @@ def centred(lists: DataFrame, percent: int) -> DataFrame:
     top = lists.withColumn("_rank", rank).filter(F.col("_rank") <= CENTRES)
     # Few rows for each list, so they are gathered in one.
     top = written(top.groupBy("token").agg(F.first("members").alias("members"), F.collect_list(F.struct(F.col("id").alias("top"), F.col("component").alias("of"), F.col("size").alias("top_size"))).alias("tops")))
-    pairs = met(lists.drop("members"), top, "token", "id").select("id", "component", "size", F.explode("tops").alias("t")).select("id", "component", "size", "t.*")
-    pairs = pairs.filter("component <> of").filter(sizes_allow("size", "top_size", percent))
+    apart = F.filter("tops", lambda t: (t["of"] != F.col("component")) & sizes_allow(F.col("size"), t["top_size"], percent))
+    pairs = met(lists.drop("members"), top, "token", "id").select("id", F.explode(apart).alias("t")).select("id", "t.top")
     return pairs.select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
 
 
-def sizes_allow(a: str, b: str, percent: int) -> Column:
+def sizes_allow(a: str | Column, b: str | Column, percent: int) -> Column:
     """Whether sets of these sizes can reach the threshold."""
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
