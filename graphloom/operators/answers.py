@@ -39,3 +39,18 @@ def allocated(sizes: Column, total: int) -> Column:
         ),
         lambda s: s["got"],
     )
+
+
+def stored(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with answers put in place of those with their keys."""
+    return cache.join(answers.select("key").distinct(), "key", "left_anti").unionByName(answers)
+
+
+def deleted(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cache without the answers to keys(key)."""
+    return cache.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def cleared(cache: DataFrame, operation: str = "") -> DataFrame:
+    """The cache without the answers of one operation, or without any."""
+    return cache.filter(F.col("operation") != operation) if operation else cache.filter(F.lit(False))

@@ -148,3 +148,10 @@ def methods(symbols: DataFrame) -> DataFrame:
     types = own.filter(F.col("kind") == fixed.TYPE).select("package", F.col("name").alias("type")).distinct()
     found = own.filter(F.col("kind") == fixed.METHOD).groupBy("package", t.receiver_type(F.col("receiver")).alias("type")).agg(F.count("*").alias("methods"))
     return types.join(found, ["package", "type"], "left").withColumn("methods", F.coalesce("methods", F.lit(0)))
+
+
+def projects(files: DataFrame, pattern: str = "") -> DataFrame:
+    """project, files, language of the directories at the top that aren't hidden and hold the pattern, whatever the case."""
+    top = F.split("path", "/")[0]
+    own = files.filter(F.col("path").contains("/") & ~top.startswith(".") & F.lower(top).contains(pattern.lower()))
+    return project_stats(own, F.split("path", "/")[0])

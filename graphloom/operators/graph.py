@@ -7,29 +7,14 @@ partitioning. Traversals are loops over frontiers of DataFrames: one join and on
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written as kept
 from ..functions import text as t
 from ..functions.fixed import CALLS, CONTAINS, FILE, FUNCTION, IMPORTS, METHOD, PACKAGE, TYPE
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back, which ends its lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-graphloom-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # -- build -------------------------------------------------------------------------------------
 
 
@@ -226,6 +211,13 @@ def remove_paths(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
     return nodes.join(gone, "id", "left_anti"), left.join(gone, left["dst"] == gone["id"], "left_anti")
 
 
+def meta(nodes: DataFrame, edges: DataFrame, version: int = 1, root: str = "") -> DataFrame:
+    """One row on a saved graph: version, root, node_count, edge_count, indexed_at."""
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select(F.lit(0), F.lit(1)))
+    counts = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("edge_count"))
+    return counts.select(F.lit(version).alias("version"), F.lit(root).alias("root"), "node_count", "edge_count", F.current_timestamp().alias("indexed_at"))
+
+
 def save(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Both tables as Parquet under a folder, nodes by kind."""
     nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/nodes")

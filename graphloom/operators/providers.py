@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import EMBEDDING_SIZE
 from .answers import live
 
 
@@ -23,6 +25,13 @@ class Mock:
     def complete(self, prompt: str) -> str:
         return f"A mock answer to {len(prompt)} characters."
 
+    def embed(self, text: str) -> list[float]:
+        """The numbers of functions.text.mock_embedding."""
+        sizes = [len(c.encode()) for c in text]
+        at = [0, *accumulate(sizes)]
+        a, b = sum(ord(c) * k for c, k in zip(text, at, strict=False)), sum(map(ord, text))
+        return [(a + i * b) % 1000 / 1000.0 for i in range(1, EMBEDDING_SIZE + 1)]
+
 
 def retried(call, value: str, tries: int = 4, wait: float = 1.0) -> str | None:
     """The call's result; after a failure it waits 1, 4, 9... times `wait` seconds. None after the last failure."""
@@ -47,3 +56,18 @@ def answered(requests: DataFrame, cache: DataFrame, now, provider=None, operatio
             yield pd.DataFrame({"key": frame["key"], "response": [retried(provider.complete, p) for p in frame["prompt"]], "from_cache": False})
 
     return hits.unionByName(keyed.join(good, "key", "left_anti").mapInPandas(ask, "key string, response string, from_cache boolean"))
+
+
+def embedded(texts: DataFrame, provider=None, wait: float = 1.0) -> DataFrame:
+    """node_id, vector, status of texts(node_id, text): embedded, skipped where the text is empty, or failed after all tries."""
+    provider = provider or Mock()
+    kind = texts.schema["node_id"].dataType.simpleString()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [retried(provider.embed, x, wait=wait) for x in frame["text"]]
+            yield pd.DataFrame({"node_id": frame["node_id"], "vector": found, "status": ["failed" if v is None else "embedded" for v in found]})
+
+    some = F.coalesce(F.col("text") != "", F.lit(False))
+    skipped = texts.filter(~some).select("node_id", F.lit(None).cast("array<double>").alias("vector"), F.lit("skipped").alias("status"))
+    return texts.filter(some).select("node_id", "text").mapInPandas(ask, f"node_id {kind}, vector array<double>, status string").unionByName(skipped)

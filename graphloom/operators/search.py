@@ -83,3 +83,25 @@ def upserted(vectors: DataFrame, updates: DataFrame, dimension: int) -> DataFram
 def pending(nodes: DataFrame, vectors: DataFrame, kinds: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """Functions, methods and types that have no vector yet."""
     return nodes.filter(F.col("kind").isin(*kinds)).join(vectors.select(F.col("node_id").alias("id")), "id", "left_anti")
+
+
+def linked(results: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """results(node_id, ...) with callers and callees: the first names of those that call a hit and that it calls.
+
+    Only calls that touch a hit are looked at, and each task keeps `most` names of a hit.
+    """
+    ids = results.select(F.col("node_id").alias("hit"))
+    calls, named = edges.filter(F.col("kind") == CALLS), nodes.select(F.col("id").alias("other"), "name")
+
+    def names(here: str, there: str, label: str) -> DataFrame:
+        ends = calls.select(F.col(here).alias("hit"), F.col(there).alias("other")).join(F.broadcast(ids), "hit").distinct().join(named, "other").select("hit", "name").distinct()
+        first = ends.withColumn("_n", F.row_number().over(Window.partitionBy("hit").orderBy("name"))).filter(F.col("_n") <= most)
+        return first.groupBy(F.col("hit").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias(label))
+
+    out = results.join(names("dst", "src", "callers"), "node_id", "left").join(names("src", "dst", "callees"), "node_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("callers", "callees")})
+
+
+def embedding_stats(embedded: DataFrame) -> DataFrame:
+    """status, n of embedded(node_id, vector, status)."""
+    return embedded.groupBy("status").agg(F.count("*").alias("n"))

@@ -189,6 +189,24 @@ def source_slice(files: DataFrame, nodes: DataFrame, chunk: int = 50) -> DataFra
     return rows.select("id", source.alias("source"), F.sha2(source, 256).alias("source_hash"), t.source_language(F.col("path")).alias("language"))
 
 
+def line_range(content: Column, start: Column, end: Column) -> Column:
+    """The lines from start to end, both included, counted from 1."""
+    first = F.greatest(start, F.lit(1))
+    return F.array_join(F.slice(F.split(content, "\n"), first, F.greatest(end - first + 1, F.lit(0))), "\n")
+
+
+def with_context(files: DataFrame, nodes: DataFrame, lines: int) -> DataFrame:
+    """source_slice() with before, after (so many lines around a node that has lines) and file_header."""
+    content, line, end = F.decode("content", "UTF-8"), F.col("line"), F.col("end_line")
+    around = nodes.join(files.select("path", content.alias("_text")), "path").select(
+        "id",
+        F.when(line > 1, line_range(F.col("_text"), line - lines, line - 1)).otherwise("").alias("before"),
+        F.when(end > 0, line_range(F.col("_text"), end + 1, end + lines)).otherwise("").alias("after"),
+        file_header(F.col("_text")).alias("file_header"),
+    )
+    return source_slice(files, nodes).join(around, "id")
+
+
 def module_source(files: DataFrame, module: str) -> DataFrame:
     """path, source, source_hash of one file, or of the source files right inside a directory."""
     path = F.col("path")
