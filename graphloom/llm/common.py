@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder, written
+
+__all__ = ["ROW_BITS", "WORD", "batches", "column", "documents", "free", "met", "numbered", "shared_folder", "written"]
+
 #: A word is a run of characters other than the six ASCII white-space characters (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Low 33 bits of monotonically_increasing_id() count the rows of one partition.
@@ -19,24 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-graphloom-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: a lost executor repeats nothing above it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str) -> Column:
     """The column of exactly this name, also where names hold dots."""
     return df[f"`{name}`"]

@@ -5,7 +5,8 @@ word draws, from a hash of itself and the coordinate alone, r and c from a Gamma
 uniform on 0..1. With weight w it quantises t = floor(ln w / r + b) and bids
 ln a = ln c - r (t - b + 1); the coordinate's sample is the (word, t) with the least bid. Two
 documents agree in a coordinate with a probability equal to their generalised Jaccard similarity,
-sum min(w) / sum max(w). A sample is kept as 32 bits; bids are compared at a resolution of 2^-23.
+sum min(w) / sum max(w): with 32 samples the standard error of a likeness is 0.09 at 0.5 and less towards 0
+and 1. A sample is kept as 32 bits; bids are compared at a resolution of 2^-22.
 
 Words come from exploding the texts after one shuffle of the rows; all later groupings are by keys
 that hold that shuffle's key, so nothing is shuffled again.
@@ -83,6 +84,11 @@ def as_hex(samples: Column) -> Column:
 
 def bounds_of(docs: DataFrame, id_col: Column, buckets: int) -> list:
     """At most `buckets` ids that cut the rows into ranges of near equal size (approximate quantiles)."""
+    if docs.select(id_col).schema[0].dataType.typeName() == "string":  # no quantiles of strings: those of a hash-chosen sample of ids
+        n = docs.count()
+        some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 20.0 * buckets / max(1, n))))).filter(id_col.isNotNull())
+        found = sorted(r[0] for r in some.select(id_col).distinct().collect())  # about 20 for each bucket
+        return sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
     at = [i / buckets for i in range(1, buckets)]
     found = docs.agg(F.percentile_approx(id_col, at, max(10_000, 20 * buckets))).first()[0] if at else None
     return sorted({x for x in found or []})

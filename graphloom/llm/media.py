@@ -4,8 +4,8 @@
 reads a WAV column back through the same module and adds an array of (time, code) pairs, where
 time is a frame number and code joins two peak frequencies and the frames between them.
 
-Defined cases: a null or empty text is stored as 64 zero bytes; silence has no peaks and so an
-empty array; equal texts give equal bytes and arrays, whatever batch they come in; no rows give
+Defined cases: a null or empty text is stored as 64 zero bytes, which are the lowest value of 8-bit
+samples; samples at rest (128) have no peaks and so empty arrays; equal texts give equal bytes and arrays, whatever batch they come in; no rows give
 no rows. A null WAV gives null results.
 """
 
@@ -117,7 +117,7 @@ def op6_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_landmarks(as_wav(documents(spark, sf_dir)))
     pairs = F.concat_ws(",", F.transform("times", lambda t: t.cast("string"))), F.concat_ws(",", F.transform("codes", lambda c: c.cast("string")))
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.sha2(F.concat_ws(";", *pairs), 256))
-    return out.withColumn("feature", feature).drop("times", "codes").withColumn("n_landmarks", F.split("feature", ":")[0].cast("int"))
+    return out.withColumn("feature", feature).withColumn("n_landmarks", F.split("feature", ":")[0].cast("int"))
 
 
 QUERIES = {"op6_wav_landmarks": op6_wav_landmarks}

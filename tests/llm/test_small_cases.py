@@ -39,13 +39,26 @@ def test_row_numbers_have_no_gaps(spark, table):
 # -- 1 ------------------------------------------------------------------------------------------
 
 
+def like(a, b):
+    """The share of coordinates, 8 digits each, in which two fingerprints agree."""
+    if not a or not b:
+        return float(a == b)
+    return sum(a[k : k + 8] == b[k : k + 8] for k in range(0, len(a), 8)) / (len(a) // 8)
+
+
+def test_string_ids_have_next_texts(spark):
+    some = spark.createDataFrame([(f"d{i:03}", f"word{i} and more{i % 5}") for i in range(200)], "doc_id string, text string")
+    got = {r.doc_id: r for r in fingerprints.compared(some, buckets=5).collect()}
+    assert len(got) == 200 and all(got[f"d{i:03}"].near_next == like(got[f"d{i:03}"].fingerprint, got[f"d{(i - 1) % 200:03}"].fingerprint) for i in range(200))
+
+
 def test_fingerprints_of_texts_and_edits(spark, table):
     got = collections.defaultdict(list)
     for r in fingerprints.compared(table, buckets=5).collect():
         got[r.doc_id].append(r)
     # by falling id, nulls last; ties by falling text
     order = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0), [-ord(c) for c in r[1] or ""] + [1]))
-    same = {}
+    same, near = {}, []
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         k = len(text) // 3
@@ -53,7 +66,10 @@ def test_fingerprints_of_texts_and_edits(spark, table):
         hits = [g for g in got[r[0]] if g.n_chars == len(text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()]
         assert hits, r[0]
         assert same.setdefault(text, hits[0].fingerprint) == hits[0].fingerprint
-        assert (hits[0].fingerprint == "") == (not words(text)) and 0 <= hits[0].near_edited <= 1 and 0 <= hits[0].near_next <= 1
+        assert (hits[0].fingerprint == "") == (not words(text))
+        assert all(h.near_edited == like(h.fingerprint, h.edited_fingerprint) for h in hits)
+        near.append((text, after, {h.near_next for h in hits}))
+    assert all(like(same[a], same[b]) in found for a, b, found in near)
     assert sum(map(len, got.values())) == len(order)
 
 
