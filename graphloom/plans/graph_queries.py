@@ -144,11 +144,11 @@ def _zero(spark):
 
 
 def bfs_levels(spark, d):
-    return graph.levels(v.copurchases(spark, d), _zero(spark), 3).select("node", "depth")
+    return graph.levels(v.copurchases(spark, d), _zero(spark)).select("node", "depth")
 
 
 def reverse_levels(spark, d):
-    return graph.levels(v.copurchases(spark, d), _zero(spark), 3, reverse=True).select("node", "depth")
+    return graph.levels(v.copurchases(spark, d), _zero(spark), reverse=True).select("node", "depth")
 
 
 def _seeds(spark, d):
@@ -156,11 +156,11 @@ def _seeds(spark, d):
 
 
 def callees_tree(spark, d):
-    return graph.levels(v.copurchases(spark, d), _seeds(spark, d), 2).filter("depth >= 1").groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return graph.levels(v.copurchases(spark, d), _seeds(spark, d)).filter("depth >= 1").groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 def callers_tree(spark, d):
-    return graph.levels(v.copurchases(spark, d), _seeds(spark, d), 2, reverse=True).filter("depth >= 1").groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return graph.levels(v.copurchases(spark, d), _seeds(spark, d), reverse=True).filter("depth >= 1").groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 def shortest_path(spark, d):
@@ -168,12 +168,12 @@ def shortest_path(spark, d):
 
 
 def all_paths(spark, d):
-    return graph.all_paths(v.copurchases(spark, d).filter("line = 1"), 0, max_nodes=4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+    return graph.all_paths(v.copurchases(spark, d), 0).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
 
 
 def trace_path(spark, d):
     tos = v.table(spark, d, "part").filter("p_name = 'blue bolt'").select(F.col("p_partkey").alias("node"))
-    return graph.trace(v.copurchases(spark, d), _seeds(spark, d), tos, 3).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return graph.trace(v.copurchases(spark, d), _seeds(spark, d), tos).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 def api_surface(spark, d):
@@ -265,10 +265,10 @@ ORACLES["build_edges"] = f"""with {_files} select src, dst, kind, arg_count, cou
   union all select substr(sha256(path || ':'), 1, 32), substr(sha256(path || ':T' || doc_id), 1, 32), 3, 0 from files_v where ext = '.rs'
   union all select substr(sha256(path || ':'), 1, 32), substr(sha256(imp || ':'), 1, 32), 0, 0 from imports_v
   union all select substr(sha256(path || ':' || caller), 1, 32), case when (path, callee) in (select (path, name) from fn) then substr(sha256(path || ':' || callee), 1, 32) else substr(sha256(':' || callee), 1, 32) end, 1, args from (select 'o/' || l_orderkey as path, 'f' || (l_partkey % 7) as caller, 'f' || (l_suppkey % 9) as callee, cast(floor(l_quantity % 3) as int) as args from lineitem)) group by all"""
-ORACLES["bfs_levels"] = f"with recursive {_copurchases}, {_bfs('select 0::bigint as root', 3)} select node, depth from lv"
-ORACLES["reverse_levels"] = f"with recursive {_copurchases}, {_bfs('select 0::bigint as root', 3, 'dst', 'src')} select node, depth from lv"
-ORACLES["callees_tree"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 2)} select root, depth, count(*) as n from lv where depth >= 1 group by all"
-ORACLES["callers_tree"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 2, 'dst', 'src')} select root, depth, count(*) as n from lv where depth >= 1 group by all"
+ORACLES["bfs_levels"] = f"with recursive {_copurchases}, {_bfs('select 0::bigint as root', 5)} select node, depth from lv"
+ORACLES["reverse_levels"] = f"with recursive {_copurchases}, {_bfs('select 0::bigint as root', 5, 'dst', 'src')} select node, depth from lv"
+ORACLES["callees_tree"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 5)} select root, depth, count(*) as n from lv where depth >= 1 group by all"
+ORACLES["callers_tree"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 5, 'dst', 'src')} select root, depth, count(*) as n from lv where depth >= 1 group by all"
 ORACLES["shortest_path"] = f"with recursive {_copurchases}, {_bfs('select 0::bigint as root', 9)} select 0::bigint as \"from\", node as \"to\", depth as length from lv where node = 7"
-ORACLES["all_paths"] = f"with recursive {_copurchases}, w as (select [0::bigint] as p union all select list_append(p, dst) from w join copurchase_v on src = p[-1] and line = 1 where len(p) < 4 and not list_contains(p, dst)) select array_to_string(p, '>') as path, cast(len(p) - 1 as int) as length from w"
-ORACLES["trace_path"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 2)} select root, depth, count(*) as n from lv where root <> node and node in (select p_partkey from part where p_name = 'blue bolt') group by all"
+ORACLES["all_paths"] = f"with recursive {_copurchases}, w as (select [0::bigint] as p union all select list_append(p, dst) from w join copurchase_v on src = p[-1] where len(p) < 5 and not list_contains(p, dst)) select array_to_string(p, '>') as path, cast(len(p) - 1 as int) as length from w"
+ORACLES["trace_path"] = f"with recursive {_copurchases}, {_bfs(SEEDS, 4)} select root, depth, count(*) as n from lv where root <> node and node in (select p_partkey from part where p_name = 'blue bolt') group by all"
