@@ -99,7 +99,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The plan is made on narrow rows; texts move once to meet it and once to be sorted by range.
     """
     own = column(docs, id_col)
-    mark = F.struct(own.isNull().alias("missing"), F.coalesce(own.cast("string"), F.lit("")).alias("id"), F.xxhash64(column(docs, text_col)).alias("text"))
+    # A string: a struct read back has nullable fields, is cast to meet another, and moves the texts once more.
+    mark = F.concat_ws(":", own.isNull().cast("string"), F.xxhash64(column(docs, text_col)).cast("string"), F.coalesce(own.cast("string"), F.lit("")))
     plan = mixed(docs, id_col=id_col, text_col=text_col, key=mark, **how)
     # Repeated rows share a key: their passes are told apart by number.
     due = plan.select("_key", F.explode("whole_positions").alias("position"))
