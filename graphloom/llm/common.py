@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..folders import shared_folder, written
 
-__all__ = ["ROW_BITS", "WORD", "batches", "column", "documents", "free", "met", "numbered", "shared_folder", "written"]
+__all__ = ["ROW_BITS", "WORD", "batches", "column", "documents", "free", "met", "numbered", "row_mark", "shared_folder", "written"]
 
 #: A word is a run of characters other than the six ASCII white-space characters (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,13 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_mark(df: DataFrame, id_col: str = "doc_id") -> Column:
+    """A string that only rows with equal values in all columns share: the id, and a hash of all columns."""
+    cells = [F.to_json(F.struct(column(df, f.name).alias("x"))) if "map<" in f.dataType.simpleString() else column(df, f.name) for f in df.schema]
+    own = column(df, id_col)
+    return F.concat_ws(":", own.isNull().cast("string"), *[F.xxhash64(F.lit(seed), *[F.struct(c.isNull(), c) for c in cells]).cast("string") for seed in (1, 2)], F.coalesce(own.cast("string"), F.lit("")))
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
     """df with a gapless global row number from 0 in the given order.
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, documents, free
@@ -140,22 +140,28 @@ def trained(texts: list[str], labels: list[str], epochs: int = 6, rate: float =
     return model
 
 
-def sample(docs: DataFrame, label_col: str, id_col: str, most: int) -> DataFrame:
-    """About `most` rows of each label, chosen by a hash of the id: whole rows, the same ones on every run."""
-    label = column(docs, label_col)
-    share, name = free(docs, "_share"), free(docs, "_label")
-    counts = docs.groupBy(label.alias(name)).count()
+def sample(docs: DataFrame, label_col: str, id_col: str, text_col: str, most: int) -> DataFrame:
+    """id, text, label of at most `most` rows of each label and ALL_ROWS in all, chosen by a hash of id and text.
+
+    The same rows on every run. Equal rows are taken once; the window sees about `most` rows of a label.
+    """
+    own, text, label = column(docs, id_col), column(docs, text_col), column(docs, label_col)
+    rows = docs.select(own.alias("id"), text.alias("text"), label.alias("label"), F.xxhash64(own, text).alias("_hash"))
+    counts = rows.select("label", "_hash").distinct().groupBy("label").count()
     labels = counts.count()
-    counts = counts.select(name, (F.lit(float(min(most, max(1, ALL_ROWS // max(1, labels))))) / F.col("count")).alias(share))
-    part = F.pmod(F.xxhash64(column(docs, id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    most = min(most, max(1, ALL_ROWS // max(1, labels)))
+    counts = counts.select("label", (F.lit(float(most)) / F.col("count")).alias("_share"))
+    part = F.pmod(F.col("_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = F.broadcast(counts) if labels <= ALL_ROWS else counts
-    return docs.join(near, label == F.col(name)).filter(part < F.col(share)).drop(name, share)
+    chosen = rows.join(near, "label").filter(part < F.col("_share")).dropDuplicates(["label", "_hash"])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash"))
+    return chosen.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("id", "text", "label")
 
 
 def learned(docs: DataFrame, known: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows where `known` holds and text and language are not null."""
     usable = docs.filter(known & column(docs, lang_col).isNotNull() & column(docs, text_col).rlike(r"\p{L}"))
-    rows = sample(usable, lang_col, id_col, per_language).select(column(docs, id_col), column(docs, text_col), column(docs, lang_col)).collect()
+    rows = sample(usable, lang_col, id_col, text_col, per_language).collect()
     rows.sort(key=lambda r: (str(r[2]), str(r[0]), r[1]))
     return trained([r[1] for r in rows], [str(r[2]) for r in rows])
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, WORD, column, documents, free, written
+from .common import ROW_BITS, WORD, column, documents, free, row_mark, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -96,18 +96,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs in training order: a whole row for each pass that takes half of it or more.
 
-    The plan is made on narrow rows; texts move once to meet it and once to be sorted by range.
+    The plan is made on narrow rows; texts move once to meet it and once to be sorted by range. Rows are known by
+    all their columns: what is equal in all of them is one row with the passes of its copies.
     """
-    own = column(docs, id_col)
     # A string: a struct read back has nullable fields, is cast to meet another, and moves the texts once more.
-    mark = F.concat_ws(":", own.isNull().cast("string"), F.xxhash64(column(docs, text_col)).cast("string"), F.coalesce(own.cast("string"), F.lit("")))
+    mark = row_mark(docs, id_col)
     plan = mixed(docs, id_col=id_col, text_col=text_col, key=mark, **how)
-    # Repeated rows share a key: their passes are told apart by number.
-    due = plan.select("_key", F.explode("whole_positions").alias("position"))
     key, place = free(docs, "_key"), free(docs, "_position")
-    passes = due.groupBy("_key").agg(F.array_sort(F.collect_list("position")).alias(place)).withColumnRenamed("_key", free(docs, "_key") + "p")
+    due = plan.select(F.col("_key").alias(f"{key}p"), F.explode("whole_positions").alias(place))
     rows = docs.withColumn(key, mark).dropDuplicates([key])
-    out = rows.join(passes, rows[key] == passes[f"{key}p"]).select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(place).alias(place))
+    out = rows.join(due, rows[key] == due[f"{key}p"]).select(*[rows[f"`{c}`"] for c in docs.columns], F.col(place))
     order = F.col(place), F.col(f"`{id_col}`")
     return out.repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
 

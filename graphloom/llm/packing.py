@@ -35,10 +35,10 @@ ROUNDS = 400
 EPSILON = 0.1
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, position: Column | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row, and the row's position if one is given (a long)."""
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, position: Column | None = None, mark: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row, and the row's position (a long) and mark (a string) if they are given."""
     kind = docs.schema[id_col].dataType.simpleString()
-    place = F.lit(0).cast("long") if position is None else position
+    place, name = F.lit(0).cast("long") if position is None else position, F.lit("") if mark is None else mark
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
@@ -50,11 +50,11 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
                     out.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             rows = pa.array(at, pa.int64())
             piece, start, length, crc = np.array(out, np.int64).reshape(-1, 4).T
-            yield pa.record_batch([batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), batch.column(2).take(rows)], ["doc_id", "piece", "start", "length", "ids_crc32", "position"])
+            yield pa.record_batch([batch.column(0).take(rows), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), batch.column(2).take(rows), batch.column(3).take(rows)], ["doc_id", "piece", "start", "length", "ids_crc32", "position", "mark"])
         pa.default_memory_pool().release_unused()  # workers live on
 
-    out = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), place.alias("position")).mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, position long")
-    return out.drop("position") if position is None else out
+    out = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), place.alias("position"), name.alias("mark")).mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, position long, mark string")
+    return out.drop(*(["position"] if position is None else []), *(["mark"] if mark is None else []))
 
 
 def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

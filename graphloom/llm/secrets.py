@@ -6,6 +6,9 @@ has been scanned, findings included; a scan works only on pairs that are not the
 them, and findings are then joined back to all paths that hold the blob. A new rule version is
 therefore scanned over all blobs, and a new blob with all rules, but no pair twice.
 
+Patterns take time in proportion to a text: what they repeat is possessive, and a run of characters is entered
+at its start only. No repeated group may give back what it has taken, as such groups are matched by recursion.
+
 Spans are half-open ranges of code points. All of it is DataFrame functions: a rule's matches come
 from regexp_extract_all and the gaps between them from split; the ledger holds the lengths of both, and
 sums of these over the matches of a text, taken where findings are asked for, give the places.
@@ -42,6 +45,7 @@ class Rule:
     least: int = 1
     head: str = ""
     hint: str = ""  # a cheap pattern that every text with a match has
+    lead: str = ""  # where the secret begins in a match; what is before it is left out
 
     @property
     def key(self) -> str:
@@ -57,9 +61,20 @@ BASE = (
 #: What the ledger scans for besides the base kinds.
 ADDED = (
     # the whole key: its base64 and header lines, and the end line where there is one
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9-]+: [^\n]*|[A-Za-z0-9+/]*={1,2}))*(?:\s*[A-Za-z0-9+/=]*\s*-----END [A-Z ]*PRIVATE KEY-----)?", version=2, hint="-----BEGIN "),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hint="eyJ"),
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s++(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9-]++: [^\n]*+|[A-Za-z0-9+/]*+={1,2}+))*+(?:\s*+[A-Za-z0-9+/=]*+\s*+-----END [A-Z ]*PRIVATE KEY-----)?+",
+        version=3,
+        hint="-----BEGIN ",
+    ),
+    # from the first eyJ of a run: where that one is no secret, no later one of the run is
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+", version=2, hint="eyJ", lead="eyJ"),
 )
+#: The same spans by patterns without possessive parts, for SQL and tests.
+PLAIN = {
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9-]+: [^\n]*|[A-Za-z0-9+/]*={1,2}))*(?:\s*[A-Za-z0-9+/=]*\s*-----END [A-Z ]*PRIVATE KEY-----)?",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
+}
 STEPS = "array<struct<gap:int,size:int,good:boolean>>"
 FOUND = "array<struct<start:int,rank:int,kind:string,end:int,covered:int>>"
 
@@ -71,7 +86,8 @@ def steps_of(text: Column, rule: Rule) -> Column:
 
     def step(gap: Column, match: Column) -> Column:
         part = F.regexp_replace(match, F.lit(rule.head), F.lit("")) if rule.head else match
-        return F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), (F.length(part) >= rule.least).alias("good"))
+        before = F.instr(match, rule.lead) - 1 if rule.lead else F.lit(0)
+        return F.struct((F.length(gap) + before).alias("gap"), (F.length(match) - before).alias("size"), (F.length(part) >= rule.least).alias("good"))
 
     likely = text.contains(rule.hint) if rule.hint else F.rlike(text, F.lit(rule.pattern))
     return F.when(likely, F.zip_with(gaps, found, step)).otherwise(F.expr(f"cast(array() as {STEPS})"))
@@ -154,8 +170,8 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ledger, rules, text = Ledger(spark), BASE + ADDED, F.coalesce(docs["text"], F.lit(""))
     versions = docs.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text"))
-    # Two states of the collection: rows of even ids came first, then all of them; the second scan leaves out what the first has seen.
-    ledger.scan(versions.filter("doc_id % 2 = 0").drop("doc_id"), rules)
+    # Two states: rows of even ids came first and were scanned by the base rules; of all rows, the second scan takes new blobs by all rules, old ones by the added ones.
+    ledger.scan(versions.filter("doc_id % 2 = 0").drop("doc_id"), BASE)
     ledger.scan(versions.drop("doc_id"), rules)
     # Findings meet the rows by blob name; texts stay behind.
     rows = docs.select("doc_id", F.sha2(text, 256).alias("blob")).join(ledger.findings(rules), "blob", "left")
@@ -177,7 +193,7 @@ def _sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    parts = [f"select doc_id, '{r.kind}' as kind, {i} as rank, {r.least} as least, {quoted(r.head or '^')} as head, regexp_extract_all(text, {quoted(r.pattern)}, 0) as found, string_split_regex(text, {quoted(r.pattern)}) as gaps from t" for i, r in enumerate(BASE + ADDED)]
+    parts = [f"select doc_id, '{r.kind}' as kind, {i} as rank, {r.least} as least, {quoted(r.head or '^')} as head, regexp_extract_all(text, {quoted(PLAIN.get(r.kind, r.pattern))}, 0) as found, string_split_regex(text, {quoted(PLAIN.get(r.kind, r.pattern))}) as gaps from t" for i, r in enumerate(BASE + ADDED)]
     return f"""with t as (select doc_id, coalesce(text, '') as text from documents), m as ({" union all ".join(parts)}),
   i as (select *, unnest(generate_series(1, len(found))) as k from m),
   p as (select doc_id, kind, rank, found[k] as f, (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda g: length(g))), 0))::bigint as start from i where length(regexp_replace(found[k], head, '')) >= least),

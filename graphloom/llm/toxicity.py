@@ -30,7 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -319,8 +319,15 @@ def learned(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "do
     rates = tuple(min(1.0, most / max(1, counts.get(of, 0))) for of, most in ((False, negatives), (True, positives)))
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = marks.filter(part < F.when(F.col("label") > 0, rates[1]).otherwise(rates[0]))
-    # At most about positives + negatives ids: the bound of this broadcast.
-    rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(F.broadcast(chosen), "id").collect()
+    # At most about positives + negatives ids: the bound of this broadcast. An id may have many rows, so these are cut to the bound too.
+    rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.withColumn("_hash", F.xxhash64("id", F.coalesce("text", F.lit(""))))
+    many = {bool(r[0]): r[1] for r in rows.select("label", "_hash").distinct().groupBy(F.col("label") > 0).count().collect()}
+    most = F.when(F.col("label") > 0, positives).otherwise(negatives)
+    share = F.when(F.col("label") > 0, min(1.0, 2 * positives / max(1, many.get(True, 0)))).otherwise(min(1.0, 2 * negatives / max(1, many.get(False, 0))))
+    rows = rows.filter(F.pmod("_hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= share).dropDuplicates(["_hash"])
+    rank = F.row_number().over(Window.partitionBy(F.col("label") > 0).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "_hash"))
+    rows = rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("id", "text", "label").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
     return indexed([r["id"] for r in rows], [r["text"] or "" for r in rows], [int(r["label"] > 0) for r in rows], rates, spread=by_tasks(docs.sparkSession), **how)
 
