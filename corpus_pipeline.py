@@ -9,8 +9,8 @@ packing         token pieces of all documents with their places in sequences and
 Every stage works on all rows of the one before, which are written to the shared folder first. Null
 and empty texts, repeated rows and empty tables are handled as each operator's module says. In the result
 `position` is the number of a row of the mix (a document comes once for each pass), `pass` counts a document's
-passes from 0, and `sequence_position` is the mean position of a sequence's tokens: sequences sorted by it
-follow the curriculum.
+passes from 0 (a document is a row, known by all its columns), and `sequence_position` is the mean position of
+a sequence's tokens: sequences sorted by it follow the curriculum.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import language, mixing, near_duplicates, packing, secrets
-from graphloom.llm.common import column, documents, free, written
+from graphloom.llm.common import column, documents, free, row_mark, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +59,11 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     starts = counts.select(name, before.alias(free(docs, "_start")))
     placed = docs.withColumns({name: file, free(docs, "_row"): row}).join(F.broadcast(starts), name)
     position = (F.col(free(docs, "_start")) + F.col(free(docs, "_row"))).cast("long")
-    pieces = packing.pieces_of(placed, position=position)
+    pieces = packing.pieces_of(placed, position=position, mark=row_mark(docs))
     packed = packing.packed(pieces, order=("position", "piece"))
-    passes = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("position")) - 1
+    passes = F.dense_rank().over(Window.partitionBy("mark").orderBy("position")) - 1
     mean = F.sum(F.col("position") * F.col("length")).over(Window.partitionBy("sequence_id")) / F.sum("length").over(Window.partitionBy("sequence_id"))
-    return packed.withColumns({"pass": passes, "sequence_position": mean})
+    return packed.withColumns({"pass": passes, "sequence_position": mean}).drop("mark")
 
 
 STAGES = [
