@@ -99,7 +99,8 @@ def is_exported(name: Column, lang: Column) -> Column:
 
 def count_params(params: Column) -> Column:
     """-1 for variadic lists; commas inside brackets don't count, and an arrow closes a bracket as well."""
-    inner = F.trim(F.regexp_replace(F.trim(params), r"(?s)^\((.*)\)$", "$1"))
+    edges = r"^\s+|\s+$"
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(params, edges, ""), r"(?s)^\((.*)\)$", "$1"), edges, "")
     commas = F.aggregate(
         F.split(inner, ""),
         F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")),
@@ -118,10 +119,15 @@ def count_args(arguments: Column) -> Column:
     return F.when(F.trim(inner) == "", 0).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(","))) + 1)
 
 
-def signature(lang: Column, name: Column, params: Column, receiver: Column) -> Column:
+def signature(lang: Column, name: Column, params: Column, receiver: Column, result: Column | None = None) -> Column:
+    """A declaration's line; with a result where one is given and not empty: behind the list, or in front of the name in Java and C#."""
     lead = F.when(lang == "go", F.concat(F.lit("func "), F.when(receiver != "", F.concat(receiver, F.lit(" "))).otherwise("")))
     lead = lead.when(lang == "python", F.lit("def ")).when(lang.isin("typescript", "javascript"), F.lit("function ")).when(lang == "rust", F.lit("fn ")).otherwise("")
-    return F.concat(lead, name, params)
+    if result is None:
+        return F.concat(lead, name, params)
+    first = F.when(lang.isin("java", "c_sharp") & (result != ""), F.concat(result, F.lit(" "))).otherwise("")
+    mark = F.when(lang == "go", " ").when(lang.isin("python", "rust"), " -> ").when(lang.isin("typescript", "javascript"), ": ")
+    return F.concat(lead, first, name, params, F.when((result != "") & mark.isNotNull(), F.concat(mark, result)).otherwise(""))
 
 
 def field_names(block: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..folders import written as kept
 from ..functions import text as t
 from ..functions.fixed import CALLS, CONTAINS, FILE, FUNCTION, IMPORTS, METHOD, PACKAGE, TYPE
+from . import sweep
 
 
 # -- build -------------------------------------------------------------------------------------
@@ -95,9 +96,8 @@ def filter_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def containing(calls: DataFrame, ranges: DataFrame) -> DataFrame:
-    """calls(path, call_line) with the last of ranges(path, ord, name, start_line, end_line) that holds the line."""
-    inside = calls.join(ranges, "path").filter("call_line between start_line and end_line")
-    return inside.groupBy("path", "call_line").agg(F.max_by("name", "ord").alias("caller"))
+    """path, call_line, caller: each line of calls(path, call_line) once, with the last of ranges(path, ord, name, start_line, end_line) that holds it."""
+    return sweep.containing(calls.select("path", "call_line").distinct(), ranges).filter("caller is not null")
 
 
 # -- statistics and one-hop queries ------------------------------------------------------------

@@ -24,7 +24,7 @@ def _orders_as_code(spark, d):
 
 
 def _facts(spark, d):
-    return code.facts(code.lines_of(_orders_as_code(spark, d).select("path", F.lit("python").alias("language"), F.encode("text", "UTF-8").alias("content"))))
+    return code.facts(_orders_as_code(spark, d).select("path", F.lit("python").alias("language"), "text"))
 
 
 def extract_functions(spark, d):

@@ -1,9 +1,9 @@
 """Source trees: walking, ignore rules, facts of code files, manifests and change lists.
 
-Files are read by Spark's binaryFile and text readers and cut into lines; names, parameters, imports and
-calls are found by one regular expression for each language, all in generated code. A function reaches to
-the line before the next one. Line rules see one line at a time: declarations spread over several lines
-are found by their first line only.
+Files are read by Spark's binaryFile and text readers. In the six languages whose calls are followed, declarations
+and calls come from tokens and matched brackets (scanner.py), and the function around a call from a sweep over the
+file's lines. In the other ten, lines are matched by one regular expression for each language, in generated code: declarations
+spread over lines are found by their first line.
 """
 
 from __future__ import annotations
@@ -13,16 +13,15 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import fixed
 from ..functions import text as t
+from ..operators import sweep
+from . import scanner
 
-#: For each language: receiver, name and parameters of a function.
+#: For each language that the scanner doesn't read: name and parameters of a function.
 FUNCTIONS = {
-    "go": r"^func\s+(?:(\([^)]*\))\s*)?(\w+)\s*(\(.*?\))(?:\s|\{|$)",
-    "python": r"^\s*()(?:async\s+)?def\s+(\w+)\s*(\(.*\))",
-    "javascript": r"^\s*()(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b)(\w+)\s*(\([^()]*\))\s*(?::[^={]+)?\{",
-    "rust": r"^\s*()(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)(?:<[^>]*>)?\s*(\(.*?\))",
-    "java": r"^\s*()(?:(?:public|private|protected|static|final|abstract|override|virtual|async)\s+)+(?:[\w<>\[\],.?]+\s+)?(\w+)\s*(\([^()]*\))",
+    "c_sharp": r"^\s*()(?:(?:public|private|protected|static|final|abstract|override|virtual|async)\s+)+(?:[\w<>\[\],.?]+\s+)?(\w+)\s*(\([^()]*\))",
     "c": r"^()[A-Za-z_][\w\s*&:<>]*?\b(\w+)\s*(\([^;]*\))\s*\{?$",
     "ruby": r"^\s*()def\s+(?:self\.)?(\w+[?!]?)\s*(\(.*\))?",
     "swift": r"^\s*()(?:\w+\s+)*func\s+(\w+)\s*(\(.*?\))",
@@ -32,15 +31,9 @@ FUNCTIONS = {
     "dart": r"^\s*()(?:[\w<>?]+\s+)(\w+)\s*(\([^;]*\))\s*(?:async\s*)?\{",
     "r": r"^\s*()(\w[\w.]*)\s*<-\s*function\s*(\(.*\))",
 }
-FUNCTIONS |= {"typescript": FUNCTIONS["javascript"], "cpp": FUNCTIONS["c"], "c_sharp": FUNCTIONS["java"]}
+FUNCTIONS |= {"cpp": FUNCTIONS["c"]}
 TYPES = r"^\s*(?:(?:export|public|private|abstract|final|sealed|pub|open|data|default)\s+)*(class|interface|struct|enum|trait|protocol)\s+(\w+)"
-GO_TYPES = r"^type\s+(\w+)\s+(struct|interface)"
 IMPORTS = {
-    "go": r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$',
-    "python": r"^\s*(?:from|import)\s+([\w.]+)",
-    "javascript": r"""(?:from\s+|require\(\s*|^\s*import\s+)['"]([^'"]+)['"]""",
-    "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)",
-    "java": r"^\s*import\s+(?:static\s+)?([\w.]+)",
     "c": r"""^\s*#include\s+[<"]([^>"]+)[>"]""",
     "ruby": r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]""",
     "swift": r"^\s*import\s+(\w+)",
@@ -51,10 +44,7 @@ IMPORTS = {
     "r": r"^\s*(?:library|require)\((\w+)\)",
     "c_sharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
 }
-IMPORTS |= {"typescript": IMPORTS["javascript"], "cpp": IMPORTS["c"]}
-CALLING = ("go", "python", "javascript", "typescript", "rust", "java")
-CALL = r"(?<!\w)(\w+)(\([^()]*\))"
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "func", "def", "fn", "function", "and", "or", "not", "in", "elif", "match", "range")
+IMPORTS |= {"cpp": IMPORTS["c"]}
 
 
 def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
@@ -96,9 +86,14 @@ def walked(spark: SparkSession, root: str, rules: list[tuple[str, bool]] = (), o
     return out.filter("language is not null") if only_code else out
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """path, language, text of files(path, language, content)."""
+    return files.select("path", "language", F.decode("content", "UTF-8").alias("text"))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """path, language, line (from 1), text."""
-    lines = F.posexplode(F.split(F.decode("content", "UTF-8"), "\n"))
+    """path, language, line (from 1), text of files(path, language, text)."""
+    lines = F.posexplode(F.split("text", "\n"))
     return files.select("path", "language", lines.alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
@@ -109,31 +104,38 @@ def _by_language(rules: dict[str, str], group: int) -> Column:
     return out
 
 
-def facts(lines: DataFrame) -> dict[str, DataFrame]:
-    """functions, types, imports and calls of code lines, in the shapes that graph.build() takes. The first of a name in a file stays."""
-    name = _by_language(FUNCTIONS, 2)
-    found = lines.select("path", "language", "line", name.alias("name"), _by_language(FUNCTIONS, 1).alias("receiver"), _by_language(FUNCTIONS, 3).alias("params")).filter("name <> ''")
-    here = Window.partitionBy("path").orderBy("line")
-    ranged = found.withColumn("end_line", F.coalesce(F.lead("line").over(here) - 1, F.lit(1 << 30)))
-    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy("line"))).filter("_n = 1").drop("_n")
+def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows(..., ord) with equal keys the first."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), "ord").alias("_row"))
+    return first.select("_row.*")
+
+
+def facts(files: DataFrame) -> dict[str, DataFrame]:
+    """functions, types, imports and calls of files(path, language, text), in the shapes that graph.build() takes.
+
+    The first of a name in a file stays. A call's caller is the last function of the file, in the text's order, whose lines hold
+    the call's; calls outside of functions have none. Files are scanned once, into a table.
+    """
+    seen = written(scanner.scanned(files))
+    lines = lines_of(files.filter(~F.col("language").isin(*scanner.LANGUAGES)))
+    name, params = (_by_language(FUNCTIONS, g) for g in (2, 3))
+    none = F.lit("")
+    plain = lines.select("path", "language", F.col("line").alias("ord"), "line", F.lit(None).cast("int").alias("end_line"), name.alias("name"), none.alias("receiver"), params.alias("params"), none.alias("result")).filter("name <> ''")
+    found = seen.filter("kind = 'function'").select("path", "language", "ord", "line", "start_line", "end_line", "name", F.col("detail").alias("receiver"), "params", "result")
+    once = first_of(found.drop("start_line").unionByName(plain), "path", "name")
+    language, own = F.col("language"), F.col("name")
     functions = once.select(
-        "path", "language", F.col("line").alias("ord"), "name", F.when(F.col("language") == "go", F.col("receiver")).otherwise("").alias("receiver"), t.count_params(F.col("params")).alias("param_count"),
-        t.is_exported(F.col("name"), F.col("language")).alias("exported"), t.signature(F.col("language"), F.col("name"), F.col("params"), F.col("receiver")).alias("signature"),
+        "path", "language", "ord", "line", "end_line", "name", "receiver", t.count_params(F.col("params")).alias("param_count"), t.is_exported(own, language).alias("exported"),
+        t.signature(language, own, F.col("params"), F.col("receiver")).alias("signature"), "result", t.signature(language, own, F.col("params"), F.col("receiver"), F.col("result")).alias("full_signature"),
     )
-    go = F.col("language") == "go"
-    kind, label = (F.when(go, F.regexp_extract("text", GO_TYPES, g)).otherwise(F.regexp_extract("text", TYPES, w)) for g, w in ((2, 1), (1, 2)))
-    types = lines.select("path", "language", F.col("line").alias("ord"), label.alias("name"), kind.alias("kind")).filter("name <> ''")
-    types = types.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy("ord"))).filter("_n = 1").drop("_n")
-    imports = lines.select("path", "language", F.col("line").alias("ord"), _by_language(IMPORTS, 1).alias("imp")).filter("imp <> ''")
-    imports = imports.groupBy("path", "language", "imp").agg(F.min("ord").alias("ord"))
-    code = lines.filter(F.col("language").isin(*CALLING) & ~F.ltrim("text").rlike("^(#|//|\\*)"))
-    names, args = (F.regexp_extract_all("text", F.lit(CALL), F.lit(g)) for g in (1, 2))
-    sites = code.select("path", F.col("line").alias("call_line"), F.explode(F.arrays_zip(names.alias("callee"), args.alias("args"))).alias("c")).select("path", "call_line", "c.callee", "c.args").filter(~F.col("callee").isin(*KEYWORDS))
-    # One range of a file holds a line, so the join keeps one row for each call.
-    spans = ranged.select("path", F.col("name").alias("caller"), "line", "end_line")
-    calls = sites.join(spans, "path").filter("call_line > line and call_line <= end_line")
-    calls = calls.select("path", F.col("call_line").alias("ord"), "caller", "callee", t.count_args(F.col("args")).alias("args"))
-    return {"functions": functions, "types": types, "imports": imports, "calls": calls}
+    kind, label = (F.regexp_extract("text", TYPES, g) for g in (1, 2))
+    types = seen.filter("kind = 'type'").select("path", "language", "ord", "line", "name", F.col("detail").alias("kind"))
+    types = first_of(types.unionByName(lines.select("path", "language", F.col("line").alias("ord"), "line", label.alias("name"), kind.alias("kind")).filter("name <> ''")), "path", "name")
+    imports = seen.filter("kind = 'import'").select("path", "language", "ord", F.col("name").alias("imp"))
+    imports = first_of(imports.unionByName(lines.select("path", "language", F.col("line").alias("ord"), _by_language(IMPORTS, 1).alias("imp")).filter("imp <> ''")), "path", "imp")
+    sites = seen.filter("kind = 'call'").select("path", F.col("line").alias("call_line"), "ord", F.col("name").alias("callee"), F.col("detail").alias("receiver"), "args")
+    calls = sweep.containing(sites, found.select("path", "ord", "name", "start_line", "end_line"))
+    return {"functions": functions, "types": types, "imports": imports, "calls": calls.select("path", "ord", "call_line", "caller", "callee", "receiver", "args")}
 
 
 def _blocks(lines: DataFrame, opens: str, closes: str) -> DataFrame:

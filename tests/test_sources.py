@@ -33,7 +33,7 @@ def test_walk_leaves_out_ignored_files(spark, tmp_path):
 
 def test_facts_of_code_lines_build_a_graph(spark, tmp_path):
     files = code.walked(spark, tree(tmp_path), code.ignore_rules(["out/"]), only_code=True)
-    facts = code.facts(code.lines_of(files).filter(F.col("path").isin("main.go", "lib/a.py")))
+    facts = code.facts(code.decoded(files).filter(F.col("path").isin("main.go", "lib/a.py")))
     functions = {(r.path, r.name, r.param_count, r.receiver != "") for r in facts["functions"].collect()}
     assert functions == {("main.go", "main", 0, False), ("main.go", "hello", 1, False), ("main.go", "Greet", -1, True), ("lib/a.py", "run", 2, False), ("lib/a.py", "helper", 0, False)}
     assert {(r.name, r.kind) for r in facts["types"].collect()} == {("User", "struct"), ("Thing", "class")}
@@ -46,7 +46,7 @@ def test_facts_of_code_lines_build_a_graph(spark, tmp_path):
 
 
 def test_manifests(spark, tmp_path):
-    lines = code.lines_of(code.walked(spark, tree(tmp_path)))
+    lines = code.lines_of(code.decoded(code.walked(spark, tree(tmp_path))))
     got = {(r.language, r.dep) for r in code.manifests(lines).collect()}
     assert got == {("go", "github.com/a/b"), ("go", "gopkg.in/yaml.v3"), ("python", "flask"), ("python", "numpy"), ("python", "pandas"), ("javascript", "react"), ("javascript", "left-pad"), ("swift", "Alamofire"), ("swift", "swift-nio")}
 
