@@ -26,3 +26,35 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _path(spark, path)
+    return system.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    at, system = _path(spark, path)
+    part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = system.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(at):
+        system.delete(at, False)
+    if not system.rename(part, at):
+        raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, system = _path(spark, path)
+    reader = system.open(at)
+    try:
+        return bytes(reader.readAllBytes()).decode()
+    finally:
+        reader.close()
