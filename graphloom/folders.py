@@ -28,6 +28,24 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """df written in buckets of a column, in the shared folder if no path is given: joins on it need not move these rows."""
+    spark = df.sparkSession
+    name = f"graphloom_{uuid.uuid4().hex}"
+    n = buckets or min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Each task writes one bucket.
+    rows = df.repartition(n, key).sortWithinPartitions(key)
+    rows.write.format("parquet").option("compression", "zstd").option("path", path or f"{shared_folder(spark)}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_table(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A table that bucketed() has written, in another session."""
+    name = f"graphloom_{uuid.uuid4().hex}"
+    spark.sql(f"create table {name} ({schema}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
 def _path(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -7,9 +7,12 @@ partitioning. Traversals are loops over frontiers of DataFrames: one join and on
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import bucketed, bucketed_table, read_text, write_text
 from ..folders import written as kept
 from ..functions import text as t
 from ..functions.fixed import CALLS, CONTAINS, FILE, FUNCTION, IMPORTS, METHOD, PACKAGE, TYPE
@@ -136,7 +139,8 @@ def levels(edges: DataFrame, seeds: DataFrame, max_hops: int = 5, reverse: bool
     edges(src, dst), seeds(root). Each level joins the frontier with the edges and leaves out what was seen.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    links = kept(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    # In buckets of the node that is left, so that no level moves the edges.
+    links = bucketed(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "node")
     seen = frontier = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     for depth in range(1, max_hops + 1):
         step = frontier.join(links, "node").select("root", F.col("next").alias("node")).distinct()
@@ -188,9 +192,44 @@ def all_paths(edges: DataFrame, source, target=None, max_nodes: int = 5) -> Data
 
 
 def trace(edges: DataFrame, froms: DataFrame, tos: DataFrame, max_nodes: int = 5) -> DataFrame:
-    """root, node, depth of all pairs of different nodes in froms(root) and tos(node) with a path, at its length."""
-    reached = levels(edges, froms, max_nodes - 1).filter("root <> node")
-    return reached.join(tos, "node", "left_semi").select("root", "node", "depth")
+    """root, node, depth of all pairs of different nodes in froms(root) and tos(node) with a path of at most max_nodes nodes, at its length.
+
+    Both sides search half of the way, so neither grows to the reach of the whole.
+    """
+    hops = max(0, max_nodes - 1)
+    there = levels(edges, froms.select("root").distinct(), (hops + 1) // 2).select("root", F.col("node").alias("middle"), "depth")
+    back = levels(edges, tos.select(F.col("node").alias("root")).distinct(), hops // 2, reverse=True).select(F.col("root").alias("node"), F.col("node").alias("middle"), F.col("depth").alias("rest"))
+    met = there.join(back, "middle").filter("root <> node")
+    return met.groupBy("root", "node").agg(F.min(F.col("depth") + F.col("rest")).cast("int").alias("depth"))
+
+
+def traced(edges: DataFrame, froms: DataFrame, tos: DataFrame, max_nodes: int = 5) -> DataFrame:
+    """step, id, edge_kind: the nodes of a shortest path of the first pair, by ids, of froms(root) and tos(node) that has one.
+
+    edge_kind is the least kind of an edge to the next node, null at the end. Of several shortest paths the least in the order of ids.
+    """
+    pair = trace(edges, froms, tos, max_nodes).orderBy("root", "node").first()
+    kind = edges.schema["src"].dataType.simpleString()
+    spark = edges.sparkSession
+    if pair is None:
+        return spark.createDataFrame([], f"step int, id {kind}, edge_kind int")
+    goal = spark.createDataFrame([(pair["node"],)], f"root {kind}")
+    left = levels(edges, goal, pair["depth"], reverse=True).select(F.col("node").alias("dst"), "depth")
+    links = bucketed(edges.select("src", "dst", F.col("kind").cast("int").alias("edge_kind")), "src")
+    at, steps = pair["root"], []
+    for step in range(pair["depth"]):  # one row for each hop
+        nearer = left.filter(F.col("depth") == pair["depth"] - step - 1)
+        ahead = links.filter(F.col("src") == F.lit(at)).join(nearer, "dst").groupBy("dst").agg(F.min("edge_kind").alias("edge_kind")).orderBy("dst").first()
+        steps.append((step, at, ahead["edge_kind"]))
+        at = ahead["dst"]
+    return spark.createDataFrame([*steps, (pair["depth"], at, None)], f"step int, id {kind}, edge_kind int")
+
+
+def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_nodes: int = 5, kinds: tuple[int, ...] = ()) -> DataFrame:
+    """step, id, name, path, edge_kind of traced() between the nodes that two patterns find."""
+    froms, tos = find(nodes, source, kinds), find(nodes, target, kinds)
+    steps = traced(edges, froms.select(F.col("id").alias("root")), tos.select(F.col("id").alias("node")), max_nodes)
+    return F.broadcast(steps).join(nodes.select("id", "name", "path"), "id").select("step", "id", "name", "path", "edge_kind")
 
 
 # -- incremental maintenance -------------------------------------------------------------------
@@ -205,10 +244,15 @@ def stale(nodes: DataFrame, disk: DataFrame, indexed_at) -> DataFrame:
 
 
 def remove_paths(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges without the nodes of these paths and all edges that touch them."""
-    gone = nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id")
+    """nodes and edges without the nodes of these paths and all edges that touch them.
+
+    The ids that go are written once; of the edges only those whose ends are among them are looked for, in two
+    joins that need not move the edges while the ids are few.
+    """
+    gone = kept(nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct())
     left = edges.join(gone, edges["src"] == gone["id"], "left_anti")
-    return nodes.join(gone, "id", "left_anti"), left.join(gone, left["dst"] == gone["id"], "left_anti")
+    other = gone.select(F.col("id").alias("_gone"))
+    return nodes.join(other, nodes["id"] == other["_gone"], "left_anti"), left.join(other, left["dst"] == other["_gone"], "left_anti")
 
 
 def meta(nodes: DataFrame, edges: DataFrame, version: int = 1, root: str = "") -> DataFrame:
@@ -218,11 +262,19 @@ def meta(nodes: DataFrame, edges: DataFrame, version: int = 1, root: str = "") -
     return counts.select(F.lit(version).alias("version"), F.lit(root).alias("root"), "node_count", "edge_count", F.current_timestamp().alias("indexed_at"))
 
 
-def save(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Both tables as Parquet under a folder, nodes by kind."""
-    nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+def save(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Nodes in buckets of their ids, edges in buckets of their sources, and again of their targets; what is there is not replaced."""
+    n = buckets or min(1024, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tables = {"nodes": (nodes, "id"), "edges": (edges, "src"), "edges_in": (edges, "dst")}
+    for name, (df, key) in tables.items():
+        bucketed(df, key, f"{folder}/{name}", n)
+    schemas = {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for name, (df, _) in tables.items()}
+    write_text(nodes.sparkSession, f"{folder}/graph.json", json.dumps({"version": 1, "buckets": n, "schemas": schemas}))
 
 
-def load(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+def load(spark, folder: str, incoming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a saved graph; with incoming, the edges are those in buckets of their targets."""
+    told = json.loads(read_text(spark, f"{folder}/graph.json"))
+    edges, key = ("edges_in", "dst") if incoming else ("edges", "src")
+    tables = (("nodes", "id"), (edges, key))
+    return tuple(bucketed_table(spark, f"{folder}/{name}", told["schemas"][name], by, told["buckets"]) for name, by in tables)

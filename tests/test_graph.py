@@ -126,3 +126,31 @@ def test_tables_survive_a_round_trip(spark, tmp_path):
     graph.save(nodes, edges, str(tmp_path))
     n, e = graph.load(spark, str(tmp_path))
     assert (n.count(), e.count()) == FACTS["go"]["expected"]
+
+
+def test_traced_paths(spark):
+    nodes = spark.createDataFrame([(x, 2, f"name_{x}", "p") for x in "abcdefgz"], "id string, kind int, name string, path string")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 1), ("b", "d", 0), ("c", "d", 1), ("b", "d", 3), ("d", "e", 1), ("e", "a", 1), ("f", "g", 4), ("g", "g", 1)], "src string, dst string, kind int")
+    froms, tos = (spark.createDataFrame([(x,) for x in ids], f"{name} string") for ids, name in ((["a", "f", "z"], "root"), (["a", "e", "g", "z"], "node")))
+    assert sorted(tuple(r) for r in graph.trace(edges, froms, tos, 5).collect()) == [("a", "e", 3), ("f", "g", 1)]
+    assert sorted(tuple(r) for r in graph.trace(edges, froms, tos, 3).collect()) == [("f", "g", 1)]
+    assert sorted(tuple(r) for r in graph.traced(edges, froms, tos, 5).collect()) == [(0, "a", 1), (1, "b", 0), (2, "d", 1), (3, "e", None)]
+    assert sorted(tuple(r) for r in graph.traced(edges, froms, tos, 2).collect()) == [(0, "f", 4), (1, "g", None)]
+    assert graph.traced(edges, froms, tos, 1).count() == 0
+    got = graph.find_path(nodes, edges, "NAME_A", "name_e").orderBy("step").collect()
+    assert [(r.step, r.name, r.edge_kind) for r in got] == [(0, "name_a", 1), (1, "name_b", 0), (2, "name_d", 1), (3, "name_e", None)]
+
+
+def test_saved_edges_are_joined_where_they_lie(spark, tmp_path):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}", 1) for i in range(200)], "src string, dst string, kind int")
+    nodes = spark.createDataFrame([(f"n{i}", 2, f"x{i}", "p") for i in range(200)], "id string, kind int, name string, path string")
+    graph.save(nodes, edges, f"file://{tmp_path}/g", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for incoming, key in ((False, "src"), (True, "dst")):
+            n, e = graph.load(spark, f"file://{tmp_path}/g", incoming)
+            joined = e.join(n, e[key] == n["id"])
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and joined.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
