@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_queries, file_queries, graph_queries, scan_queries, search_queries, upkeep_queries
+from . import code_queries, file_queries, graph_queries, index_queries, scan_queries, search_queries, upkeep_queries
 
-MODULES = (file_queries, graph_queries, search_queries, code_queries, scan_queries, upkeep_queries)
+MODULES = (file_queries, graph_queries, search_queries, code_queries, scan_queries, index_queries, upkeep_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -166,6 +166,25 @@ def manifests(lines: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>"
+
+
+def manifests_of(files: DataFrame) -> DataFrame:
+    """path, language, dep, line of manifests(), of files(path, text): a package.json is read by its structure, however it is laid out.
+
+    line counts its names, dependencies first. One that is no JSON object is read by lines.
+    """
+    files = files.select("path", F.lit("").alias("language"), "text").withColumn("_json", F.when(t.base(F.col("path")) == "package.json", F.from_json("text", PACKAGE_JSON, {"mode": "PERMISSIVE"})))
+    whole = F.col("_json").isNotNull() & (F.col("_json.dependencies").isNotNull() | F.col("_json.devDependencies").isNotNull())
+    none = F.expr("cast(array() as array<string>)")
+    names = F.concat(*[F.coalesce(F.map_keys(f"_json.{c}"), none) for c in ("dependencies", "devDependencies")])
+    parsed = files.filter(whole).select("path", F.lit("javascript").alias("language"), F.posexplode(names).alias("line", "dep")).filter("dep <> ''")
+    rest = manifests(lines_of(files.filter(~F.coalesce(whole, F.lit(False))).drop("_json")))
+    both = rest.unionByName(parsed.select("path", "language", "dep", (F.col("line") + 1).alias("line")))
+    first = both.groupBy("language", "dep").agg(F.min_by(F.struct("path", "line"), F.struct("path", "line")).alias("x"))
+    return first.select("x.path", "language", "dep", "x.line")
+
+
 def numstat(lines: DataFrame) -> DataFrame:
     """path, added, removed of change lists in lines(text): added, removed and path; a dash, as of binary files, is 0."""
     parts = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
