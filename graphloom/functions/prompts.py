@@ -32,5 +32,10 @@ def summarize(module: Column, files: Column) -> Column:
     return F.concat(summary_head(module), F.array_join(F.transform(files, lambda f: section(f["path"], f["source"])), BETWEEN))
 
 
+def called(name: Column, callers: Column, callees: Column) -> Column:
+    """Of the joined names of those that call it and that it calls."""
+    return F.concat(F.lit("Describe the part that "), name, F.lit(" plays.\nCalled by: "), callers, F.lit("\nCalls: "), callees)
+
+
 def call_graph(name: Column, callers: Column, callees: Column) -> Column:
-    return F.concat(F.lit("Describe the part that "), name, F.lit(" plays.\nCalled by: "), F.array_join(callers, ", "), F.lit("\nCalls: "), F.array_join(callees, ", "))
+    return called(name, F.array_join(callers, ", "), F.array_join(callees, ", "))

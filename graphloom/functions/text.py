@@ -194,6 +194,17 @@ def node_text(kind: Column, name: Column, sign: Column, doc: Column, path: Colum
     return F.concat_ws("\n", F.when(name != "", F.concat(kinds, F.lit(": "), name)), F.when(sign != "", F.concat(F.lit("Signature: "), sign)), F.when(doc != "", F.concat(F.lit("Description: "), short)), F.when(path != "", F.concat(F.lit("Location: "), path)))
 
 
+def with_code(text: Column, lang: Column, source: Column) -> Column:
+    """What is embedded for a node with its source, which is cut at 1000 characters; the text alone without one."""
+    cut = F.when(F.length(source) > 1000, F.concat(F.substring(source, 1, 1000), F.lit("\n// ... truncated"))).otherwise(source)
+    return F.coalesce(F.concat(text, F.lit("\n\nCode:\n```"), lang, F.lit("\n"), cut, F.lit("\n```")), text)
+
+
+def snippet(source: Column) -> Column:
+    """The first 500 characters of a hit's source."""
+    return F.when(F.length(source) > 500, F.concat(F.substring(source, 1, 500), F.lit("\n// ..."))).otherwise(source)
+
+
 def mock_embedding(text: Column, size: int = fixed.EMBEDDING_SIZE) -> Column:
     """The deterministic test embedding: ((A + (i + 1) B) mod 1000) / 1000, B the sum of code points, A that of code point times byte offset."""
     sums = F.aggregate(

@@ -121,17 +121,33 @@ def systems(files: DataFrame) -> DataFrame:
 
 
 def project_stats(files: DataFrame, group) -> DataFrame:
-    """project, files, language: the most frequent language of each project; ties by name."""
-    counts = files.filter("language is not null").groupBy(group.alias("project"), "language").agg(F.count("*").alias("n"))
-    return counts.groupBy("project").agg(F.sum("n").alias("files"), F.min(F.struct((-F.col("n")).alias("n"), "language"))["language"].alias("language"))
+    """project, files, language: all files of each project, and its most frequent language; ties by name."""
+    counts = files.groupBy(group.alias("project"), "language").agg(F.count("*").alias("n"))
+    best = F.min(F.when(F.col("language").isNotNull(), F.struct((-F.col("n")).alias("n"), "language")))["language"]
+    return counts.groupBy("project").agg(F.sum("n").alias("files"), best.alias("language"))
 
 
 def api_surface(symbols: DataFrame) -> DataFrame:
-    """package, functions, types, names of exported symbols(path, name, kind, exported); empty packages fall away."""
+    """package, functions, types: how many exported symbols(path, name, kind, exported); empty packages fall away. api_symbols() has their names."""
     own = symbols.filter("exported").groupBy(t.dirname(F.col("path")).alias("package"))
     return own.agg(F.count_if(F.col("kind").isin(fixed.FUNCTION, fixed.METHOD)).alias("functions"), F.count_if(F.col("kind") == fixed.TYPE).alias("types"))
 
 
+def api_symbols(symbols: DataFrame) -> DataFrame:
+    """package, what (function or type), name, n: the exported names of each package, and how often each is declared. A row for a name, as packages may be large."""
+    what = F.when(F.col("kind").isin(fixed.FUNCTION, fixed.METHOD), "function").when(F.col("kind") == fixed.TYPE, "type")
+    own = symbols.filter("exported").select(t.dirname(F.col("path")).alias("package"), what.alias("what"), "name").filter("what is not null")
+    return own.groupBy("package", "what", "name").agg(F.count("*").alias("n"))
+
+
+def dependency_totals(deps: DataFrame, functions: DataFrame, types: DataFrame) -> DataFrame:
+    """One row on internal dependencies and declarations: internal_deps, files_with_deps, targets, functions, types."""
+    a = deps.agg(F.count("*").alias("internal_deps"), F.count_distinct("path").alias("files_with_deps"), F.count_distinct("target").alias("targets"))
+    both = functions.select(F.lit(1).alias("f"), F.lit(0).alias("t")).unionAll(types.select(F.lit(0), F.lit(1)))
+    b = both.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("functions"), F.coalesce(F.sum("t"), F.lit(0)).alias("types"))
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def symbols(facts: DataFrame, name: str = "", kind: str = "all", file: str = "") -> DataFrame:
     """Symbols(path, name, kind) by part of the name in any case, by kind and by part of the path."""
     if kind not in ("", "all", "function", "type"):

@@ -86,10 +86,22 @@ class Index:
 
         A path that comes twice has its greater text; null paths are left out, a null text is empty.
         """
-        epoch = self.epochs()
         files = files.filter("path is not null").groupBy("path").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "language")).alias("x")).select("path", "x.language", "x.text")
         now = files.select("path", "language", F.sha2("text", 256).alias("hash"))
-        both = now.join(self.live().select("path", F.col("hash").alias("was"), F.col("language").alias("had")), "path", "full_outer")
+        return self.apply(files, now.join(self.known(), "path", "full_outer"))
+
+    def change(self, files: DataFrame) -> dict[str, int]:
+        """The same, of only those files(path, language, text) that may have changed; a null text is a file that is gone."""
+        files = files.filter("path is not null").groupBy("path").agg(F.max(F.struct("text", "language")).alias("x")).select("path", "x.language", "x.text")
+        now = files.select("path", "language", F.sha2("text", 256).alias("hash"))
+        return self.apply(files, now.join(self.known(), "path", "left").filter("hash is not null or was is not null"))
+
+    def known(self) -> DataFrame:
+        return self.live().select("path", F.col("hash").alias("was"), F.col("language").alias("had"))
+
+    def apply(self, files: DataFrame, both: DataFrame) -> dict[str, int]:
+        """One epoch: of both(path, language, hash, was, had), what differs."""
+        epoch = self.epochs()
         differs = F.col("was").isNull() | F.col("hash").isNull() | (F.col("hash") != F.col("was")) | ~F.col("language").eqNullSafe(F.col("had"))
         delta = written(both.filter(differs).select("path", "language", "hash", F.col("hash").isNull().alias("gone")))
         counts = {bool(r[0]): r[1] for r in delta.groupBy("gone").count().collect()}

@@ -55,7 +55,7 @@ def embed_pending(spark, d):
 def vector_upsert(spark, d):
     own = v.vectors(spark, d).select("node_id", "vector")
     updates = own.filter("node_id >= 100").select("node_id", F.transform("vector", lambda x: -x).alias("vector"))
-    return search.upserted(own, updates, 64).groupBy().agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("vector", 1)), 6).alias("first"))
+    return search.upserted(own, updates, 64).select("node_id", F.round(F.element_at("vector", 1), 6).alias("first"), F.round(F.element_at("vector", 64), 6).alias("last"))
 
 
 def mock_embed(spark, d):
@@ -74,7 +74,7 @@ def cache_stats(spark, d):
 
 
 def cache_cleanup(spark, d):
-    return answers.cleaned(v.cached(spark, d), F.lit(NOW).cast("timestamp"), TTL).groupBy("operation").agg(F.count("*").alias("n"))
+    return answers.cleaned(v.cached(spark, d), F.lit(NOW).cast("timestamp"), TTL).select("key", "operation", "event_id")
 
 
 COSINE = "list_cosine_similarity(vector, (select vector from vectors_v where node_id = 0))"
@@ -94,11 +94,11 @@ ALL = {
     "hybrid_search": (hybrid_search, FUSED),
     "search_expand": (search_expand, f"select h.node_id as id, score, (select count(*) from edges_v where kind = 1 and dst = h.node_id) as callers, (select count(*) from edges_v where kind = 1 and src = h.node_id) as callees, n.name from ({FUSED}) h join nodes_v n on n.id = h.node_id"),
     "embed_pending": (embed_pending, "select kind, count(*) as n from nodes_v where kind in (2, 3, 4) and id not in (select id from nodes_v join part on path = p_brand || '/part_' || p_partkey join vectors_v on node_id = p_partkey) group by kind"),
-    "vector_upsert": (vector_upsert, "select count(*) as n, round(sum(case when node_id >= 100 then -vector[1] else vector[1] end), 6) as first from vectors_v"),
+    "vector_upsert": (vector_upsert, "select node_id, round(case when node_id >= 100 then -vector[1] else vector[1] end, 6) as first, round(case when node_id >= 100 then -vector[64] else vector[64] end, 6) as last from vectors_v"),
     "mock_embed": (mock_embed, "select p_partkey, ((a + b) % 1000) / 1000.0::double as e1, ((a + 2 * b) % 1000) / 1000.0::double as e2, ((a + 768 * b) % 1000) / 1000.0::double as e768 from (select p_partkey, cast(list_sum(list_transform(generate_series(1, length(s)), lambda i: ascii(s[i]) * (i - 1))) as bigint) as a, cast(list_sum(list_transform(generate_series(1, length(s)), lambda i: ascii(s[i]))) as bigint) as b from (select p_partkey, p_name || ' ' || p_brand as s from part))"),
     "cache_lookup": (cache_lookup, f"select c_custkey as key, c_custkey in (select key from cache_v where epoch(timestamp '{NOW}') - floor(epoch(created_at)) <= {TTL * 86400}) as hit from customer"),
     "cache_stats": (cache_stats, f"select hits, misses, round(hits / (hits + misses), 6) as hit_rate from (select count_if(hit) as hits, count_if(not hit) as misses from (select c_custkey in (select key from cache_v where epoch(timestamp '{NOW}') - floor(epoch(created_at)) <= {TTL * 86400}) as hit from customer))"),
-    "cache_cleanup": (cache_cleanup, f"select operation, count(*) as n from cache_v where epoch(timestamp '{NOW}') - floor(epoch(created_at)) <= {TTL * 86400} group by operation"),
+    "cache_cleanup": (cache_cleanup, f"select key, operation, event_id from cache_v where epoch(timestamp '{NOW}') - floor(epoch(created_at)) <= {TTL * 86400}"),
 }
 QUERIES = {name: q for name, (q, _) in ALL.items()}
 ORACLES = {name: sql(s) for name, (_, s) in ALL.items()}

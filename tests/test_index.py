@@ -8,6 +8,7 @@ import pytest
 from graphloom.operators import graph
 from graphloom.operators.index import Index, facts_of
 from graphloom.sources import scanner
+from graphloom.streaming import incremental
 
 SCHEMA = "path string, language string, text string"
 
@@ -80,3 +81,12 @@ def test_odd_files(spark, tmp_path):
     assert index.call_edges().count() == 1
     assert index.update(spark.createDataFrame([], SCHEMA))["removed"] == 2
     assert index.graph()[0].count() == 0
+
+
+def test_an_index_follows_a_stream_of_changes(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/index"), str(tmp_path / "events")
+    batches = ([("a.py", "def a():\n    b()\n", 1), ("b.py", "def b():\n    pass\n", 1)], [("b.py", "def c():\n    a()\n", 2), ("a.py", "def old():\n    x()\n", 0), ("a.py", "def a():\n    c()\n", 3)], [("b.py", None, 4), ("zz.py", None, 4)])
+    for rows in batches:
+        spark.createDataFrame(rows, "path string, content string, mtime int").selectExpr("path", "content", "timestamp_seconds(mtime) as mtime").write.mode("append").parquet(events)
+        incremental.follow_code(spark, events, index, str(tmp_path / "mark")).awaitTermination()
+    assert index.epochs() == 3 and bag(index.graph()[1]) == bag(whole(spark, {"a.py": "def a():\n    c()\n"})[1])
