@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,21 @@ LEAST, HIGHEST, MARGIN, ERROR = 0.5, 0.9, 10.0, 0.001
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def parts_of(text: str, most: int = 4096) -> Iterator[list[str]]:
+    """The words of a text, some at a time. No subword reaches into the next word."""
+    found = LETTERS.finditer(text.lower())
+    while part := [m.group() for m in islice(found, most)]:
+        yield part
+
+
 def subwords(text: str) -> np.ndarray:
     """Table rows of all subwords of a text."""
-    b = np.frombuffer(f" {' '.join(LETTERS.findall(text.lower()))} ".encode(), np.uint8)
+    found = [subwords_of(part) for part in parts_of(text)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def subwords_of(words: list[str]) -> np.ndarray:
+    b = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8)
     x, gap, out = b.astype(np.uint64), b == 32, []
     code = np.zeros(len(x), np.uint64)
     inner = np.zeros(len(x), bool)  # a gap inside an n-gram: it would join two words
@@ -67,8 +80,12 @@ class Model:
     least: float = LEAST
 
     def scores(self, text: str) -> np.ndarray:
-        rows = subwords(text)
-        return self.table[rows].mean(axis=0) + self.bias if len(rows) else self.bias
+        total, n = np.zeros(len(self.languages)), 0
+        for part in parts_of(text):  # memory doesn't grow with the text
+            rows = subwords_of(part)
+            total += self.table[rows].sum(axis=0)
+            n += len(rows)
+        return (total / n).astype(np.float32) + self.bias if n else self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not any(map(str.isalpha, text)):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, column, documents
+from .common import batches, column, documents, written
 
 RATE = 8000
 BLOCK = 64
@@ -114,10 +114,11 @@ def with_landmarks(media: DataFrame) -> DataFrame:
 
 
 def op6_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_landmarks(as_wav(documents(spark, sf_dir)))
+    """Writes the audio column to the shared folder and returns what is read back from it."""
+    out = with_landmarks(written(as_wav(documents(spark, sf_dir))))
     pairs = F.concat_ws(",", F.transform("times", lambda t: t.cast("string"))), F.concat_ws(",", F.transform("codes", lambda c: c.cast("string")))
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.sha2(F.concat_ws(";", *pairs), 256))
-    return out.withColumn("feature", feature).withColumn("n_landmarks", F.split("feature", ":")[0].cast("int"))
+    return out.withColumns({"feature": feature, "n_landmarks": F.size("codes")})
 
 
 QUERIES = {"op6_wav_landmarks": op6_wav_landmarks}
