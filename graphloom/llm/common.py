@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder, written
 
-__all__ = ["ROW_BITS", "WORD", "batches", "column", "documents", "free", "met", "numbered", "row_mark", "shared_folder", "written"]
+__all__ = ["ROW_BITS", "WORD", "alone", "batches", "column", "documents", "free", "met", "numbered", "row_mark", "shared_folder", "written"]
 
 #: A word is a run of characters other than the six ASCII white-space characters (Java regex).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +80,19 @@ def met(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
     return spread.join(repeated, [key, "_part"]).drop("_part")
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, free: Callable[[], None]) -> None:
+    """Said by a task at its start: workers live on, so what tasks of other operators have left in this one is freed.
+
+    free lets go of what this operator remembers between its tasks.
+    """
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    _HELD[name] = free
+
+
 def batches(frames: Iterator, most: int = 8 << 20) -> Iterator:
     """The record batches of mapInArrow cut so that each holds few bytes, and one row at least."""
     for batch in frames:

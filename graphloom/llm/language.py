@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, documents, free
+from .common import alone, column, documents, free
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -192,6 +192,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", least: flo
     least = model.least if least is None else least
 
     def predict(frames: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone("language", lambda: None)
         m = shared.value
         for texts in frames:
             found = [m.predict(x.as_py()) for x in texts]

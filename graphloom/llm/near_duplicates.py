@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, column, documents, free, met, written
+from .common import alone, batches, column, documents, free, met, written
 from .components import components
 
 COORDINATES = 64
@@ -100,6 +100,7 @@ def signed(docs: DataFrame, size: int, coordinates: int, id_col: str, text_col:
     keys = _keys(coordinates)
 
     def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words", WORDS.clear)
         for batch in batches(frames):
             sets = [shingles(x.as_py(), size) for x in batch.column(2)]
             yield pa.record_batch(
@@ -137,6 +138,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words", WORDS.clear)
         last, found = None, None
         for batch in batches(frames):
             keep = []

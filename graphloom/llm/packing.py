@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, column, documents, numbered, written
-from .tokens import VOCABULARY, cuts, document_ids
+from .common import alone, batches, column, documents, numbered, written
+from .tokens import VOCABULARY, cuts, document_ids, encoder
 
 CAPACITY = 2048
 #: Rounds end when all is covered; what is left after so many goes to the best fit that follows.
@@ -41,6 +41,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
     place, name = F.lit(0).cast("long") if position is None else position, F.lit("") if mark is None else mark
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("tokens", encoder.cache_clear)
         for batch in batches(frames):
             at, out = [], []
             for row, text in enumerate(batch.column(1)):
