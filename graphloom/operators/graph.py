@@ -22,9 +22,10 @@ from . import sweep
 # -- build -------------------------------------------------------------------------------------
 
 
-def first_by(df: DataFrame, key: str, *order) -> DataFrame:
-    """One row for each key: the first in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row for each key: the first in the given order. Each task keeps one row of a key."""
+    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def build(functions: DataFrame, types: DataFrame, imports: DataFrame, calls: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -488,7 +488,6 @@ class File:
                 brace = self.until(i + 2, ("{", ";"))
                 if self.word(brace) == "{" and brace in self.partner:
                     bodies.append((brace, self.partner[brace], self.word(i + 1)))
-                    bodies.sort()
                     if t.text == "enum":
                         k = brace + 1
                         while k < self.partner[brace] and self.word(k) != ";":
@@ -496,6 +495,7 @@ class File:
                             if self.word(k) == "{":  # a constant's own body
                                 bodies.append((k, self.partner[k], ""))
                             k = self.partner.get(k, k) + 1
+                    bodies.sort()
             elif t.text == "new":
                 # The body of a nameless class declares methods, too.
                 k = self.until(i + 1, ("(", ";"))
