@@ -37,6 +37,7 @@ QUOTED["typescript"] = QUOTED["javascript"]
 WORD = r"[^\W\d][\w$]*|\$[\w$]*"
 SIGNS = r"=>|->|::|:=|\.\.\.|\?\.|==|!=|<=|>=|&&|\|\||[^\s\w]"
 TOKENS = {k: re.compile(rf"(?P<comment>{c})|(?P<string>{s})|(?P<word>{WORD})|(?P<number>\d[\w.]*)|(?P<sign>{SIGNS})") for k, (c, s) in QUOTED.items()}
+SPACE = re.compile(r"\s+")
 TEMPLATE = re.compile(r"(?:\\[\s\S]|(?!\$\{)[^`\\])*")
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
 #: What a slash may follow to begin a regular expression.
@@ -68,7 +69,15 @@ class Token(NamedTuple):
 def tokens_of(text: str, language: str) -> list[Token]:
     """Tokens without comments. A template is cut into its texts and the tokens between them."""
     out, at, line, pattern = [], 0, 1, TOKENS[language]
-    script, inside = language in ("javascript", "typescript"), []  # open brackets, to know where a template goes on
+    if language not in ("javascript", "typescript"):
+        for m in pattern.finditer(text):
+            line += text.count("\n", at, m.start())
+            last = line + text.count("\n", m.start(), m.end())
+            if m.lastgroup != "comment":
+                out.append(Token(m.lastgroup, m.group(), m.start(), line, last))
+            at, line = m.end(), last
+        return out
+    inside = []  # open brackets, to know where a template goes on
 
     def add(kind: str, end: int) -> None:
         nonlocal at, line
@@ -79,7 +88,7 @@ def tokens_of(text: str, language: str) -> list[Token]:
         at, line = end, last
 
     while at < len(text):
-        if script and inside and inside[-1] == "`":
+        if inside and inside[-1] == "`":
             end = TEMPLATE.match(text, at).end()
             add("string", end)
             if text.startswith("${", at):
@@ -91,26 +100,27 @@ def tokens_of(text: str, language: str) -> list[Token]:
                 at += 1
             continue
         if text[at].isspace():
-            line += text[at] == "\n"
-            at += 1
+            m = SPACE.match(text, at)
+            line += m.group().count("\n")
+            at = m.end()
             continue
-        if script and text[at] == "`":
+        if text[at] == "`":
             inside.append("`")
             at += 1
             continue
-        if script and text[at] == "/" and (out[-1].text if out else None) in BEFORE_REGEX and (m := REGEX.match(text, at)):
+        if text[at] == "/" and (out[-1].text if out else None) in BEFORE_REGEX and (m := REGEX.match(text, at)):
             add("string", m.end())
             continue
         m = pattern.match(text, at)
         if m is None:
             at += 1
             continue
-        if script and m["sign"] in ("{", "}"):
+        if m["sign"] in ("{", "}"):
             if m["sign"] == "{":
                 inside.append("{")
             elif inside and inside[-1] != "`":
                 inside.pop()
-        add(m.lastgroup if m.lastgroup in ("comment", "string", "word", "number", "sign") else "string", m.end())
+        add(m.lastgroup, m.end())
     return out
 
 
@@ -307,7 +317,7 @@ class File:
                 if self.word(params) == "(" and params in self.partner:
                     colon = self.until(self.partner[params] + 1, (":",))
                     result = self.span(self.partner[params] + 2, colon - 1) if self.word(self.partner[params] + 1) == "->" else ""
-                    after = next((k for k in firsts[n + 1 :] if column[k] <= column[first]), len(self.tokens))
+                    after = next((firsts[k] for k in range(n + 1, len(firsts)) if column[firsts[k]] <= column[first]), len(self.tokens))
                     self.function(first, i + 1, params, after - 1, result)
             elif word == "import":
                 k = i + 1
