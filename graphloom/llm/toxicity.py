@@ -8,14 +8,14 @@ knows its largest weight in each block. These maxima bound what a block's exampl
 promising blocks are scored first; of the others only those whose bound reaches the k-th best so far, so the
 neighbours are exact, ties by example number.
 
-Neighbours vote with their squared similarity, corrected for the share of each label that was
-sampled, and with the prior for what they leave open. A second vote is among the examples nearest by those
-terms alone whose chi-square against the label is at least `least_chi`. A logistic curve fitted on
-leave-one-out votes of the examples makes both votes a probability. Evidence names the nearest examples by
-all terms.
+A neighbour's cosine is a sum over the terms that it shares with the text, and it votes for each of them with that
+term's part, corrected for the share of each label that was sampled; the prior votes for what they leave open. So a
+passage counts by the neighbours that have it as well, and less by what else the text holds; in a text of
+thousands of words one toxic word may still be missed. The text's vote is the sum of its `STRONGEST` terms' log odds above the prior's. A logistic curve fitted on
+leave-one-out votes of the examples makes it a probability. Evidence names the nearest examples.
 
 Defined cases: null and empty texts, and those without a word of any example, have no neighbours: their
-votes are the prior; equal texts have equal scores; with no labelled row every score is 0; no rows give no
+vote is 0, what the prior says; equal texts have equal scores; with no labelled row every score is 0; no rows give no
 rows. An id with several labels counts as toxic if one of them says so. Ids may be of any simple type.
 """
 
@@ -25,7 +25,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -38,14 +38,17 @@ from .common import batches, column, documents
 from .language import held_out
 
 POSITIVES, NEGATIVES = 1200, 1800
-LEAST_CHI = 25.0
-LEAST_DOCUMENTS = 4
-NEIGHBOURS = 50
+NEIGHBOURS = 200
+#: Terms whose votes a text's vote is made of, and the weight of the prior in each.
+STRONGEST, OPEN = 3, 1e-2
 #: Examples in a block, and blocks that are scored before the others are looked at.
 BLOCK, AHEAD = 128, 2
+#: Cosines that differ by less are ties.
+TIE = 1e-6
+#: At most so many terms, had by more than one in HEAD_SHARE examples, are scored by a matrix.
+HEADS, HEAD_SHARE = 256, 16
 #: Terms by which examples are put into blocks.
 DIRECTIONS, FREQUENT = 6, 384
-OPEN = 1e-3
 #: Words whose terms a worker remembers, and texts whose scores it does.
 MEMO, SCORES = 150_000, 10_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -89,12 +92,37 @@ class NewTerms(Terms):
         return found
 
 
+@dataclass
+class Near:
+    """Neighbours of a text, nearest first, and what each of its terms adds to their cosines."""
+
+    examples: np.ndarray
+    cosines: np.ndarray
+    parts: tuple[np.ndarray, np.ndarray, np.ndarray]  # example, place of the term in the query, its part of the cosine
+    # Of terms in the matrix: places in the query, columns, the query's weights by column, and the neighbours' rows.
+    common: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+    scored: int = 0  # blocks, and those with any of the terms
+    met: int = 0
+
+
 class Postings:
-    """Posting lists cut at blocks of examples; each cut has the block's number and its largest weight."""
+    """Posting lists cut at blocks of examples; each cut has the block's number and its largest weight.
+
+    Terms that many examples have are rows of a matrix instead, with a weight for each example.
+    """
 
     def __init__(self, idf: np.ndarray, n: int, terms: np.ndarray, examples: np.ndarray, values: np.ndarray):
         """terms, examples, values: a row for each term of an example, by term, then example."""
         self.idf, self.n, self.blocks = idf, n, -(-n // BLOCK)
+        df = np.bincount(terms, minlength=len(idf))
+        head = np.argsort(-df, kind="stable")[:HEADS]
+        head = head[df[head] * HEAD_SHARE > n]
+        self.head = np.full(len(idf), -1, np.int32)
+        self.head[head] = np.arange(len(head))
+        self.heads = np.zeros((n, len(head)), np.float32)
+        own = self.head[terms]
+        self.heads[examples[own >= 0], own[own >= 0]] = values[own >= 0]
+        terms, examples, values = terms[own < 0], examples[own < 0], values[own < 0]
         self.examples, self.values = examples.astype(np.int32), values.astype(np.float32)
         block = self.examples // BLOCK
         new = np.ones(len(terms), bool)
@@ -103,28 +131,35 @@ class Postings:
         self.cut_block, self.cut_start = block[at], np.append(at, len(terms)).astype(np.int32)
         self.cut_top = np.maximum.reduceat(self.values, at) if len(at) else self.values
         self.start = np.searchsorted(terms[at], np.arange(len(idf) + 1)).astype(np.int32)
+        self.edges = np.arange(0, n, BLOCK)
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         q = (1 + np.log(counts)) * self.idf[terms]
         return q / max(np.sqrt(q @ q), 1e-300)
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Examples and cosines of the k nearest with a cosine over 0, nearest first; blocks scored, and blocks with any of the terms."""
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> Near:
+        """The k nearest with a cosine over 0."""
         if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0), 0, 0
+            return Near(np.zeros(0, np.int64), np.zeros(0), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+        q, row = self.weights(terms, counts), self.head[terms]
+        common = np.flatnonzero(row >= 0)
+        row, weight = row[common], np.zeros(self.heads.shape[1], np.float32)
+        weight[row] = q[common]
+        scores = (self.heads @ weight).astype(float)
         starts, ends = self.start[terms], self.start[terms + 1]
         cuts = ranges(starts, ends)
-        q = np.repeat(self.weights(terms, counts), ends - starts)
-        block = self.cut_block[cuts]
-        bound = np.bincount(block, q * self.cut_top[cuts], self.blocks)
-        scores = np.zeros(self.n)
+        which = np.repeat(np.arange(len(terms), dtype=np.int32), ends - starts)
+        block, w = self.cut_block[cuts], q[which]
+        bound = np.bincount(block, w * self.cut_top[cuts], self.blocks) + np.maximum.reduceat(scores, self.edges)
+        met = []
 
         def score(chosen: np.ndarray) -> None:
             own = chosen[block]
-            some, w = cuts[own], q[own]
-            first, last = self.cut_start[some], self.cut_start[some + 1]
+            first, last = self.cut_start[cuts[own]], self.cut_start[cuts[own] + 1]
             at = ranges(first, last)
-            scores[:] += np.bincount(self.examples[at], np.repeat(w, last - first) * self.values[at], self.n)
+            examples, parts = self.examples[at], np.repeat(w[own], last - first) * self.values[at]
+            met.append((examples, np.repeat(which[own], last - first), parts))
+            scores[:] += np.bincount(examples, parts, self.n)
             if skip >= 0:
                 scores[skip] = 0
 
@@ -132,16 +167,24 @@ class Postings:
         if (some := int(ahead.sum())) > AHEAD:
             ahead = ahead & (bound >= np.partition(bound, -AHEAD)[-AHEAD])
         score(ahead)
+        # What an example has from common terms alone is less than its cosine, so the k-th best is no less than this.
         floor = np.partition(scores, -k)[-k] if self.n >= k else 0.0
-        more = (bound >= floor - 1e-9) & (bound > 0) & ~ahead
+        more = (bound >= floor - TIE) & (bound > 0) & ~ahead
         if more.any():
             score(more)
         found = np.flatnonzero(scores > 0)
         if len(found) > k:
             last = np.partition(scores[found], -k)[-k]
-            found = found[scores[found] >= last - 1e-11]
-        best = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
-        return best, scores[best], int(ahead.sum() + more.sum()), some
+            found = found[scores[found] >= last - TIE]
+        best = found[np.lexsort((found, -np.round(scores[found] / TIE)))][:k]
+        near = np.zeros(self.n, bool)
+        near[best] = True
+        shared = []
+        for examples, term, parts in met:
+            at = np.flatnonzero(near[examples])
+            shared.append((examples[at], term[at], parts[at]))
+        joined = tuple(map(np.concatenate, zip(*shared, strict=True)))
+        return Near(best, scores[best], joined, (common, row, weight, self.heads[best]), int(ahead.sum() + more.sum()), some)
 
 
 def in_blocks(x: np.ndarray) -> np.ndarray:
@@ -168,9 +211,7 @@ class Index:
     prior: float
     numbers: dict[str, int]  # of the terms
     postings: Postings
-    lexicon: Postings  # the same examples by the terms that tell the labels apart
-    telling: np.ndarray  # the lexicon's numbers of the terms, or -1
-    slope: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0]))
+    slope: float = 1.0
     shift: float = 0.0
 
     def __post_init__(self) -> None:
@@ -184,24 +225,30 @@ class Index:
         order = np.argsort(terms)
         return terms[order], np.fromiter(found.values(), np.float64, len(found))[order]
 
-    def neighbours(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        near, cosines, scored, met = self.postings.nearest(terms, counts, k, skip)
-        self.scored += scored
-        self.met += met
-        return near, cosines
-
-    def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
-        v = cosines**2 * self.weights[self.labels[near]]
-        return float(((v * self.labels[near]).sum() + OPEN * self.prior) / (v.sum() + OPEN))
-
-    def votes(self, terms: np.ndarray, counts: np.ndarray, near: np.ndarray, cosines: np.ndarray, k: int, skip: int = -1) -> list[float]:
-        """By all terms, whose neighbours are given, and by the lexicon."""
-        own = self.telling[terms]
-        return [self.vote(near, cosines), self.vote(*self.lexicon.nearest(own[own >= 0], counts[own >= 0], k, skip)[:2])]
-
-    def curve(self, votes: list[float]) -> float:
-        v = np.clip(votes, 1e-6, 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope @ np.log(v / (1 - v)) + self.shift))))
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> Near:
+        near = self.postings.nearest(terms, counts, k, skip)
+        self.scored += near.scored
+        self.met += near.met
+        return near
+
+    def vote(self, near: Near, n_terms: int) -> float:
+        """Of n_terms terms' votes, the sum of the strongest, as log odds above the prior's."""
+        if not 0 < self.prior < 1:
+            return 0.0
+        examples, term, part = near.parts
+        of = self.weights[self.labels]
+        bad = of * self.labels
+        # Counts of nothing are integers.
+        every, toxic = (np.bincount(term, part * w[examples], n_terms).astype(float) for w in (of, bad))
+        if near.common:
+            places, columns, weight, rows = near.common
+            every[places], toxic[places] = ((np.stack([of, bad])[:, near.examples] @ rows) * weight)[:, columns]
+        p = (toxic + OPEN * self.prior) / (every + OPEN)
+        odds = np.log(p / (1 - p)) - np.log(self.prior / (1 - self.prior))
+        return float(np.sort(np.maximum(odds, 0))[-STRONGEST:].sum())
+
+    def curve(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * vote + self.shift))))
 
     def score(self, text: str | None) -> tuple[float, list]:
         if not len(self.labels):
@@ -211,17 +258,18 @@ class Index:
             if len(self.memo) >= SCORES:
                 self.memo.clear()
             query = self.query(text)
-            near, cosines = self.neighbours(*query, NEIGHBOURS)
-            self.memo[key] = self.curve(self.votes(*query, near, cosines, NEIGHBOURS)), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:5], cosines[:5], strict=True)]
+            near = self.neighbours(*query, NEIGHBOURS)
+            self.memo[key] = self.curve(self.vote(near, len(query[0]))), [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near.examples[:5], near.cosines[:5], strict=True)]
         return self.memo[key]
 
 
-def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0, 1.0), least_chi: float = LEAST_CHI, neighbours: int = NEIGHBOURS, spread: Callable | None = None) -> Index:
+def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float, float] = (1.0, 1.0), neighbours: int = NEIGHBOURS, spread: Callable | None = None) -> Index:
     """An index of these examples. rates: the share of all rows of label 0 and of label 1 that they are. spread: how leave-one-out votes are taken."""
     y = np.array(labels, np.int64)
-    n, p, weights = len(y), int(sum(labels)), np.array([1 / max(r, 1e-9) for r in rates])
+    n, weights = len(y), np.array([1 / max(r, 1e-9) for r in rates])
     total = weights[y].sum() if n else 1.0
     prior = float((weights[y] * y).sum() / total) if n else 0.0
+    weights = weights * max(1, n) / total  # 1 in the mean
     seen, rows = NewTerms({}), []  # numbers and counts of each text's terms
     for text in texts:
         counts = Counter(chain.from_iterable(map(seen.__getitem__, words_of(text))))
@@ -232,9 +280,6 @@ def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float,
     heights = 1 + np.log(np.concatenate([np.zeros(0, np.float32), *(k for _, k in rows)]))
     del rows, seen
     m = np.bincount(at, minlength=len(names)).astype(float)
-    a = np.bincount(at, y[of], len(names)) if n else m
-    gap = a * (n - p - (m - a)) - (m - a) * (p - a)
-    told = (m >= LEAST_DOCUMENTS) & (m < n) & (n * gap**2 >= least_chi * m * (n - m) * p * (n - p)) & (0 < p < n)
     idf = np.log(n / np.maximum(m, 1))  # 0 for what all examples have
 
     # Blocks: by the leading directions of the examples in their frequent terms.
@@ -249,67 +294,60 @@ def indexed(ids: list, texts: list[str], labels: list[int], rates: tuple[float,
     del x
     rank = np.argsort(order).astype(np.int32)
 
-    def postings(chosen: np.ndarray) -> Postings:
-        kept = np.flatnonzero(chosen[at])
-        terms, who = (np.cumsum(chosen, dtype=np.int32) - 1)[at[kept]], rank[of[kept]]
-        value = heights[kept] * idf[at[kept]]
-        value /= np.maximum(np.sqrt(np.bincount(who, value**2, n)), 1e-300)[who]
-        by = np.lexsort((who, terms))
-        return Postings(idf[chosen], n, terms[by], who[by], value[by])
-
-    telling = np.where(told, np.cumsum(told) - 1, -1)
-    out = Index([ids[i] for i in order], y[order], weights, prior, names, postings(np.ones(len(names), bool)), postings(told), telling)
-    if n and 0 < p < n:
+    who, value = rank[of], heights * idf[at]
+    value /= np.maximum(np.sqrt(np.bincount(who, value**2, n)), 1e-300)[who]
+    by = np.lexsort((who, at))
+    out = Index([ids[i] for i in order], y[order], weights, prior, names, Postings(idf, n, at[by], who[by], value[by]))
+    if n and 0 < prior < 1:
         votes = (spread or here)(out, [texts[i] for i in order], neighbours)
-        out.slope, out.shift = logistic(np.clip(votes, 1e-6, 1 - 1e-6), out.labels, weights[out.labels])
+        out.slope, out.shift = logistic(np.array(votes), out.labels, weights[out.labels])
     out.terms.clear()  # not sent to the tasks
     return out
 
 
-def left_out(index: Index, rows: Iterable[tuple[int, str]], k: int) -> list[tuple[int, list[float]]]:
-    """The votes of examples on themselves, by example number."""
+def left_out(index: Index, rows: Iterable[tuple[int, str]], k: int) -> list[tuple[int, float]]:
+    """The votes on examples by the others, by example number."""
     out = []
     for i, text in rows:
         query = index.query(text)
-        out.append((i, index.votes(*query, *index.neighbours(*query, k, skip=i), k, skip=i)))
+        out.append((i, index.vote(index.neighbours(*query, k, skip=i), len(query[0]))))
     return out
 
 
-def here(index: Index, texts: list[str], k: int) -> list[list[float]]:
+def here(index: Index, texts: list[str], k: int) -> list[float]:
     return [v for _, v in left_out(index, enumerate(texts), k)]
 
 
 def by_tasks(spark: SparkSession) -> Callable:
     """The same as here(), in tasks."""
 
-    def spread(index: Index, texts: list[str], k: int) -> list[list[float]]:
+    def spread(index: Index, texts: list[str], k: int) -> list[float]:
         shared = spark.sparkContext.broadcast(index)
 
         def vote(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in frames:
                 found = left_out(shared.value, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), k)
-                yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["i", "votes"])
+                yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.float64())], ["i", "vote"])
 
         rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(4 * spark.sparkContext.defaultParallelism)
-        found = dict(tuple(r) for r in rows.mapInArrow(vote, "i long, votes array<double>").collect())
+        found = dict(tuple(r) for r in rows.mapInArrow(vote, "i long, vote double").collect())
         shared.destroy()
         return [found[i] for i in range(len(texts))]
 
     return spread
 
 
-def logistic(votes: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Slopes and shift of the weighted logistic fit on log odds, by damped Newton steps; the slopes stay positive."""
-    x = np.concatenate([np.log(votes / (1 - votes)), np.ones((len(votes), 1))], 1)
-    w = weights / weights.mean()
-    theta = start = np.array([1.0] * votes.shape[1] + [0.0])
+def logistic(votes: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the weighted logistic fit on votes, by damped Newton steps; the slope stays positive."""
+    x = np.stack([votes, np.ones(len(votes))], 1)
+    theta = start = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ theta))
-        slope = x.T @ (w * (p - y)) + 1e-2 * (theta - start)
-        curve = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(theta))
+        slope = x.T @ (weights * (p - y)) + 1e-2 * (theta - start)
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
         theta = theta - np.clip(np.linalg.solve(curve, slope), -1, 1)
-        theta[:-1] = np.maximum(theta[:-1], 0.1)
-    return theta[:-1], float(theta[-1])
+        theta[0] = max(theta[0], 0.1)
+    return float(theta[0]), float(theta[1])
 
 
 def learned(docs: DataFrame, labels: DataFrame, known: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, **how) -> Index:

@@ -115,9 +115,12 @@ def _examples(n=400):
     return texts, labels
 
 
-@pytest.mark.parametrize("block", [8, 128])
-def test_neighbours_are_those_of_plain_cosines(monkeypatch, block):
+@pytest.mark.parametrize("block,heads", [(8, 256), (128, 256), (8, 0), (8, 3)])
+def test_neighbours_and_votes_are_those_of_plain_cosines(monkeypatch, block, heads):
+    """Neighbours, votes, scores and evidence by dictionaries; by posting lists, by the matrix of common terms, and by both."""
     monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "HEADS", heads)
+    monkeypatch.setattr(toxicity, "NEIGHBOURS", 10)
     texts, labels = _examples()
     texts += [f"{'abcdefg'[i % 7]}utre mot{'abcdefghijk'[i % 11]} bien{'abc'[i % 3]} " + "r" * (i + 1) for i in range(100)]  # alike among themselves: blocks that others can skip
     labels += [0] * 100
@@ -130,15 +133,53 @@ def test_neighbours_are_those_of_plain_cosines(monkeypatch, block):
         return {t: x / norm for t, x in v.items()}
 
     vectors = [vector(c) for c in counts]
-    index = toxicity.indexed(list(range(len(texts))), texts, labels)
+    rates = (0.5, 0.25)
+    index = toxicity.indexed(list(range(len(texts))), texts, labels, rates, neighbours=10)
+    total = sum(1 / rates[y] for y in labels)
+    prior = sum(1 / rates[1] for y in labels if y) / total
+    shares = [len(labels) / rates[y] / total for y in (0, 1)]
+    assert index.scored <= index.met
+    index.scored = index.met = 0
     for text in [*texts[:20], *texts[-20:], "wordaa vile nothing", "rude", ""]:
         q = vector(collections.Counter(t for w in toxicity.words_of(text) for t in toxicity.terms_of(w)))
         plain = {i: sum(x * v.get(t, 0.0) for t, x in q.items()) for i, v in enumerate(vectors)}
-        near, cosines = index.neighbours(*index.query(text), 10)
+        found = index.neighbours(*index.query(text), 10)
+        near, cosines = found.examples, found.cosines
         want = sorted((c for c in plain.values() if c > 1e-12), reverse=True)[:10]
         assert np.allclose(cosines, want, atol=1e-5)
         assert all(abs(plain[index.ids[i]] - c) < 1e-5 for i, c in zip(near, cosines, strict=True))
-    assert 0 < index.scored < index.met or block == 128
+        # Among equal cosines the choice is the index's; the votes are those of its choice.
+        chosen = [index.ids[i] for i in near]
+        odds = []
+        for t, x in q.items():
+            v = [(x * vectors[i].get(t, 0.0) * shares[labels[i]], labels[i]) for i in chosen]
+            p = (sum(a * y for a, y in v) + 0.01 * prior) / (sum(a for a, _ in v) + 0.01)
+            odds.append(max(0.0, math.log(p / (1 - p)) - math.log(prior / (1 - prior))))
+        vote = sum(sorted(odds)[-3:])
+        assert index.vote(found, len(q)) == pytest.approx(vote, abs=1e-3)
+        score, evidence = index.score(text)
+        assert score == pytest.approx(1 / (1 + math.exp(-(index.slope * vote + index.shift))), abs=1e-3)
+        assert [i for i, _, _ in evidence] == chosen[:5] and all(y == labels[i] for i, _, y in evidence)
+        assert [c for _, c, _ in evidence] == pytest.approx(want[:5], abs=1e-5)
+    assert 0 < index.scored < index.met or block == 128 or heads == 256
+
+
+def test_toxic_words_are_found_in_longer_texts():
+    """Votes are by term, so words around it weaken a toxic word's vote less than they weaken the cosine."""
+    texts, labels = _examples()
+    index = toxicity.indexed(list(range(len(texts))), texts, labels)
+    clean = [x for x, y in zip(texts, labels, strict=True) if not y]
+    for i in range(0, 40, 4):
+        around = " ".join(clean[i : i + 4])
+        assert index.score(f"{around} vile")[0] >= 0.7 > 0.3 > index.score(around)[0]
+
+
+def test_leaving_an_example_out_of_its_own_vote():
+    texts, labels = _examples(60)
+    index = toxicity.indexed(list(range(60)), texts, labels)
+    for i in range(60):
+        near = index.neighbours(*index.query(texts[index.ids[i]]), 60, skip=i)
+        assert i not in near.examples and i not in near.parts[0]
 
 
 def test_texts_without_telling_terms_have_their_neighbours():
@@ -146,7 +187,8 @@ def test_texts_without_telling_terms_have_their_neighbours():
     texts, labels = _examples()
     texts, labels = [*texts, "zyxwv quartz obelisk", "zyxwv marimba"], [*labels, 1, 0]
     index = toxicity.indexed(list(range(len(texts))), texts, labels)
-    near, cosines = index.neighbours(*index.query(texts[-2]), 5)
+    found = index.neighbours(*index.query(texts[-2]), 5)
+    near, cosines = found.examples, found.cosines
     assert index.ids[near[0]] == len(texts) - 2 and abs(cosines[0] - 1) < 1e-6 and index.ids[near[1]] == len(texts) - 1
     assert [i for i, _, _ in index.score("obelisk")[1]] == [len(texts) - 2]
 
