@@ -145,7 +145,8 @@ class Postings:
         common = np.flatnonzero(row >= 0)
         row, weight = row[common], np.zeros(self.heads.shape[1], np.float32)
         weight[row] = q[common]
-        scores = (self.heads @ weight).astype(float)
+        # Not by @, whose threads keep the other cores busy waiting.
+        scores = np.einsum("ij,j->i", self.heads, weight).astype(float)
         starts, ends = self.start[terms], self.start[terms + 1]
         cuts = ranges(starts, ends)
         which = np.repeat(np.arange(len(terms), dtype=np.int32), ends - starts)
@@ -242,7 +243,7 @@ class Index:
         every, toxic = (np.bincount(term, part * w[examples], n_terms).astype(float) for w in (of, bad))
         if near.common:
             places, columns, weight, rows = near.common
-            every[places], toxic[places] = ((np.stack([of, bad])[:, near.examples] @ rows) * weight)[:, columns]
+            every[places], toxic[places] = (np.einsum("ki,ij->kj", np.stack([of, bad])[:, near.examples].astype(np.float32), rows) * weight)[:, columns]
         p = (toxic + OPEN * self.prior) / (every + OPEN)
         odds = np.log(p / (1 - p)) - np.log(self.prior / (1 - self.prior))
         return float(np.sort(np.maximum(odds, 0))[-STRONGEST:].sum())
