@@ -52,6 +52,8 @@ DIRECTIONS, FREQUENT = 6, 384
 #: Words whose terms a worker remembers, and texts whose scores it does.
 MEMO, SCORES = 150_000, 10_000
 WORDS = re.compile(r"[^\W\d_]+")
+#: ASCII characters that no word has become spaces.
+APART = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 #: Lengths of the word beginnings that are terms as well, written with a star.
 STEMS = (5,)
 
@@ -60,27 +62,36 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def runs_of(text: str | None) -> list[str]:
+    """The text's lower-case runs of letters and characters beyond ASCII: one after the other they hold the words of words_of()."""
+    return (text or "").lower().encode().translate(APART).decode().split()
+
+
 def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """starts[0]..ends[0]-1, starts[1]..ends[1]-1 and so on."""
     sizes = ends - starts
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    before = np.cumsum(sizes)
+    out = np.repeat(starts - before + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class Terms(dict):
-    """Numbers of the index's terms in a word; what it remembers is bounded."""
+    """Numbers of the index's terms in a run of runs_of(); what it remembers is bounded."""
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
         self.numbers = numbers
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, run: str) -> tuple[int, ...]:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = found = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
+        words = (run,) if run.isascii() else words_of(run)
+        self[run] = found = tuple([self.numbers[t] for word in words for t in terms_of(word) if t in self.numbers])
         return found
 
 
@@ -99,8 +110,8 @@ class Near:
     examples: np.ndarray
     cosines: np.ndarray
     parts: tuple[np.ndarray, np.ndarray, np.ndarray]  # example, place of the term in the query, its part of the cosine
-    # Of terms in the matrix: places in the query, columns, the query's weights by column, and the neighbours' rows.
-    common: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+    # Of terms in the matrix: places in the query, the query's weights, and the neighbours' columns.
+    common: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     scored: int = 0  # blocks, and those with any of the terms
     met: int = 0
 
@@ -119,11 +130,13 @@ class Postings:
         head = head[df[head] * HEAD_SHARE > n]
         self.head = np.full(len(idf), -1, np.int32)
         self.head[head] = np.arange(len(head))
-        self.heads = np.zeros((n, len(head)), np.float32)
+        self.heads = np.zeros((len(head), n), np.float32)
         own = self.head[terms]
-        self.heads[examples[own >= 0], own[own >= 0]] = values[own >= 0]
+        self.heads[own[own >= 0], examples[own >= 0]] = values[own >= 0]
         terms, examples, values = terms[own < 0], examples[own < 0], values[own < 0]
-        self.examples, self.values = examples.astype(np.int32), values.astype(np.float32)
+        # Small types: a worker goes all over these arrays, which its caches should hold.
+        number = np.int16 if n < 1 << 15 else np.int32
+        self.examples, self.values = examples.astype(number), values.astype(np.float32)
         block = self.examples // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
@@ -143,23 +156,25 @@ class Postings:
             return Near(np.zeros(0, np.int64), np.zeros(0), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
         q, row = self.weights(terms, counts), self.head[terms]
         common = np.flatnonzero(row >= 0)
-        row, weight = row[common], np.zeros(self.heads.shape[1], np.float32)
-        weight[row] = q[common]
+        weight, heads = q[common].astype(np.float32), self.heads[row[common]]
         # Not by @, whose threads keep the other cores busy waiting.
-        scores = np.einsum("ij,j->i", self.heads, weight).astype(float)
+        scores = np.einsum("i,ij->j", weight, heads).astype(float)
         starts, ends = self.start[terms], self.start[terms + 1]
         cuts = ranges(starts, ends)
-        which = np.repeat(np.arange(len(terms), dtype=np.int32), ends - starts)
-        block, w = self.cut_block[cuts], q[which]
-        bound = np.bincount(block, w * self.cut_top[cuts], self.blocks) + np.maximum.reduceat(scores, self.edges)
+        which = np.repeat(np.arange(len(terms)), ends - starts)
+        block, w = self.cut_block.take(cuts), q.take(which)
+        bound = np.bincount(block, w * self.cut_top.take(cuts), self.blocks) + np.maximum.reduceat(scores, self.edges)
         met = []
 
         def score(chosen: np.ndarray) -> None:
-            own = chosen[block]
-            first, last = self.cut_start[cuts[own]], self.cut_start[cuts[own] + 1]
+            own = np.flatnonzero(chosen.take(block))
+            cut = cuts.take(own)
+            first, last = self.cut_start.take(cut), self.cut_start.take(cut + 1)
             at = ranges(first, last)
-            examples, parts = self.examples[at], np.repeat(w[own], last - first) * self.values[at]
-            met.append((examples, np.repeat(which[own], last - first), parts))
+            examples, of = self.examples.take(at), np.repeat(own, last - first)
+            parts = w.take(of)
+            parts *= self.values.take(at)
+            met.append((examples, of, parts))
             scores[:] += np.bincount(examples, parts, self.n)
             if skip >= 0:
                 scores[skip] = 0
@@ -181,11 +196,11 @@ class Postings:
         near = np.zeros(self.n, bool)
         near[best] = True
         shared = []
-        for examples, term, parts in met:
-            at = np.flatnonzero(near[examples])
-            shared.append((examples[at], term[at], parts[at]))
+        for examples, of, parts in met:
+            at = np.flatnonzero(near.take(examples))
+            shared.append((examples.take(at), which.take(of.take(at)), parts.take(at)))
         joined = tuple(map(np.concatenate, zip(*shared, strict=True)))
-        return Near(best, scores[best], joined, (common, row, weight, self.heads[best]), int(ahead.sum() + more.sum()), some)
+        return Near(best, scores[best], joined, (common, weight, heads[:, best]), int(ahead.sum() + more.sum()), some)
 
 
 def in_blocks(x: np.ndarray) -> np.ndarray:
@@ -221,10 +236,10 @@ class Index:
 
     def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers, rising, and counts of a text's terms."""
-        found = Counter(chain.from_iterable(map(self.terms.__getitem__, words_of(text))))
-        terms = np.fromiter(found, np.int64, len(found))
-        order = np.argsort(terms)
-        return terms[order], np.fromiter(found.values(), np.float64, len(found))[order]
+        found = np.fromiter(chain.from_iterable(map(self.terms.__getitem__, runs_of(text))), np.int32)
+        found.sort()
+        at = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[at].astype(np.int64), np.diff(at, append=len(found)).astype(np.float64)
 
     def neighbours(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int = -1) -> Near:
         near = self.postings.nearest(terms, counts, k, skip)
@@ -237,13 +252,14 @@ class Index:
         if not 0 < self.prior < 1:
             return 0.0
         examples, term, part = near.parts
-        of = self.weights[self.labels]
-        bad = of * self.labels
-        # Counts of nothing are integers.
-        every, toxic = (np.bincount(term, part * w[examples], n_terms).astype(float) for w in (of, bad))
+        # Sums for label 0, then for label 1. Counts of nothing are integers.
+        sums = np.bincount(term + n_terms * self.labels[examples], part, 2 * n_terms).astype(float).reshape(2, n_terms)
         if near.common:
-            places, columns, weight, rows = near.common
-            every[places], toxic[places] = (np.einsum("ki,ij->kj", np.stack([of, bad])[:, near.examples].astype(np.float32), rows) * weight)[:, columns]
+            places, weight, columns = near.common
+            label = self.labels[near.examples]
+            of = np.stack([1 - label, label]).astype(np.float32)
+            sums[:, places] = np.einsum("ki,ji->kj", of, columns) * weight
+        every, toxic = self.weights @ sums, self.weights[1] * sums[1]
         p = (toxic + OPEN * self.prior) / (every + OPEN)
         odds = np.log(p / (1 - p)) - np.log(self.prior / (1 - self.prior))
         return float(np.sort(np.maximum(odds, 0))[-STRONGEST:].sum())

@@ -164,6 +164,21 @@ def test_neighbours_and_votes_are_those_of_plain_cosines(monkeypatch, block, hea
     assert 0 < index.scored < index.met or block == 128 or heads == 256
 
 
+def test_queries_count_all_terms_and_match_no_pattern_in_plain_letters(monkeypatch):
+    """Terms and counts are those of the words pattern; only runs with characters beyond ASCII are given to it."""
+    texts, labels = _examples()
+    texts += ["Straße Über Ünder İstanbul ΟΔΟΣ ελλάδα x²y ١٢ naïve", "don't re_do wordaa1wordab"]
+    index = toxicity.indexed(list(range(len(texts))), texts, [*labels, 0, 1])
+    words_of, seen = toxicity.words_of, []
+    monkeypatch.setattr(toxicity, "words_of", lambda x: seen.append(x) or words_of(x))
+    odd = ["STRASSE straße\u2003ÜBER\x00under", "İstanbul—ΟΔΟΣ “naïve” x²y١٢z", "wordaa1wordab_wordaa\x1cvile,vile", "Don't\ttell", "\x85\xa0", "", None, "1 2 _"]
+    for text in [*texts, *odd]:
+        want = collections.Counter(index.numbers[t] for w in words_of(text) for t in toxicity.terms_of(w) if t in index.numbers)
+        terms, counts = index.query(text)
+        assert list(zip(terms.tolist(), counts.tolist(), strict=True)) == sorted(want.items())
+    assert seen and not any(x.isascii() for x in seen)
+
+
 def test_toxic_words_are_found_in_longer_texts():
     """Votes are by term, so words around it weaken a toxic word's vote less than they weaken the cosine."""
     texts, labels = _examples()
