@@ -46,8 +46,8 @@ BLOCKS, DIMS, FINEST = 4, 2, 0.05
 FITTED, LENGTHS = 4096, 8
 #: Bytes of vectors of a part of a cell, and vectors that are compared at once.
 TILE, CHUNK = 8 << 20, 1024
-#: What rounding may add to a squared distance or take from it.
-SLACK = 1e-9
+#: What rounding may add to a squared distance or take from it, and for each coordinate in single precision (twice the bound of a sum of products that are 4 at most together).
+SLACK, ROUGH = 1e-9, 2.0**-21
 
 
 @cache
@@ -68,10 +68,11 @@ def main_axes(unit: np.ndarray) -> np.ndarray:
     return turn
 
 
-def rotated(unit: np.ndarray, turns: dict[int, np.ndarray]) -> np.ndarray:
-    """Coordinates that don't depend on the other rows, to the last bit: added up one after the other."""
+def rotated(unit: np.ndarray, turns: dict[int, np.ndarray], some: slice = slice(None)) -> np.ndarray:
+    """All or some coordinates, which don't depend on the others and the other rows, to the last bit: added up one after the other."""
     size = unit.shape[1]
-    turn, out = turns[size] if size in turns else random_rotation(size), np.zeros_like(unit)
+    turn = (turns[size] if size in turns else random_rotation(size))[:, some]
+    out = np.zeros((len(unit), turn.shape[1]))
     for k in range(size):
         out += unit[:, k : k + 1] * turn[k]
     return out
@@ -232,34 +233,46 @@ def posted(classes: DataFrame, turns: dict[int, np.ndarray], parts: dict, least:
     return classes.select("id", "members", "vector").mapInArrow(post, f"length int, block int, cell long, p int, q int, part int, home boolean, id long, members long, vector {kind}")
 
 
+def rows_and_columns(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single-precision a, b whose products a[i] @ b[j] are the squared distances of rows i and j of x."""
+    squares, ones = (x * x).sum(axis=1), np.ones(len(x))
+    return np.column_stack([x, squares, ones]).astype(np.float32), np.column_stack([-2 * x, ones, squares]).astype(np.float32)
+
+
 def joined(batch: pa.Table, turns: dict[int, np.ndarray], least: float) -> pa.Table:
     """id, links, least of a tile's vectors: the rows of other classes that each is linked with here, and a class it is joined to."""
     p, q, block = (batch.column(c)[0].as_py() for c in ("p", "q", "block"))
     part, home = batch.column("part").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
     ids, members = batch.column("id").to_numpy(), batch.column("members").to_numpy()
-    x = np.stack([v.values.to_numpy(zero_copy_only=False) for c in batch.column("vector").chunks for v in c]).astype(np.float64)
+    x = np.concatenate([c.flatten().to_numpy() for c in batch.column("vector").chunks]).reshape(len(ids), -1).astype(np.float64)
     order = np.lexsort((ids, part, ~home))
     part, home, ids, members, unit = part[order], home[order], ids[order], members[order], unit_of(x[order])
     size = unit.shape[1]
-    turned, spans, most = rotated(unit, turns), cuts(size), budgets(size, least)
-    lengths = [(turned[:, c] ** 2).sum(axis=1) for c in spans]
-
-    def within(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-        """The same for a pair in every task that compares it."""
-        apart = np.ascontiguousarray(turned[a, spans[k]] - turned[b, spans[k]])
-        return (apart * apart).sum(axis=1) <= most[k]
+    spans, most = cuts(size), budgets(size, least)
+    rough, other_rough = rows_and_columns(rotated(unit, turns, spans[block]))
+    enough = np.float32(most[block] + SLACK + ROUGH * (rough.shape[1] + 2))
+
+    def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether this block is the first that has a pair within budget: the same in every task that compares it."""
+        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        turned, good = rotated(unit[rows], turns, slice(spans[block].stop)), np.ones(len(a), bool)
+        for k in range(block + 1):
+            apart = np.ascontiguousarray(turned[at[: len(a)], spans[k]] - turned[at[len(a) :], spans[k]])
+            good &= ((apart * apart).sum(axis=1) <= most[k]) == (k == block)
+        return good
 
     left, right = (np.flatnonzero(part == p), np.flatnonzero(part == q))
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     some = max(256, (8 << 20) // (8 * size))  # pairs whose vectors are looked at together
+    room = np.empty(min(CHUNK, len(left)) * min(CHUNK, len(right)), np.float32)
     for i in range(0, len(left), CHUNK):
         a = left[i : i + CHUNK]
         for j in range(i if p == q else 0, len(right), CHUNK):
             b = right[j : j + CHUNK]
             if not (home[a[0]] or home[b[0]]):
                 continue  # visitors only: they meet in a cell where one is at home
-            near = lengths[block][a][:, None] + lengths[block][b] - 2 * (turned[a][:, spans[block]] @ turned[b][:, spans[block]].T) <= most[block] + SLACK
-            one, other = np.nonzero(near)
+            apart = np.matmul(rough[a], other_rough[b].T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+            one, other = np.divmod(np.flatnonzero(apart <= enough), len(b))
             one, other = a[one], b[other]
             keep = home[one] | home[other]
             if p == q:
@@ -269,9 +282,7 @@ def joined(batch: pa.Table, turns: dict[int, np.ndarray], least: float) -> pa.Ta
                 o, t = one[at : at + some], other[at : at + some]
                 good = np.einsum("ij,ij->i", unit[o], unit[t]) >= least - SLACK
                 o, t = o[good], t[good]
-                good = within(o, t, block) & (cosine(x[order[o]], x[order[t]]) >= least)
-                for k in range(block):
-                    good &= ~within(o, t, k)
+                good = (cosine(x[order[o]], x[order[t]]) >= least) & first(o, t)
                 o, t = o[good], t[good]
                 np.add.at(links, o, members[t])
                 np.add.at(links, t, members[o])

@@ -93,5 +93,25 @@ def test_single_precision(spark):
     assert got(grouped(df.withColumn("embedding", df["embedding"].cast("array<float>")))) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [1, 5, 64, 1500])
+def test_single_precision_lets_no_near_pair_go(size):
+    """The comparison that all pairs of a tile go through is one product in single precision, with what it rounds allowed for."""
+    rng = np.random.default_rng(size)
+    x = embedding_blocks.unit_of(rng.standard_normal((300, size)))
+    x[150:] = embedding_blocks.unit_of(x[:150] + 10.0 ** rng.uniform(-9, 0, (150, 1)) * x[150:])
+    a, b = embedding_blocks.rows_and_columns(x)
+    assert a.dtype == b.dtype == np.float32
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert (abs(a @ b.T - far) <= embedding_blocks.ROUGH * (a.shape[1] + 2)).all()
+
+
+def test_a_coordinate_is_the_same_alone():
+    """Tiles turn only what they need of a vector, so parts must be equal to the whole in every bit."""
+    x = embedding_blocks.unit_of(np.random.default_rng(1).standard_normal((70, 24)))
+    whole = embedding_blocks.rotated(x, {})
+    for cut in embedding_blocks.cuts(24):
+        assert (embedding_blocks.rotated(x[3:50:7], {}, cut) == whole[3:50:7, cut]).all()
+
+
 def test_an_empty_table(spark):
     assert grouped(spark.createDataFrame([], SCHEMA)).count() == 0
