@@ -5,6 +5,8 @@ Declarations stand over several lines and nest, and comments and strings hold lo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,11 +95,22 @@ def sources(spark, d):
     def of(k: int) -> Column:
         return F.element_at(F.array(*[F.lit(x[k]) for x in SAMPLES]), kind)
 
-    body = F.replace(F.replace(of(2), F.lit("@P"), F.col("l_partkey").cast("string")), F.lit("@S"), F.col("l_suppkey").cast("string"))
-    whole = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("body")))).alias("all"))
-    text = F.concat(of(1), F.array_join(F.transform("all", lambda x: x["body"]), ""), of(3))
+    def bodies(sample: str) -> Column:
+        """A sample with the numbers of each of the order's lines in it."""
+
+        def body(line: Column) -> Column:
+            at = {"@P": line["l_partkey"].cast("string"), "@S": line["l_suppkey"].cast("string")}
+            return F.concat(*[at[x] if x in at else F.lit(x) for x in re.split("(@P|@S)", sample)])
+
+        return F.array_join(F.transform("all", body), "")
+
+    # Only numbers are grouped; texts are made of whole orders.
+    whole = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("all"))
+    middle = F.lit("")
+    for k, sample in enumerate(SAMPLES):
+        middle = F.when(kind == k + 1, bodies(sample[2])).otherwise(middle)
     path = F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), of(0))
-    return whole.select(path.alias("path"), t.language(path).alias("language"), text.alias("text"))
+    return whole.select(path.alias("path"), t.language(path).alias("language"), F.concat(of(1), middle, of(3)).alias("text"))
 
 
 def scan_functions(spark, d):
@@ -106,7 +119,7 @@ def scan_functions(spark, d):
 
 
 def scan_calls(spark, d):
-    return code.facts(sources(spark, d))["calls"].groupBy("path", "caller", "callee", "receiver", "args").agg(F.count("*").alias("n"))
+    return code.call_counts(sources(spark, d), "caller", "callee", "receiver", "args")
 
 
 def scan_types(spark, d):

@@ -1,8 +1,7 @@
 """Source trees: walking, ignore rules, facts of code files, manifests and change lists.
 
 Files are read by Spark's binaryFile and text readers. In the six languages whose calls are followed, declarations
-and calls come from tokens and matched brackets (scanner.py), and the function around a call from a sweep over the
-file's lines. In the other ten, lines are matched by one regular expression for each language, in generated code: declarations
+and calls come from tokens and matched brackets (scanner.py), and so does the function around a call. In the other ten, lines are matched by one regular expression for each language, in generated code: declarations
 spread over lines are found by their first line.
 """
 
@@ -110,32 +109,75 @@ def first_of(rows: DataFrame, *keys: str) -> DataFrame:
     return first.select("_row.*")
 
 
-def facts(files: DataFrame) -> dict[str, DataFrame]:
-    """functions, types, imports and calls of files(path, language, text), in the shapes that graph.build() takes.
+OTHER = "language not in ({})".format(", ".join(f"'{x}'" for x in scanner.LANGUAGES))
+
+
+def told(files: DataFrame) -> tuple[bool, bool]:
+    """Of files(path, language, ...): whether no path comes twice, and whether there are languages that the scanner doesn't read."""
+    paths = files.groupBy(F.xxhash64("path").alias("h")).agg(F.count("*").alias("n"), F.max(F.expr(OTHER)).alias("other"))
+    most, others = paths.agg(F.max("n"), F.max("other")).first()
+    return (most or 0) <= 1, bool(others)
+
+
+def call_counts(files: DataFrame, *by: str) -> DataFrame:
+    """path, these columns of the calls of files(path, language, text), and n: how many of a file's calls have the same values.
+
+    They are counted file by file where they are scanned; only where a path comes twice, over the rows of all its files.
+    """
+    if not told(files)[0]:
+        return facts(files, ("call",))["calls"].groupBy("path", *by).agg(F.count("*").alias("n"))
+    own = {"callee": "name", "receiver": "detail"}
+    found = scanner.scanned(files, ("call",), ("path", *[own.get(c, c) for c in by]))
+    return found.select("path", *[F.col(own.get(c, c)).alias(c) for c in by], "n")
+
+
+def facts(files: DataFrame, kinds: tuple[str, ...] = scanner.KINDS) -> dict[str, DataFrame]:
+    """functions, types, imports and calls of files(path, language, text), in the shapes that graph.build() takes; of these kinds only.
 
     The first of a name in a file stays. A call's caller is the last function of the file, in the text's order, whose lines hold
-    the call's; calls outside of functions have none. Files are scanned once, into a table.
+    the call's; calls outside of functions have none. Files are scanned once, for several kinds into a table. Both are settled file by
+    file where they are scanned, so no row moves; only where a path comes twice they are found over the rows of all its files.
     """
-    seen = written(scanner.scanned(files))
-    lines = lines_of(files.filter(~F.col("language").isin(*scanner.LANGUAGES)))
-    name, params = (_by_language(FUNCTIONS, g) for g in (2, 3))
+    alone, others = told(files)
+    asked = kinds
+    if not alone and "call" in kinds:
+        asked = tuple({*kinds, "function"})
+    seen = scanner.scanned(files, asked)
+    if len(asked) > 1:
+        seen = written(seen)
+    lines = lines_of(files.filter(OTHER))
     none = F.lit("")
-    plain = lines.select("path", "language", F.col("line").alias("ord"), "line", F.lit(None).cast("int").alias("end_line"), name.alias("name"), none.alias("receiver"), params.alias("params"), none.alias("result")).filter("name <> ''")
-    found = seen.filter("kind = 'function'").select("path", "language", "ord", "line", "start_line", "end_line", "name", F.col("detail").alias("receiver"), "params", "result")
-    once = first_of(found.drop("start_line").unionByName(plain), "path", "name")
-    language, own = F.col("language"), F.col("name")
-    functions = once.select(
-        "path", "language", "ord", "line", "end_line", "name", "receiver", t.count_params(F.col("params")).alias("param_count"), t.is_exported(own, language).alias("exported"),
-        t.signature(language, own, F.col("params"), F.col("receiver")).alias("signature"), "result", t.signature(language, own, F.col("params"), F.col("receiver"), F.col("result")).alias("full_signature"),
-    )
-    kind, label = (F.regexp_extract("text", TYPES, g) for g in (1, 2))
-    types = seen.filter("kind = 'type'").select("path", "language", "ord", "line", "name", F.col("detail").alias("kind"))
-    types = first_of(types.unionByName(lines.select("path", "language", F.col("line").alias("ord"), "line", label.alias("name"), kind.alias("kind")).filter("name <> ''")), "path", "name")
-    imports = seen.filter("kind = 'import'").select("path", "language", "ord", F.col("name").alias("imp"))
-    imports = first_of(imports.unionByName(lines.select("path", "language", F.col("line").alias("ord"), _by_language(IMPORTS, 1).alias("imp")).filter("imp <> ''")), "path", "imp")
-    sites = seen.filter("kind = 'call'").select("path", F.col("line").alias("call_line"), "ord", F.col("name").alias("callee"), F.col("detail").alias("receiver"), "args")
-    calls = sweep.containing(sites, found.select("path", "ord", "name", "start_line", "end_line"))
-    return {"functions": functions, "types": types, "imports": imports, "calls": calls.select("path", "ord", "call_line", "caller", "callee", "receiver", "args")}
+
+    def once(rows: DataFrame, plain: DataFrame, *keys: str) -> DataFrame:
+        """The first rows of their keys: scanned ones, and those found line by line."""
+        if not alone:
+            return first_of(rows.drop("first").unionByName(plain), *keys)
+        rows = rows.filter("first").drop("first")
+        return rows.unionByName(first_of(plain, *keys)) if others else rows
+
+    out = {}
+    found = seen.filter("kind = 'function'").select("path", "language", "ord", "line", "start_line", "end_line", "name", F.col("detail").alias("receiver"), "params", "result", "first")
+    if "function" in kinds:
+        name, params = (_by_language(FUNCTIONS, g) for g in (2, 3))
+        plain = lines.select("path", "language", F.col("line").alias("ord"), "line", F.lit(None).cast("int").alias("end_line"), name.alias("name"), none.alias("receiver"), params.alias("params"), none.alias("result")).filter("name <> ''")
+        language, own = F.col("language"), F.col("name")
+        out["functions"] = once(found.drop("start_line"), plain, "path", "name").select(
+            "path", "language", "ord", "line", "end_line", "name", "receiver", t.count_params(F.col("params")).alias("param_count"), t.is_exported(own, language).alias("exported"),
+            t.signature(language, own, F.col("params"), F.col("receiver")).alias("signature"), "result", t.signature(language, own, F.col("params"), F.col("receiver"), F.col("result")).alias("full_signature"),
+        )
+    if "type" in kinds:
+        kind, label = (F.regexp_extract("text", TYPES, g) for g in (1, 2))
+        types = seen.filter("kind = 'type'").select("path", "language", "ord", "line", "name", F.col("detail").alias("kind"), "first")
+        out["types"] = once(types, lines.select("path", "language", F.col("line").alias("ord"), "line", label.alias("name"), kind.alias("kind")).filter("name <> ''"), "path", "name")
+    if "import" in kinds:
+        imports = seen.filter("kind = 'import'").select("path", "language", "ord", F.col("name").alias("imp"), "first")
+        out["imports"] = once(imports, lines.select("path", "language", F.col("line").alias("ord"), _by_language(IMPORTS, 1).alias("imp")).filter("imp <> ''"), "path", "imp")
+    if "call" in kinds:
+        calls = seen.filter("kind = 'call'").select("path", F.col("line").alias("call_line"), "ord", F.col("name").alias("callee"), F.col("detail").alias("receiver"), "args", "caller")
+        if not alone:
+            calls = sweep.containing(calls.drop("caller"), found.select("path", "ord", "name", "start_line", "end_line"))
+        out["calls"] = calls.select("path", "ord", "call_line", "caller", "callee", "receiver", "args")
+    return out
 
 
 def _blocks(lines: DataFrame, opens: str, closes: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Declarations and calls of six languages against facts written by hand, and the sweep against a plain loop."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import sweep
+from graphloom.plans import scan_queries
 from graphloom.sources import code, scanner
 
 CASES = {
@@ -232,3 +234,38 @@ def test_a_file_of_a_million_calls(spark):
     whole = spark.createDataFrame([("big", -1, "all", 0, 899_999)], "path string, ord long, name string, start_line long, end_line long")
     got = sweep.containing(calls, ranges.unionByName(whole), 16).groupBy("caller").count().groupBy("count").agg(F.count("*").alias("n")).collect()
     assert {(r["count"], r.n) for r in got} == {(50, 10_000), (450_000, 1), (50_000, 1)} and time.time() - began < 120
+
+
+def numbered(text, rng):
+    """The text with other numbers, some of them equal."""
+    return re.sub(r"[0-9]+", lambda _: str(rng.choice((3, 7, 12, rng.randint(0, 10**9)))), text)
+
+
+def test_files_that_differ_in_numbers_have_their_own_facts():
+    rng, memo = random.Random(5), scanner.Shapes(scanner.KINDS)
+    odd = [("rust", "fn f<'a1>(a: &'a1 u8) { g('1', '12, h(\"%s 5\")) }\nfn f2() { x1('\\u{41}') }"), ("java", "class C1 { C1(int a) { f2(); } C2 g(int b) { } }\nclass C2 { C1(int a) {} }"), ("python", "def f1():\n    g2()\ndef f1():\n    f1(\N{MATHEMATICAL BOLD DIGIT ONE})"), ("go", "func f\0001() {}"), ("go", "")]
+    cases = [(k, x[0]) for k, x in CASES.items()] + odd + [(k, head + text.replace("@P", "1").replace("@S", "2") * 3 + end) for k, (_, head, text, end) in zip(("go", "python", "javascript", "typescript", "rust", "java"), scan_queries.SAMPLES, strict=True)]
+    for language, text in cases:
+        for _ in range(12):
+            one = numbered(text, rng)
+            want = scanner.Facts(one, language, scanner.KINDS, False)
+            got, texts = memo.read(one, language)
+            assert texts == want.texts and got.numbers.tolist() == want.numbers.tolist() and got.again(texts) == want.again(want.texts)
+    assert memo.known
+
+
+def test_shapes_are_read_once(monkeypatch):
+    read, memo = [], scanner.Shapes(("call",))
+    monkeypatch.setattr(scanner.File, "read", lambda self, was=scanner.File.read: read.append(1) or was(self))
+    for k in range(50):
+        assert memo.read(f"def f{k}():\n    g{k * 7}(1)\n", "python")[1] == [f"g{k * 7}", "", f"f{k}"]
+    assert len(read) == 2
+
+
+def test_callers_need_no_sweep_where_paths_differ(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "containing", lambda *_: 1 / 0)
+    rows = [("a.py", "python", "def a():\n    b()\ndef a():\n    c()\nd()\n"), (None, "python", "def a():\n    b()\n"), ("b.rb", "ruby", "def x(a)\ndef x(b)\nrequire 'q'\n")]
+    got = code.facts(spark.createDataFrame(rows, "path string, language string, text string"))
+    assert {(r.path, r.caller, r.callee) for r in got["calls"].collect()} == {("a.py", "a", "b"), ("a.py", "a", "c"), ("a.py", None, "d"), (None, None, "b")}
+    assert sorted((r.path or "", r.name, r.line, r.param_count) for r in got["functions"].collect()) == [("", "a", 1, 0), ("a.py", "a", 1, 0), ("b.rb", "x", 1, 1)]
+    assert [r.imp for r in got["imports"].collect()] == ["q"]
