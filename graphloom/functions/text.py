@@ -101,8 +101,10 @@ def count_params(params: Column) -> Column:
     """-1 for variadic lists; commas inside brackets don't count, and an arrow closes a bracket as well."""
     edges = r"^\s+|\s+$"
     inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(params, edges, ""), r"(?s)^\((.*)\)$", "$1"), edges, "")
+    # Only brackets and commas are walked through, and these where there are brackets.
+    marks = F.regexp_replace(inner, r"[^()\[\]{}<>,]+", "")
     commas = F.aggregate(
-        F.split(inner, ""),
+        F.split(marks, ""),
         F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")),
         lambda s, c: F.struct(
             (s["depth"] + F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)).alias("depth"),
@@ -110,6 +112,7 @@ def count_params(params: Column) -> Column:
         ),
         lambda s: s["n"],
     )
+    commas = F.when(marks.rlike("^,*$"), F.length(marks)).otherwise(commas)
     return F.when(inner == "", 0).when(inner.contains("...") | inner.contains("*args") | inner.contains("**kwargs"), -1).otherwise(commas + 1)
 
 

@@ -114,7 +114,7 @@ def sources(spark, d):
 
 
 def scan_functions(spark, d):
-    found = code.facts(sources(spark, d))["functions"]
+    found = code.facts(sources(spark, d), ("function",))["functions"]
     return found.select("path", "name", "receiver", "param_count", "exported", "result", (F.col("end_line") - F.col("line")).alias("lines"), F.substring_index("full_signature", "(", 1).alias("lead"))
 
 

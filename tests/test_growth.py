@@ -1,7 +1,9 @@
 """What grows with the tables: rows that move, rows that go to the driver and all tasks, files that stay."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.functions import text as t
 from graphloom.operators import sweep
 from graphloom.plans import registry
 from graphloom.sources import code
@@ -13,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, moves", [("scan_calls", 1)])
+@pytest.mark.parametrize("name, moves", [("scan_functions", 1), ("scan_calls", 1)])
 def test_scanned_facts_do_not_move(spark, name, moves, monkeypatch):
     """Order lines meet once, and counts of imports; scan_types reads a table that it has written."""
     monkeypatch.setattr(sweep, "containing", lambda *_: 1 / 0)
@@ -22,6 +24,15 @@ def test_scanned_facts_do_not_move(spark, name, moves, monkeypatch):
     assert plan(registry.queries()[name](spark, TINY)).count("Exchange hashpartitioning") == moves
 
 
+def test_parameters_are_counted_whatever_stands_around_commas(spark):
+    cases = {"()": 0, "( )": 0, "(a)": 1, "(a, b)": 2, "(a,)": 2, "(a: Dict[str, int], b=\")\")": 2, "(a (b, c), d)": 2, "(a <b, c>, d)": 2, "(f func(int, int) (x, y), g)": 2, "(a -> b, c)": 1, "(a, ...b)": -1, "(*args, a)": -1, "": 0, "a, b": 2, "(\n a,\n b\n)": 2}
+    rows = spark.createDataFrame(list(cases.items()), "x string, n int")
+    got = rows.select("x", t.count_params(F.col("x")).alias("n"))
+    assert {r.x: r.n for r in got.collect()} == cases
+    # Where there are no brackets inside, nothing is walked through.
+    assert got._jdf.queryExecution().optimizedPlan().expressions().toString().count("^,*$") == 1
+
+
 def test_calls_are_counted_in_files_and_over_files_of_one_path(spark):
     text = "def a():\n    b(1)\n    x.b(2)\n    b(3)\nb(4)\n"
     for rows, times in (([("a.py", "python", text), ("b.py", "python", "b()\n" * 3)], 1), ([("a.py", "python", text)] * 2 + [("b.py", "python", "b()\n" * 3)], 2)):
