@@ -123,7 +123,7 @@ def scan_calls(spark, d):
 
 
 def scan_types(spark, d):
-    found = code.facts(sources(spark, d))
+    found = code.facts(sources(spark, d), ("type", "import"))
     return found["types"].select("path", "name", "kind").unionByName(found["imports"].select("path", F.col("imp").alias("name"), F.lit("import").alias("kind")))
 
 
