@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that may be sent to the driver and all tasks.
+SENT = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +32,20 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as the smaller side of a join: sent to all tasks only if it is known to have few rows, else dealt by its keys.
+
+    Spark goes by the size of files, and compressed keys take a hundredth of what they take in the driver's memory.
+    """
+    return F.broadcast(df) if rows is not None and rows <= SENT else df.hint("shuffle_hash")
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """df written, and beside() by its number of rows."""
+    rows = written(df)
+    return beside(rows, rows.count())
+
+
 def bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """df written in buckets of a column, in the shared folder if no path is given: joins on it need not move these rows."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ Its tables are logs in a folder; every update writes rows under its own number,
 
 The newest row of a path says which epoch its facts are of; facts of other epochs are dead. A call edge is known by its path
 and place; its newest row counts. An update scans the changed files only, and resolves again only the calls
-whose answer may differ. An update that fails leaves no commit file, and the next one writes under the same
+whose answer may differ. What is joined with the logs goes to all tasks only if it has few rows. An update that fails leaves no commit file, and the next one writes under the same
 number; compact() writes what is alive into a new folder.
 """
 
@@ -19,11 +19,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..folders import exists, write_text, written
+from ..folders import beside, counted, exists, write_text, written
 from ..functions import text as t
 from ..functions.fixed import CALLS
 from ..sources import code, scanner
-from . import graph, sweep
+from . import graph
 
 FILES = "path string, language string, hash string, gone boolean"
 RESOLVED = "path string, ord int, src string, dst string, callsite string, arg_count int"
@@ -60,7 +60,7 @@ class Index:
 
     def facts(self, more: int = 0) -> DataFrame:
         """The scanner's facts of the files that are there."""
-        return self.log("facts", scanner.FACTS, more).join(self.live(more).select("path", "epoch"), ["path", "epoch"])
+        return self.log("facts", scanner.FACTS, more).join(beside(self.live(more).select("path", "epoch")), ["path", "epoch"])
 
     # -- reading -----------------------------------------------------------------------------------
 
@@ -68,13 +68,13 @@ class Index:
         """src, dst, callsite, arg_count, path, ord of all calls, a bag."""
         newest = self.log("resolved", RESOLVED).groupBy("path", "ord").agg(F.max_by(F.struct("src", "dst", "callsite", "arg_count", "epoch"), "epoch").alias("x"))
         # A file's own rows are rewritten with it, so what is older than the file belongs to its former content.
-        alive = newest.join(self.live().select("path", F.col("epoch").alias("since")), "path").filter("x.epoch >= since")
+        alive = newest.join(beside(self.live().select("path", F.col("epoch").alias("since"))), "path").filter("x.epoch >= since")
         return alive.select("path", "ord", "x.src", "x.dst", "x.callsite", "x.arg_count").filter("src is not null")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges, calls resolved, as graph.build() and graph.resolve() would give them of all files at once."""
         functions, types, imports, _ = facts_of(self.facts())
-        none = self.spark.createDataFrame([], "path string, ord int, caller string, callee string, args int")
+        none = functions.select("path", "ord", F.col("name").alias("caller"), F.col("name").alias("callee"), F.lit(0).alias("args")).filter(F.lit(False))
         nodes, edges = graph.build(functions, types, imports, none, self.live().select("path"))
         calls = self.call_edges().select("src", "dst", F.lit(CALLS).alias("kind"), "callsite", "arg_count")
         return nodes, edges.unionByName(calls)
@@ -88,13 +88,13 @@ class Index:
         """
         files = files.filter("path is not null").groupBy("path").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "language")).alias("x")).select("path", "x.language", "x.text")
         now = files.select("path", "language", F.sha2("text", 256).alias("hash"))
-        return self.apply(files, now.join(self.known(), "path", "full_outer"))
+        return self.apply(files, now.join(self.known().hint("merge"), "path", "full_outer"))
 
     def change(self, files: DataFrame) -> dict[str, int]:
         """The same, of only those files(path, language, text) that may have changed; a null text is a file that is gone."""
         files = files.filter("path is not null").groupBy("path").agg(F.max(F.struct("text", "language")).alias("x")).select("path", "x.language", "x.text")
         now = files.select("path", "language", F.sha2("text", 256).alias("hash"))
-        return self.apply(files, now.join(self.known(), "path", "left").filter("hash is not null or was is not null"))
+        return self.apply(files, now.join(beside(self.known()), "path", "left").filter("hash is not null or was is not null"))
 
     def known(self) -> DataFrame:
         return self.live().select("path", F.col("hash").alias("was"), F.col("language").alias("had"))
@@ -107,13 +107,15 @@ class Index:
         counts = {bool(r[0]): r[1] for r in delta.groupBy("gone").count().collect()}
         if not counts:
             return {"changed": 0, "removed": 0, "resolved": 0}
+        rows = sum(counts.values())
+        paths = beside(delta.select("path"), rows)
         before = self.facts()
-        changed = files.join(delta.filter("not gone").select("path"), "path", "left_semi")
+        changed = files.join(beside(delta.filter("not gone").select("path"), rows), "path", "left_semi")
         self.append("files", delta, epoch)
         self.append("facts", scanner.scanned(changed), epoch)
         after = self.facts(more=1)
-        names = [x.filter("kind = 'function'").join(delta.select("path"), "path", "left_semi").select("name") for x in (before, after)]
-        resolved = self.resolve(after, delta.select("path"), written(names[0].unionByName(names[1]).distinct()))
+        names = [x.filter("kind = 'function'").join(paths, "path", "left_semi").select("name") for x in (before, after)]
+        resolved = self.resolve(after, paths, counted(names[0].unionByName(names[1]).distinct()))
         self.append("resolved", resolved, epoch)
         out = {"changed": counts.get(False, 0), "removed": counts.get(True, 0), "resolved": self.spark.read.parquet(f"{self.folder}/resolved/epoch={epoch}").count()}
         write_text(self.spark, f"{self.folder}/commits/{epoch}.json", json.dumps(out))
@@ -122,19 +124,20 @@ class Index:
     def resolve(self, facts: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
         """RESOLVED rows of the calls in these paths and of those to these names."""
         functions, _, _, calls = facts_of(facts)
-        own = calls.join(paths.withColumn("_own", F.lit(True)), "path", "left").join(names.select(F.col("name").alias("callee"), F.lit(True).alias("_name")), "callee", "left")
+        callee, package = F.col("name").alias("callee"), t.package_of(F.col("path")).alias("package")
+        own = calls.join(paths.withColumn("_own", F.lit(True)), "path", "left").join(names.select(callee, F.lit(True).alias("_name")), "callee", "left")
         todo = written(own.filter("_own or _name").drop("_own", "_name"))
-        # Only definitions of a called name and callers have a part in the answer.
-        wanted = todo.select(F.col("callee").alias("name")).distinct()
-        callers = todo.select("path", F.col("caller").alias("name")).distinct()
-        some = written(functions.join(wanted, "name", "left_semi").unionByName(functions.join(callers, ["path", "name"], "left_semi")).distinct())
-        local = some.select("path", F.col("name").alias("callee")).distinct().withColumn("_here", F.lit(True))
-        known = todo.join(some.select("path", F.col("name").alias("caller")).distinct(), ["path", "caller"]).join(local, ["path", "callee"], "left")
-        none = F.lit("")
-        edges = known.select(F.col("path").alias("file"), "ord", t.node_id(F.col("path"), F.col("caller")).alias("src"), F.when(F.col("_here"), t.node_id(F.col("path"), F.col("callee"))).otherwise(t.node_id(none, F.col("callee"))).alias("dst"), F.lit(CALLS).alias("kind"), F.col("callee").alias("callsite"), F.col("args").alias("arg_count"))
-        nodes = some.select(t.node_id(F.col("path"), F.col("name")).alias("id"), F.when(F.col("receiver") != "", graph.METHOD).otherwise(graph.FUNCTION).alias("kind"), "name", "path")
-        found = graph.resolve(edges, nodes)
-        return found.select(F.col("file").alias("path"), "ord", "src", "dst", "callsite", "arg_count")
+        # Of definitions only those of a called name have a part in the answer.
+        wanted = counted(todo.select(F.col("callee").alias("name")).distinct())
+        some = written(functions.join(wanted, "name", "left_semi").select("path", "name", t.node_id(F.col("path"), F.col("name")).alias("id")))
+        # As graph.resolve() takes them; each name meets each call once.
+        here = beside(some.select("path", callee, F.col("id").alias("_here")))
+        one = counted(some.groupBy(callee).agg(F.count("*").alias("n"), F.min("id").alias("any"), F.max(F.col("path") == "").alias("blank")))
+        near = counted(some.groupBy(callee, package).agg(F.min(F.struct("path", "id"))["id"].alias("same_package")))
+        found = todo.withColumn("package", t.package_of(F.col("path"))).join(here, ["path", "callee"], "left").join(one, "callee", "left").join(near, ["callee", "package"], "left")
+        chosen = F.when(F.col("blank"), None).when(F.col("n") == 1, F.col("any")).otherwise(F.col("same_package"))
+        dst = F.coalesce("_here", chosen, t.node_id(F.lit(""), F.col("callee")))
+        return found.select("path", "ord", t.node_id(F.col("path"), F.col("caller")).alias("src"), dst.alias("dst"), F.col("callee").alias("callsite"), F.col("args").alias("arg_count"))
 
     def compact(self, folder: str) -> Index:
         """The same state in a new folder, in one epoch."""
@@ -147,11 +150,10 @@ class Index:
 
 
 def facts_of(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """functions, types, imports and calls, for graph.build(), of scanned facts."""
-    found = seen.filter("kind = 'function'")
-    functions = code.first_of(found.select("path", "ord", "name", F.col("detail").alias("receiver"), t.count_params(F.col("params")).alias("param_count")), "path", "name")
-    types = code.first_of(seen.filter("kind = 'type'").select("path", "ord", "name", F.col("detail").alias("kind")), "path", "name")
-    imports = code.first_of(seen.filter("kind = 'import'").select("path", "ord", F.col("name").alias("imp")), "path", "imp")
-    sites = seen.filter("kind = 'call'").select("path", F.col("line").alias("call_line"), "ord", F.col("name").alias("callee"), "args")
-    calls = sweep.containing(sites, found.select("path", "ord", "name", "start_line", "end_line"))
-    return functions, types, imports, calls.filter("caller is not null").select("path", "ord", "caller", "callee", "args")
+    """functions, types, imports and calls, for graph.build(), of scanned facts of files whose paths differ."""
+    once = seen.filter("first")
+    functions = once.filter("kind = 'function'").select("path", "ord", "name", F.col("detail").alias("receiver"), t.count_params(F.col("params")).alias("param_count"))
+    types = once.filter("kind = 'type'").select("path", "ord", "name", F.col("detail").alias("kind"))
+    imports = once.filter("kind = 'import'").select("path", "ord", F.col("name").alias("imp"))
+    calls = seen.filter("kind = 'call' and caller is not null").select("path", "ord", "caller", F.col("name").alias("callee"), "args")
+    return functions, types, imports, calls

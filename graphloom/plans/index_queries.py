@@ -24,9 +24,13 @@ def _folder(spark, name: str) -> str:
 def _orders(spark, d, changed: bool):
     """A Python file for each order; later a quarter of the files is new, one is changed and one is gone."""
     item = v.table(spark, d, "lineitem").filter("l_orderkey % 4 <> 0" if changed else "l_orderkey % 4 <> 3")
-    part = F.col("l_partkey") + F.when(F.lit(changed) & (F.col("l_orderkey") % 4 == 1), 1).otherwise(0)
-    body = F.concat(F.lit("def f"), (part % 40).cast("string"), F.lit("(a):\n    f"), (F.col("l_suppkey") % 60).cast("string"), F.lit("(a,\n      1)\n\n"))
-    whole = item.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("body")))), lambda x: x["body"]), "").alias("text"))
+    added = F.when(F.lit(changed) & (F.col("l_orderkey") % 4 == 1), 1).otherwise(0)
+
+    def body(x):
+        return F.concat(F.lit("def f"), ((x["l_partkey"] + added) % 40).cast("string"), F.lit("(a):\n    f"), (x["l_suppkey"] % 60).cast("string"), F.lit("(a,\n      1)\n\n"))
+
+    whole = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("all"))
+    whole = whole.select("l_orderkey", F.array_join(F.transform("all", body), "").alias("text"))
     path = F.concat(F.lit("d"), (F.col("l_orderkey") % 7).cast("string"), F.lit("/o"), F.col("l_orderkey").cast("string"), F.lit(".py"))
     return whole.select(path.alias("path"), F.lit("python").alias("language"), "text")
 

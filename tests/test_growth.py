@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import folders
 from graphloom.functions import text as t
-from graphloom.operators import sweep
+from graphloom.operators import graph, sweep
+from graphloom.operators.index import Index
 from graphloom.plans import registry
 from graphloom.sources import code
 
@@ -33,6 +35,17 @@ def test_parameters_are_counted_whatever_stands_around_commas(spark):
     assert got._jdf.queryExecution().optimizedPlan().expressions().toString().count("^,*$") == 1
 
 
+def test_an_index_sends_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "SENT", 0)
+    seen = []
+    monkeypatch.setattr(Index, "append", lambda self, name, rows, epoch, was=Index.append: seen.append(plan(rows)) or was(self, name, rows, epoch))
+    index = Index(spark, f"file://{tmp_path}/index")
+    for k in (1, 2):
+        index.update(spark.createDataFrame([(f"d{i % 3}/m{i}.py", "python", f"def f{i * k}(a):\n    f{i + k}(1)\n") for i in range(40)], "path string, language string, text string"))
+    nodes, edges = index.graph()
+    assert len(seen) == 6 and not any("Broadcast" in x for x in [*seen, plan(nodes), plan(edges), plan(index.call_edges())])
+
+
 def test_calls_are_counted_in_files_and_over_files_of_one_path(spark):
     text = "def a():\n    b(1)\n    x.b(2)\n    b(3)\nb(4)\n"
     for rows, times in (([("a.py", "python", text), ("b.py", "python", "b()\n" * 3)], 1), ([("a.py", "python", text)] * 2 + [("b.py", "python", "b()\n" * 3)], 2)):
