@@ -90,3 +90,12 @@ def test_an_index_follows_a_stream_of_changes(spark, tmp_path):
         spark.createDataFrame(rows, "path string, content string, mtime int").selectExpr("path", "content", "timestamp_seconds(mtime) as mtime").write.mode("append").parquet(events)
         incremental.follow_code(spark, events, index, str(tmp_path / "mark")).awaitTermination()
     assert index.epochs() == 3 and bag(index.graph()[1]) == bag(whole(spark, {"a.py": "def a():\n    c()\n"})[1])
+
+
+def test_a_graph_read_again_joins_no_calls(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    Index(spark, folder).update(frame(spark, {"a.py": "def a():\n    b()\n", "b.py": "def b():\n    pass\n"}))
+    edges = Index(spark, folder).graph()[1]
+    # Calls are read resolved: nothing is joined for those that build() would make of none.
+    assert "ExistingRDD" not in edges._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.kind for r in edges.collect()) == [1, 3, 3]
