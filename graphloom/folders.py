@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind: they'd stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def beside(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as the smaller side of a join: sent to all tasks only if it is known to have few rows, else dealt by its keys.
 
@@ -46,13 +60,15 @@ def counted(df: DataFrame) -> DataFrame:
     return beside(rows, rows.count())
 
 
-def bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
-    """df written in buckets of a column, in the shared folder if no path is given: joins on it need not move these rows."""
+def bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None, once: bool = False) -> DataFrame:
+    """df written in buckets of a column, in the shared folder if no path is given: joins on it need not move these rows. once: equal rows are one."""
     spark = df.sparkSession
     name = f"graphloom_{uuid.uuid4().hex}"
     n = buckets or min(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Each task writes one bucket.
-    rows = df.repartition(n, key).sortWithinPartitions(key)
+    rows = df.repartition(n, key)
+    # Equal rows are in one task already, so they don't move again.
+    rows = (rows.distinct() if once else rows).sortWithinPartitions(key)
     rows.write.format("parquet").option("compression", "zstd").option("path", path or f"{shared_folder(spark)}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
 

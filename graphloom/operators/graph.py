@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..folders import bucketed, bucketed_table, read_text, write_text
+from ..folders import beside, bucketed, bucketed_table, passing, read_text, write_text
 from ..folders import written as kept
 from ..functions import text as t
 from ..functions.fixed import CALLS, CONTAINS, FILE, FUNCTION, IMPORTS, METHOD, PACKAGE, TYPE
@@ -86,16 +86,20 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def filter_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges without the calls whose ends are unknown, whose argument count differs, or that leave the file for a package it doesn't import."""
+    """edges without the calls whose ends are unknown, whose argument count differs, or that leave the file for a package it doesn't import.
+
+    Nodes may be many, so they are dealt by their ids and never sent to all tasks.
+    """
     calls, rest = edges.filter(F.col("kind") == CALLS), edges.filter(F.col("kind") != CALLS)
     side = nodes.select("id", "path", "param_count")
     a = side.select(F.col("id").alias("src"), F.col("path").alias("_from"))
     b = side.select(F.col("id").alias("dst"), F.col("path").alias("_to"), F.col("param_count").alias("_params"))
-    fits = calls.join(a, "src").join(b, "dst").filter((F.col("_params") < 0) | (F.col("_params") == F.col("arg_count")))
+    # Counts first: calls that don't fit move once only.
+    fits = calls.join(beside(b), "dst").filter((F.col("_params") < 0) | (F.col("_params") == F.col("arg_count"))).join(beside(a), "src")
     files = nodes.filter(F.col("kind") == FILE).select(F.col("id").alias("src"), F.col("path").alias("_from"))
     packages = nodes.select(F.col("id").alias("dst"), F.col("name").alias("_package"))
-    imported = rest.filter(F.col("kind") == IMPORTS).join(files, "src").join(packages, "dst").select("_from", "_package").distinct().withColumn("_ok", F.lit(True))
-    ok = fits.withColumn("_package", t.package_of(F.col("_to"))).join(imported, ["_from", "_package"], "left").filter((F.col("_from") == F.col("_to")) | F.col("_ok"))
+    imported = rest.filter(F.col("kind") == IMPORTS).join(beside(files), "src").join(beside(packages), "dst").select("_from", "_package").distinct().withColumn("_ok", F.lit(True))
+    ok = fits.withColumn("_package", t.package_of(F.col("_to"))).join(beside(imported), ["_from", "_package"], "left").filter((F.col("_from") == F.col("_to")) | F.col("_ok"))
     return rest.unionByName(ok.select(*edges.columns))
 
 

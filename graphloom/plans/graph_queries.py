@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..folders import beside, passing, written
 from ..functions import text as t
 from ..functions.fixed import CALLS, EDGE_KINDS, FUNCTION, METHOD, NODE_KINDS
 from ..operators import files as file_ops
@@ -89,15 +90,23 @@ def filter_calls(spark, d):
 
 def filter_calls_imported(spark, d):
     """Parts as files of their brands: an order line that names a brand imports it, and calls stay where counts and imports agree."""
-    parts = v.table(spark, d, "part").select("p_partkey", F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/part_"), F.col("p_partkey").cast("string")).alias("path"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("brand"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    pairs = v.copurchases(spark, d)
-    ends = pairs.join(parts.select(F.col("p_partkey").alias("src"), F.col("path").alias("from"), F.col("name").alias("caller")), "src").join(parts.select(F.col("p_partkey").alias("dst"), "path", "brand", F.col("name").alias("callee"), "size"), "dst")
-    files = parts.select(t.node_id(F.col("path"), F.lit("")).alias("id"), F.lit(0).alias("kind"), t.base(F.col("path")).alias("name"), "path", F.lit(0).alias("param_count"))
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    parts = v.table(spark, d, "part").select("p_partkey", F.concat(brand, F.lit("/part_"), F.col("p_partkey").cast("string")).alias("path"), brand.alias("brand"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    src = parts.select(F.col("p_partkey").alias("src"), F.col("brand").alias("from_brand"), F.col("name").alias("caller"))
+    dst = parts.select(F.col("p_partkey").alias("dst"), "brand", F.col("name").alias("callee"))
+    with passing(spark):  # names and keys are short, ids are not: they are made of the written rows
+        ends = written(v.copurchases(spark, d).join(beside(src), "src").join(beside(dst), "dst"))
+
+    def path(brand: str, key: str):
+        return F.concat(F.col(brand), F.lit("/part_"), F.col(key).cast("string"))
+
+    none = F.lit("")
+    files = parts.select(t.node_id(F.col("path"), none).alias("id"), F.lit(0).alias("kind"), t.base(F.col("path")).alias("name"), "path", F.lit(0).alias("param_count"))
     functions = parts.select(t.node_id(F.col("path"), F.col("name")).alias("id"), F.lit(2).alias("kind"), "name", "path", (F.col("size") % 8).alias("param_count"))
-    packages = parts.select("brand").distinct().select(t.node_id(F.col("brand"), F.lit("")).alias("id"), F.lit(1).alias("kind"), F.col("brand").alias("name"), F.col("brand").alias("path"), F.lit(0).alias("param_count"))
+    packages = parts.select("brand").distinct().select(t.node_id(F.col("brand"), none).alias("id"), F.lit(1).alias("kind"), F.col("brand").alias("name"), F.col("brand").alias("path"), F.lit(0).alias("param_count"))
     nodes = files.unionByName(functions).unionByName(packages)
-    calls = ends.select(t.node_id(F.col("from"), F.col("caller")).alias("src"), t.node_id(F.col("path"), F.col("callee")).alias("dst"), F.lit(1).alias("kind"), F.col("line").alias("arg_count"))
-    imports = ends.filter("line = 1").select(t.node_id(F.col("from"), F.lit("")).alias("src"), t.node_id(F.col("brand"), F.lit("")).alias("dst"), F.lit(0).alias("kind"), F.lit(0).alias("arg_count"))
+    calls = ends.select(t.node_id(path("from_brand", "src"), F.col("caller")).alias("src"), t.node_id(path("brand", "dst"), F.col("callee")).alias("dst"), F.lit(1).alias("kind"), F.col("line").alias("arg_count"))
+    imports = ends.filter("line = 1").select(t.node_id(path("from_brand", "src"), none).alias("src"), t.node_id(F.col("brand"), none).alias("dst"), F.lit(0).alias("kind"), F.lit(0).alias("arg_count"))
     return graph.filter_calls(calls.unionByName(imports), nodes).groupBy("kind", "arg_count").agg(F.count("*").alias("n"))
 
 

@@ -46,6 +46,10 @@ def test_an_index_sends_no_table_to_the_driver(spark, tmp_path, monkeypatch):
     assert len(seen) == 6 and not any("Broadcast" in x for x in [*seen, plan(nodes), plan(edges), plan(index.call_edges())])
 
 
+def test_filtering_calls_sends_no_nodes_to_the_driver(spark):
+    assert "Broadcast" not in plan(registry.queries()["filter_calls_imported"](spark, TINY))
+
+
 def test_calls_are_counted_in_files_and_over_files_of_one_path(spark):
     text = "def a():\n    b(1)\n    x.b(2)\n    b(3)\nb(4)\n"
     for rows, times in (([("a.py", "python", text), ("b.py", "python", "b()\n" * 3)], 1), ([("a.py", "python", text)] * 2 + [("b.py", "python", "b()\n" * 3)], 2)):
