@@ -1,5 +1,9 @@
 """What grows with the tables: rows that move, rows that go to the driver and all tasks, files that stay."""
 
+import glob
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +54,28 @@ def test_filtering_calls_sends_no_nodes_to_the_driver(spark):
     assert "Broadcast" not in plan(registry.queries()["filter_calls_imported"](spark, TINY))
 
 
+def left(spark):
+    return {f for d in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf()) for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+@pytest.mark.parametrize("reverse", [True])
+def test_levels_leave_no_shuffle_files(spark, reverse):
+    edges = spark.range(500).select((F.col("id") % 50).alias("src"), ((F.col("id") * 7 + 1) % 50).alias("dst"))
+    before = left(spark)
+    got = graph.levels(edges, spark.createDataFrame([(0,), (1,)], "root long"), reverse=reverse)
+    for _ in range(100):
+        if not (more := {f for f in left(spark) - before if os.path.exists(f)}):
+            break
+        time.sleep(0.1)
+    assert not more and got.count() == 8
+
+
+def test_rows_in_buckets_are_one_and_move_once(spark, monkeypatch):
+    rows = spark.range(100).select((F.col("id") % 7).alias("node"), (F.col("id") % 3).alias("next"))
+    assert folders.bucketed(rows, "node", once=True).count() == 21 and folders.bucketed(rows, "node").count() == 100
+    assert plan(rows.repartition(4, "node").distinct().sortWithinPartitions("node")).count("Exchange hashpartitioning") == 1
+
+
 def test_calls_are_counted_in_files_and_over_files_of_one_path(spark):
     text = "def a():\n    b(1)\n    x.b(2)\n    b(3)\nb(4)\n"
     for rows, times in (([("a.py", "python", text), ("b.py", "python", "b()\n" * 3)], 1), ([("a.py", "python", text)] * 2 + [("b.py", "python", "b()\n" * 3)], 2)):
