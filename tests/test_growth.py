@@ -58,7 +58,7 @@ def left(spark):
     return {f for d in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf()) for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
 
 
-@pytest.mark.parametrize("reverse", [True])
+@pytest.mark.parametrize("reverse", [False, True])
 def test_levels_leave_no_shuffle_files(spark, reverse):
     edges = spark.range(500).select((F.col("id") % 50).alias("src"), ((F.col("id") * 7 + 1) % 50).alias("dst"))
     before = left(spark)
