@@ -17,26 +17,29 @@ from .search_queries import COSINE, EXACT, _part_vectors, _query
 def _orders_as_code(spark, d):
     """A Python file for each order: a function for each part of it, which calls the supplier's."""
     item = v.table(spark, d, "lineitem")
-    body = F.concat(F.lit("def f"), F.col("l_partkey").cast("string"), F.lit("(a, b):\n    g"), F.col("l_suppkey").cast("string"), F.lit("("), F.when(F.col("l_linenumber") > 2, "x, y").otherwise(""), F.lit(")\n"))
-    whole = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("body")))).alias("all"))
-    text = F.concat(F.lit("# order\nimport lib.o\n\n"), F.array_join(F.transform("all", lambda x: x["body"]), "\n"))
+    whole = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("all"))
+
+    def body(x: Column) -> Column:
+        return F.concat(F.lit("def f"), x["l_partkey"].cast("string"), F.lit("(a, b):\n    g"), x["l_suppkey"].cast("string"), F.lit("("), F.when(x["l_linenumber"] > 2, "x, y").otherwise(""), F.lit(")\n"))
+
+    text = F.concat(F.lit("# order\nimport lib.o\n\n"), F.array_join(F.transform("all", body), "\n"))
     return whole.select(F.concat(F.lit("orders/o"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
 
 
-def _facts(spark, d):
-    return code.facts(_orders_as_code(spark, d).select("path", F.lit("python").alias("language"), "text"))
+def _python(spark, d):
+    return _orders_as_code(spark, d).select("path", F.lit("python").alias("language"), "text")
 
 
 def extract_functions(spark, d):
-    return _facts(spark, d)["functions"].select("path", "name", "param_count", "signature", "exported")
+    return code.facts(_python(spark, d), ("function",))["functions"].select("path", "name", "param_count", "signature", "exported")
 
 
 def extract_calls(spark, d):
-    return _facts(spark, d)["calls"].groupBy("path", "caller", "callee", "args").agg(F.count("*").alias("n"))
+    return code.facts(_python(spark, d))["calls"].groupBy("path", "caller", "callee", "args").agg(F.count("*").alias("n"))
 
 
 def extract_imports(spark, d):
-    return _facts(spark, d)["imports"].groupBy("imp").agg(F.count("*").alias("n"))
+    return code.facts(_python(spark, d))["imports"].groupBy("imp").agg(F.count("*").alias("n"))
 
 
 def file_headers(spark, d):
