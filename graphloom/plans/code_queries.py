@@ -39,7 +39,7 @@ def extract_calls(spark, d):
 
 
 def extract_imports(spark, d):
-    return code.facts(_python(spark, d))["imports"].groupBy("imp").agg(F.count("*").alias("n"))
+    return code.facts(_python(spark, d), ("import",))["imports"].groupBy("imp").agg(F.count("*").alias("n"))
 
 
 def file_headers(spark, d):
