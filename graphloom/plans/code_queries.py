@@ -35,7 +35,7 @@ def extract_functions(spark, d):
 
 
 def extract_calls(spark, d):
-    return code.facts(_python(spark, d))["calls"].groupBy("path", "caller", "callee", "args").agg(F.count("*").alias("n"))
+    return code.call_counts(_python(spark, d), "caller", "callee", "args")
 
 
 def extract_imports(spark, d):

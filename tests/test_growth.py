@@ -21,7 +21,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, moves", [("scan_functions", 1), ("scan_calls", 1), ("scan_types", 0), ("extract_functions", 1), ("extract_imports", 2)])
+@pytest.mark.parametrize("name, moves", [("scan_functions", 1), ("scan_calls", 1), ("scan_types", 0), ("extract_functions", 1), ("extract_imports", 2), ("extract_calls", 1)])
 def test_scanned_facts_do_not_move(spark, name, moves, monkeypatch):
     """Order lines meet once, and counts of imports; scan_types reads a table that it has written."""
     monkeypatch.setattr(sweep, "containing", lambda *_: 1 / 0)
